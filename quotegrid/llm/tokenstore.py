@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,24 +31,94 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, ragged, raw, shared_dir, small_batches, text_chunks
+from .common import U64, mix64, ragged, raw, shared_dir, small_batches, text_chunks, window_hashes
 
 KEY_BYTES = 16
 LEAST, MEAN, MOST, ROLL = 128, 1024, 8192, 16
-CACHE_SEGMENTS = 200_000
+#: Segments whose ids a worker remembers.
+CACHE_SEGMENTS = 500_000
 PIECES = "kind string, key binary, doc_id long, n long, payload binary"
 
-_tokenizers: dict[str, tuple] = {}
+class Encoder:
+    """A tokenizer of a file with the ids of segments seen before: the places of
+    segments in ``known``, their ids on end in ``ids``. When there are more than
+    CACHE_SEGMENTS, those used most often stay."""
 
+    SEPARATOR = "\n"  # a pretoken of its own between segments without white space inside
+    SIMPLE = re.compile(r" ?[^\s\u180e]+")
 
-def _tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and its known segments, kept for the worker's life."""
-    if path not in _tokenizers:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = self._encode([self.SEPARATOR])[0]
+        self._reset([], np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _reset(self, names: list[bytes], lengths: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
+        self.known = dict(zip(names, range(len(names))))
+        self.lengths, self.ids, self.used = lengths, ids, used
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _fresh(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths and ids of segments not seen before. Simple ones go into
+        one text and are told apart by the separator's id."""
+        simple = np.fromiter((self.SIMPLE.fullmatch(x) is not None for x in names), bool, len(names))
+        parts: list[np.ndarray] = []
+        lengths = np.zeros(len(names), np.int64)
+        order = [*np.flatnonzero(simple).tolist(), *np.flatnonzero(~simple).tolist()]
+        n = int(simple.sum())
+        for i in range(0, n, 8192):
+            own = [names[k] for k in order[i : min(i + 8192, n)]]
+            ids = np.array(self._encode([self.SEPARATOR.join(own)])[0], np.uint32)
+            cut = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else []
+            if len(cut) == len(own) - 1:
+                lengths[order[i : i + len(own)]] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+                parts.append(np.delete(ids, cut))
+            else:
+                each = self._encode(own)
+                lengths[order[i : i + len(own)]] = [len(x) for x in each]
+                parts.append(np.array([y for x in each for y in x], np.uint32))
+        each = self._encode([names[k] for k in order[n:]])
+        lengths[order[n:]] = [len(x) for x in each]
+        parts.append(np.array([y for x in each for y in x], np.uint32))
+        flat = np.concatenate(parts)
+        begins = np.empty(len(names), np.int64)
+        begins[order] = np.cumsum(lengths[order]) - lengths[order]
+        return lengths, flat[ragged(begins, lengths)]
+
+    def __call__(self, names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For distinct segments that occur ``counts`` times: where their ids begin in ``ids``, and how many they are."""
+        new = [x for x in names if x not in self.known]
+        if new:
+            lengths, ids = self._fresh([x.decode() for x in new])
+            if len(self.known) + len(new) > CACHE_SEGMENTS:
+                keep = np.argsort(-self.used, kind="stable")[: CACHE_SEGMENTS // 2]
+                held, begins = list(self.known), np.cumsum(self.lengths) - self.lengths
+                now = np.zeros(len(held), bool)
+                now[keep] = True
+                now[[self.known[x] for x in names if x in self.known]] = True  # this chunk's stay, so that every name has a place
+                keep = np.flatnonzero(now)
+                self._reset([held[i] for i in keep.tolist()], self.lengths[keep], self.ids[ragged(begins[keep], self.lengths[keep])], self.used[keep] // 2)
+            at = len(self.known)
+            self.known.update(zip(new, range(at, at + len(new))))
+            self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
+            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
+        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.used[place] += counts
+        return (np.cumsum(self.lengths) - self.lengths)[place], self.lengths[place]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of a file, kept for the worker's life."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,69 +165,76 @@ def segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts on end, and how many each text has. Segments that
     repeat are encoded once. No special tokens are added."""
-    tokenizer, known = _tokenizer(path)
     pieces, per_text = segments(texts)
     if not len(pieces):
         return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
     found = pieces.dictionary_encode()
-    names = found.dictionary.to_pylist()
-    if len(known) > CACHE_SEGMENTS:
-        known.clear()
-    new = [x for x in names if x not in known]
-    for x, e in zip(new, tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)):
-        known[x] = np.array(e.ids, np.uint32)
-    ids = [known[x] for x in names]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat, begins, codes = np.concatenate(ids), np.cumsum(lengths) - lengths, np.asarray(found.indices)
+    codes = np.asarray(found.indices)
+    encoder = _encoder(path)
+    begins, lengths = encoder(found.dictionary.to_pylist(), np.bincount(codes, minlength=len(found.dictionary)))
     upto = np.concatenate(([0], np.cumsum(lengths[codes])))
     edges = np.concatenate(([0], np.cumsum(per_text)))
-    return flat[ragged(begins[codes], lengths[codes])], np.diff(upto[edges])
-
-
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one document end: after an id at which the rolling
-    hash of the last ids hits, LEAST to MOST ids long (the last may be shorter)."""
-    n, out, at = len(ids), [], 0
-    if n > LEAST:
-        x, roll = mix64(ids.astype(U64) + U64(0x1F123BB5)), np.zeros(n, U64)
-        for k in range(ROLL):
-            roll[k:] += (x[: n - k] << U64(k * 3)) | (x[: n - k] >> U64(64 - k * 3)) if k else x
-        hits = np.flatnonzero(mix64(roll) % U64(MEAN) == 0) + 1
-        while n - at > LEAST:
-            i = np.searchsorted(hits, at + LEAST)
-            end = min(int(hits[i]) if i < len(hits) else n, at + MOST, n)
-            out.append(end)
-            at = end
-    if at < n:
-        out.append(n)
+    return encoder.ids[ragged(begins[codes], lengths[codes])], np.diff(upto[edges])
+
+
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the ROLL ids before them asks for a cut."""
+    return np.flatnonzero(window_hashes(mix64(ids.astype(U64) + U64(0x1F123BB5)), ROLL) % U64(MEAN) == 0) + ROLL
+
+
+def chunk_ends(hits: np.ndarray, start: int, stop: int) -> list[int]:
+    """Where the chunks of the document at start:stop end: at the first asked cut
+    after LEAST ids, MOST ids at most (the last may be shorter)."""
+    out, at = [], start
+    if stop - start > LEAST:
+        own = hits[np.searchsorted(hits, start + LEAST) : np.searchsorted(hits, stop)].tolist()
+        k = 0
+        while stop - at > LEAST:
+            while k < len(own) and own[k] < at + LEAST:
+                k += 1
+            at = min(own[k] if k < len(own) else stop, at + MOST, stop)
+            out.append(at)
+    if at < stop:
+        out.append(stop)
     return out
 
 
 def _pieces(path: str, end_id: int, width: int, kept_keys: int = 200_000):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, seen = zstandard.ZstdCompressor(level=3).compress, set()
+        pack, seen, sha = zstandard.ZstdCompressor(level=1).compress, set(), hashlib.sha256
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 ids, lengths = encode(chunk.column("text"), path)
-                out: list[tuple] = []
-                at = 0
-                for doc, n in zip(chunk.column("doc_id").to_pylist(), lengths.tolist()):
-                    own = np.append(ids[at : at + n], np.uint32(end_id))
-                    at += n
-                    data, keys, last = own.astype(f"<u{width}").tobytes(), [], 0
-                    for end in chunk_ends(own):
+                ends = np.cumsum(lengths)
+                ids = np.insert(ids, ends, end_id)
+                ends += np.arange(1, len(ends) + 1)
+                data, hits = memoryview(ids.astype(f"<u{width}").tobytes()), cut_points(ids)
+                kinds, names, docs, sizes, payloads = [], [], [], [], []
+                start = 0
+                for doc, stop in zip(chunk.column("doc_id").to_pylist(), ends.tolist()):
+                    keys, last = [], start
+                    for end in chunk_ends(hits, start, stop):
                         piece = data[last * width : end * width]
-                        key = hashlib.sha256(piece).digest()[:KEY_BYTES]
+                        key = sha(piece).digest()[:KEY_BYTES]
                         keys.append(key)
                         if key not in seen:  # each task sends a chunk once, as far as it remembers
                             seen.add(key)
-                            out.append(("chunk", key, None, end - last, pack(piece)))
+                            kinds.append("chunk")
+                            names.append(key)
+                            docs.append(None)
+                            sizes.append(end - last)
+                            payloads.append(pack(piece))
                         last = end
-                    if len(seen) > kept_keys:
-                        seen.clear()
                     keys = b"".join(keys)
-                    out.append(("doc", hashlib.sha256(b"%d" % (doc or 0) + keys).digest()[:8], doc, n + 1, keys))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "key", "doc_id", "n", "payload"])
+                    kinds.append("doc")
+                    names.append(sha(b"%d" % (doc or 0) + keys).digest()[:8])
+                    docs.append(doc)
+                    sizes.append(stop - start)
+                    payloads.append(keys)
+                    start = stop
+                if len(seen) > kept_keys:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "key", "doc_id", "n", "payload"])
 
     return rows
 
