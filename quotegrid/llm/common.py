@@ -81,6 +81,25 @@ def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) ->
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in pieces of about ``limit`` bytes of text: small
+    batches are put together, large ones cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if size >= limit:
+            for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+                yield from text_chunks(whole, column, limit)
+            held, size = [], 0
+    if held:
+        for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from text_chunks(whole, column, limit)
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts on end, and where each text starts (one more at the end)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -172,8 +191,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... (length of them) of each piece, on end."""
     lengths = np.asarray(lengths, np.int64)
     total = int(lengths.sum())
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(np.asarray(starts, np.int64) - before, lengths) + np.arange(total)
+    shift = np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths)
+    if total < 1 << 30 and np.abs(shift).max(initial=0) < 1 << 30:
+        shift = shift.astype(np.int32)
+    out = np.repeat(shift, lengths)
+    out += np.arange(total, dtype=out.dtype)
+    return out
 
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, ragged, raw, shared_dir, small_batches, text_chunks, window_hashes
+from .common import U64, gathered, mix64, ragged, raw, shared_dir, small_batches, window_hashes
 
 KEY_BYTES = 16
 LEAST, MEAN, MOST, ROLL = 128, 1024, 8192, 16
 #: Segments whose ids a worker remembers.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 1_000_000
+#: Text bytes encoded at once.
+ENCODE_BYTES = 8 << 20
 PIECES = "kind string, key binary, doc_id long, n long, payload binary"
 
 class Encoder:
@@ -44,15 +45,16 @@ class Encoder:
     segments in ``known``, their ids on end in ``ids``. When there are more than
     CACHE_SEGMENTS, those used most often stay."""
 
-    SEPARATOR = "\n"  # a pretoken of its own between segments without white space inside
-    SIMPLE = re.compile(r" ?[^\s\u180e]+")
+    SEPARATOR = b"\n"  # a pretoken of its own between segments without white space inside
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.between = self._encode([self.SEPARATOR])[0]
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # no segment comes twice, so the library's own cache only costs
+            self.tokenizer.model._resize_cache(0)
+        self.between = self._encode([self.SEPARATOR.decode()])[0]
         self._reset([], np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _reset(self, names: list[bytes], lengths: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
@@ -62,26 +64,26 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _fresh(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The lengths and ids of segments not seen before. Simple ones go into
         one text and are told apart by the separator's id."""
-        simple = np.fromiter((self.SIMPLE.fullmatch(x) is not None for x in names), bool, len(names))
+        simple = self._simple(names)
         parts: list[np.ndarray] = []
         lengths = np.zeros(len(names), np.int64)
         order = [*np.flatnonzero(simple).tolist(), *np.flatnonzero(~simple).tolist()]
         n = int(simple.sum())
         for i in range(0, n, 8192):
             own = [names[k] for k in order[i : min(i + 8192, n)]]
-            ids = np.array(self._encode([self.SEPARATOR.join(own)])[0], np.uint32)
+            ids = np.array(self._encode([self.SEPARATOR.join(own).decode()])[0], np.uint32)
             cut = np.flatnonzero(ids == self.between[0]) if len(self.between) == 1 else []
             if len(cut) == len(own) - 1:
                 lengths[order[i : i + len(own)]] = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
                 parts.append(np.delete(ids, cut))
             else:
-                each = self._encode(own)
+                each = self._encode([x.decode() for x in own])
                 lengths[order[i : i + len(own)]] = [len(x) for x in each]
                 parts.append(np.array([y for x in each for y in x], np.uint32))
-        each = self._encode([names[k] for k in order[n:]])
+        each = self._encode([names[k].decode() for k in order[n:]])
         lengths[order[n:]] = [len(x) for x in each]
         parts.append(np.array([y for x in each for y in x], np.uint32))
         flat = np.concatenate(parts)
@@ -89,11 +91,22 @@ class Encoder:
         begins[order] = np.cumsum(lengths[order]) - lengths[order]
         return lengths, flat[ragged(begins, lengths)]
 
+    @staticmethod
+    def _simple(names: list[bytes]) -> np.ndarray:
+        """Whether a segment has no white space beside one space at its start."""
+        data = np.frombuffer(b"".join(names), np.uint8)
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        begins = np.cumsum(lengths) - lengths
+        white = _white(data)[0]
+        white[begins[data[begins] == 32]] = False
+        spaces = np.concatenate(([0], np.cumsum(white)))
+        return (spaces[begins + lengths] == spaces[begins]) & ((lengths > 1) | (data[begins] != 32))
+
     def __call__(self, names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For distinct segments that occur ``counts`` times: where their ids begin in ``ids``, and how many they are."""
         new = [x for x in names if x not in self.known]
         if new:
-            lengths, ids = self._fresh([x.decode() for x in new])
+            lengths, ids = self._fresh(new)
             if len(self.known) + len(new) > CACHE_SEGMENTS:
                 keep = np.argsort(-self.used, kind="stable")[: CACHE_SEGMENTS // 2]
                 held, begins = list(self.known), np.cumsum(self.lengths) - self.lengths
@@ -129,7 +142,7 @@ def _white(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
         starts[:-1] |= two
         ends[1:] |= two
-    if len(data) > 2:
+    if len(data) > 2 and ((data >= 0xE1) & (data <= 0xE3)).any():
         a, b, c = data[:-2], data[1:-1], data[2:]
         three = ((a == 0xE1) & (((b == 0x9A) & (c == 0x80)) | ((b == 0xA0) & (c == 0x8E)))) | ((a == 0xE2) & (((b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((b == 0x81) & (c >= 0x9F)))) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
         starts[:-2] |= three
@@ -202,39 +215,38 @@ def chunk_ends(hits: np.ndarray, start: int, stop: int) -> list[int]:
 def _pieces(path: str, end_id: int, width: int, kept_keys: int = 200_000):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, seen, sha = zstandard.ZstdCompressor(level=1).compress, set(), hashlib.sha256
-        for batch in batches:
-            for chunk in text_chunks(batch, "text"):
-                ids, lengths = encode(chunk.column("text"), path)
-                ends = np.cumsum(lengths)
-                ids = np.insert(ids, ends, end_id)
-                ends += np.arange(1, len(ends) + 1)
-                data, hits = memoryview(ids.astype(f"<u{width}").tobytes()), cut_points(ids)
-                kinds, names, docs, sizes, payloads = [], [], [], [], []
-                start = 0
-                for doc, stop in zip(chunk.column("doc_id").to_pylist(), ends.tolist()):
-                    keys, last = [], start
-                    for end in chunk_ends(hits, start, stop):
-                        piece = data[last * width : end * width]
-                        key = sha(piece).digest()[:KEY_BYTES]
-                        keys.append(key)
-                        if key not in seen:  # each task sends a chunk once, as far as it remembers
-                            seen.add(key)
-                            kinds.append("chunk")
-                            names.append(key)
-                            docs.append(None)
-                            sizes.append(end - last)
-                            payloads.append(pack(piece))
-                        last = end
-                    keys = b"".join(keys)
-                    kinds.append("doc")
-                    names.append(sha(b"%d" % (doc or 0) + keys).digest()[:8])
-                    docs.append(doc)
-                    sizes.append(stop - start)
-                    payloads.append(keys)
-                    start = stop
-                if len(seen) > kept_keys:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "key", "doc_id", "n", "payload"])
+        for chunk in gathered(batches, "text", ENCODE_BYTES):
+            ids, lengths = encode(chunk.column("text"), path)
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end_id)
+            ends += np.arange(1, len(ends) + 1)
+            data, hits = memoryview(ids.astype(f"<u{width}").tobytes()), cut_points(ids)
+            kinds, names, docs, sizes, payloads = [], [], [], [], []
+            start = 0
+            for doc, stop in zip(chunk.column("doc_id").to_pylist(), ends.tolist()):
+                keys, last = [], start
+                for end in chunk_ends(hits, start, stop):
+                    piece = data[last * width : end * width]
+                    key = sha(piece).digest()[:KEY_BYTES]
+                    keys.append(key)
+                    if key not in seen:  # each task sends a chunk once, as far as it remembers
+                        seen.add(key)
+                        kinds.append("chunk")
+                        names.append(key)
+                        docs.append(None)
+                        sizes.append(end - last)
+                        payloads.append(pack(piece))
+                    last = end
+                keys = b"".join(keys)
+                kinds.append("doc")
+                names.append(sha(b"%d" % (doc or 0) + keys).digest()[:8])
+                docs.append(doc)
+                sizes.append(stop - start)
+                payloads.append(keys)
+                start = stop
+            if len(seen) > kept_keys:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(names, pa.binary()), pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary())], ["kind", "key", "doc_id", "n", "payload"])
 
     return rows
 
