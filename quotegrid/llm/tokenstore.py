@@ -30,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, gathered, mix64, ragged, raw, shared_dir, small_batches, window_hashes
+from .common import U64, gathered, ragged, raw, shared_dir, small_batches, window_hashes
 
 KEY_BYTES = 16
+#: Ids of a chunk: at least, on average (a power of two), at most; ids under the rolling hash.
 LEAST, MEAN, MOST, ROLL = 128, 1024, 8192, 16
 #: Segments whose ids a worker remembers.
 CACHE_SEGMENTS = 1_000_000
@@ -185,14 +186,15 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.asarray(found.indices)
     encoder = _encoder(path)
     begins, lengths = encoder(found.dictionary.to_pylist(), np.bincount(codes, minlength=len(found.dictionary)))
-    upto = np.concatenate(([0], np.cumsum(lengths[codes])))
+    each = lengths[codes]
+    upto = np.concatenate(([0], np.cumsum(each)))
     edges = np.concatenate(([0], np.cumsum(per_text)))
-    return encoder.ids[ragged(begins[codes], lengths[codes])], np.diff(upto[edges])
+    return encoder.ids[ragged(begins[codes], each)], np.diff(upto[edges])
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the ROLL ids before them asks for a cut."""
-    return np.flatnonzero(window_hashes(mix64(ids.astype(U64) + U64(0x1F123BB5)), ROLL) % U64(MEAN) == 0) + ROLL
+    return np.flatnonzero(window_hashes(ids.astype(U64) + U64(1), ROLL) & U64(MEAN - 1) == 0) + ROLL
 
 
 def chunk_ends(hits: np.ndarray, start: int, stop: int) -> list[int]:
@@ -251,17 +253,6 @@ def _pieces(path: str, end_id: int, width: int, kept_keys: int = 200_000):
     return rows
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first of equal chunks, which stand together."""
-    last = None
-    for batch in batches:
-        keep = []
-        for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist()):
-            keep.append(kind != "chunk" or key != last)
-            last = key if kind == "chunk" else last
-        yield batch.filter(pa.array(keep))
-
-
 def merkle(leaves: list[bytes]) -> bytes:
     """The root of the binary tree over the leaves' hashes; an odd one moves up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
@@ -327,8 +318,9 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, path: str |
     small_batches(spark)
     path = path or shared_dir(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = texts.mapInArrow(_pieces(tokenizer, end_id, id_bytes), PIECES).repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_once, PIECES)
-    pieces.write.partitionBy("kind").parquet(f"{path}/pieces")
+    pieces = texts.mapInArrow(_pieces(tokenizer, end_id, id_bytes), PIECES).withColumn("row", F.when(F.col("kind") == "doc", F.monotonically_increasing_id()))
+    once = pieces.repartition("key").groupBy("kind", "key", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload"))  # every document row, equal chunks once
+    once.drop("row").write.partitionBy("kind").parquet(f"{path}/pieces")
     found = spark.read.schema(PIECES).parquet(f"{path}/pieces").where("kind = 'doc'").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rank"), "doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("chunks"))
     ordered = found.repartitionByRange("rank", "n_tokens", "chunks").sortWithinPartitions("rank", "n_tokens", "chunks").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ordered.select("part", "place", "doc_id", "n_tokens", "chunks").write.parquet(f"{path}/recipes")
@@ -351,16 +343,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PIECES).parquet(f"{path}/pieces").where("kind = 'chunk'").select("key", "n", "payload")
 
 
-def _recipe_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        part, place, keys, k = [], [], [], []
-        for p, q, c in zip(*(batch.column(x).to_pylist() for x in ("part", "place", "chunks"))):
-            m = len(c) // KEY_BYTES
-            part += [p] * m
-            place += [q] * m
-            k += range(m)
-            keys += [c[i * KEY_BYTES : (i + 1) * KEY_BYTES] for i in range(m)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(place, pa.int64()), pa.array(k, pa.int32()), pa.array(keys, pa.binary())], ["part", "place", "k", "key"])
+def recipe_chunks(recipes: DataFrame) -> DataFrame:
+    """A row (part, place, k, key) for the k-th chunk of each document."""
+    keys = F.expr(f"posexplode(transform(sequence(0, octet_length(chunks) div {KEY_BYTES} - 1), i -> substring(chunks, i * {KEY_BYTES} + 1, {KEY_BYTES})))")
+    return recipes.select("part", "place", keys.alias("k", "key"))
 
 
 def _ids(payload: bytes, width: int) -> np.ndarray:
@@ -437,7 +423,7 @@ def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame
     small_batches(spark)
     sums = read_chunks(spark, path).mapInArrow(_checked(id_bytes), "key binary, n long, crc long, ok boolean").where("ok").select("key", "n", "crc")
     recipes = read_recipes(spark, path)
-    needed = recipes.select("part", "place", "chunks").mapInArrow(_recipe_chunks, "part int, place long, k int, key binary")
+    needed = recipe_chunks(recipes)
     docs = needed.join(sums, "key").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc"))).alias("found"))
     whole = docs.mapInArrow(_joined, "part int, place long, n_tokens long, ids_crc32 long")
     parts = spark.read.schema("part int, tokens_before long").parquet(f"{path}/manifest")
@@ -459,7 +445,7 @@ def read_ids(spark: SparkSession, path: str, where: str = "true", id_bytes: int
     """The documents that fit a condition on the recipes, with all their ids."""
     small_batches(spark)
     recipes = read_recipes(spark, path).where(where)
-    needed = recipes.select("part", "place", "chunks").mapInArrow(_recipe_chunks, "part int, place long, k int, key binary")
+    needed = recipe_chunks(recipes)
     found = needed.join(read_chunks(spark, path), "key").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "payload"))).alias("found"))
     return recipes.join(found, ["part", "place"]).select("doc_id", "found").mapInArrow(_documents(id_bytes), "doc_id long, ids array<long>")
 
@@ -470,7 +456,7 @@ def verify(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame:
     are 0 in a sound store."""
     small_batches(spark)
     sums = read_chunks(spark, path).mapInArrow(_checked(id_bytes), "key binary, n long, crc long, ok boolean")
-    needed = read_recipes(spark, path).select("part", "place", "chunks").mapInArrow(_recipe_chunks, "part int, place long, k int, key binary")
+    needed = recipe_chunks(read_recipes(spark, path))
     now = read_recipes(spark, path).repartition("part").sortWithinPartitions("part", "place").mapInArrow(_roots, "part int, first_id long, last_id long, documents long, tokens long, root binary")
     stored = spark.read.schema("part int, root binary").parquet(f"{path}/manifest").withColumnRenamed("root", "stored")
     found = {
