@@ -15,12 +15,15 @@ What the driver holds: a row for each source and for each shard
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, written
+from .common import NULL_ID, WORD_PATTERN, Words, small_batches, written
 
 BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
@@ -84,24 +87,18 @@ def sainte_lague(votes: Sequence[float], seats: int, most: Sequence[int] | None
     return out
 
 
-def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 17) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, source, size, source_size, target, taken.
-
-    A null source is a source of its own, last in order. A null text or one
-    without words has size 0 and gives 0. Rows that repeat are documents of
-    their own; equal rows may swap places, which no result shows. An empty table
-    gives an empty result. Other columns aren't read.
-    """
-    spark = docs.sparkSession
-    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).alias("size")))
+def _stream(slim: DataFrame, weights: Sequence[float], repeats: int, block: int, shard_words: int, max_shards: int, seed: int) -> DataFrame:
+    """For (doc_id, source, size, row): source_size, target, and the place of the
+    document's words in its shard's stream (stop) with what the shard takes:
+    ``rounds`` times all, then ``picked`` of ``n`` blocks, from ``turn`` on."""
+    spark = slim.sparkSession
     sources = sorted((tuple(r) for r in slim.groupBy("source").agg(F.sum("size")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes = [r[1] or 0 for r in sources]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], repeats) if sources else []
-    house = round(sum(targets) / block)
-    blocks = sainte_lague(targets, house, [-(-repeats * s // block) for s in sizes])
+    blocks = sainte_lague(targets, round(sum(targets) / block), [-(-repeats * s // block) for s in sizes])
     plan = spark.createDataFrame([(i, s[0], sizes[i], float(targets[i]), max(1, min(max_shards, -(-sizes[i] // shard_words)))) for i, s in enumerate(sources)], "k int, source string, source_size long, target double, shards int")
     placed = slim.join(plan, slim["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
-    placed = placed.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, size, {seed}), shards) as int)"))
+    placed = placed.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, row, {seed}), shards) as int)"))
     words: dict[int, list[tuple[int, int]]] = {}
     for k, shard, w in sorted(tuple(r) for r in placed.groupBy("k", "shard").agg(F.sum("size")).collect()):
         words.setdefault(k, []).append((shard, w or 0))
@@ -109,13 +106,25 @@ def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id",
     for k, shards in words.items():
         given = sainte_lague([w for _, w in shards], blocks[k], [-(-repeats * w // block) for _, w in shards])
         for (shard, w), b in zip(shards, given):
-            quota = min(b * block, repeats * w)
-            rounds, rest = divmod(quota, w) if w else (0, 0)
+            rounds, rest = divmod(min(b * block, repeats * w), w) if w else (0, 0)
             n = -(-w // block)
             quotas.append((k, shard, rounds, n, min(n, round(rest / block)), (seed * 2654435761 + shard * 40503) % max(n, 1)))
     quota = spark.createDataFrame(quotas, "k int, shard int, rounds long, n long, picked long, turn long")
-    order = Window.partitionBy("k", "shard").orderBy("mixed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stream = placed.withColumn("mixed", F.xxhash64("doc_id", "size", F.lit(seed + 1))).withColumn("stop", F.sum("size").over(order)).join(quota, ["k", "shard"])
+    order = Window.partitionBy("k", "shard").orderBy("mixed", "doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("mixed", F.xxhash64("doc_id", "row", F.lit(seed + 1))).withColumn("stop", F.sum("size").over(order)).join(quota, ["k", "shard"])
+
+
+def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 17) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    A null source is a source of its own, last in order. A null text or one
+    without words has size 0 and gives 0. Rows that repeat are documents of
+    their own; equal rows may swap places, which no result shows. An empty table
+    gives an empty result. Other columns aren't read.
+    """
+    own = word_count(F.col(text_col)) if size is None else size
+    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own.alias("size")).withColumn("row", F.xxhash64("source", "size")))
+    stream = _stream(slim, weights, repeats, block, shard_words, max_shards, seed)
 
     def picked_before(at: str) -> str:
         """Words of the picked blocks before a place of the stream: block j is
@@ -125,3 +134,60 @@ def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id",
 
     taken = F.expr(f"rounds * size + {picked_before('stop')} - {picked_before('stop - size')}")
     return stream.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def _pieces(columns: list[str], text_col: str, chars_col: str, block: int):
+    """Rows of the mix: each document as often as it is taken whole, and then its picked blocks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(columns.index(text_col))
+            at, cut = [], []
+            for i, (text, takes) in enumerate(zip(texts, batch.column("takes").to_pylist())):
+                words = None
+                for t in takes:
+                    at += [i] * t["rounds"]
+                    cut += [None] * t["rounds"]
+                    if not t["picked"] or not t["size"]:
+                        continue
+                    start, stop = t["stop"] - t["size"], t["stop"]
+                    j = np.arange(start // block, (stop - 1) // block + 1)
+                    picked = j[((j + 1) * t["picked"] + t["turn"]) // t["n"] > (j * t["picked"] + t["turn"]) // t["n"]]
+                    if len(picked) == len(j):
+                        at.append(i)
+                        cut.append(None)
+                    elif len(picked):
+                        words = words or Words(pa.array([text.as_py()]))
+                        runs = np.split(picked, np.flatnonzero(np.diff(picked) > 1) + 1)
+                        spans = [(max(int(r[0]) * block, start) - start, min((int(r[-1]) + 1) * block, stop) - start) for r in runs]
+                        at.append(i)
+                        cut.append("\n".join(words.data[words.starts[a] : words.ends[b - 1]].tobytes().decode() for a, b in spans))
+            out = batch.take(pa.array(at, pa.int64()))
+            columns_out = [out.column(c) for c in columns]
+            if any(c is not None for c in cut):
+                k = columns.index(text_col)
+                columns_out[k] = pc.coalesce(pa.array(cut, columns_out[k].type), columns_out[k])
+                if chars_col in columns and pa.types.is_integer(out.column(chars_col).type):
+                    k = columns.index(chars_col)
+                    columns_out[k] = pc.coalesce(pa.array([None if c is None else len(c) for c in cut], columns_out[k].type), columns_out[k])
+            yield pa.RecordBatch.from_arrays(columns_out, columns)
+
+    return rows
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = 512, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a document stands as often as
+    it is taken whole, and once more with the words of its picked blocks if some
+    are (``chars_col``, where there is one, then has that text's length). A text
+    without words isn't taken."""
+    small_batches(docs.sparkSession)
+    columns = docs.columns
+    doc, row, nth = (f"{x}_of_" + "_".join(columns) for x in ("id", "row", "nth"))  # names that no column has
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), whole.alias("row")))
+    stream = _stream(slim, weights, repeats, block, shard_words, max_shards, seed).where("size > 0")
+    takes = stream.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID))).alias(doc), F.col("row").alias(row)).agg(F.collect_list(F.struct("rounds", "size", "stop", "n", "picked", "turn")).alias("takes"))
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))), row: whole})
+    once = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(doc, row).orderBy(doc))).where(F.col(nth) == 1)  # repeated rows are equal: one stands for all their takes
+    joined = once.join(takes.hint("shuffle_hash"), [doc, row]).select(*[F.col(f"`{c}`") for c in columns], "takes")
+    return joined.mapInArrow(_pieces(columns, text_col, chars_col, block), docs.schema)

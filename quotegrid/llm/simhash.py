@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, ragged, small_batches, written
+from .common import NULL_ID, U64, ragged, small_batches, written
 from .components import components
 
 SHINGLE, BITS, BUDGET = 4, 64, 4
@@ -53,15 +53,15 @@ def _prints(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, U64).view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(np.array(found, U64).view(np.int64))], ["doc_id", "own", "print"])
 
     return rows
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and print (the fingerprint as a signed long) of every row."""
+    """doc_id, own (the text's hash) and print (the fingerprint as a signed long) of every row."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_prints(shingle), "doc_id long, print long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("own"), F.col(text_col).alias("text")).mapInArrow(_prints(shingle), "doc_id long, own long, print long")
 
 
 def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
@@ -198,8 +198,9 @@ def links(prints: DataFrame, *, budget: int = BUDGET, large: int = LARGE_BUCKET)
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, print, component_id (the smallest
-    doc_id in reach over links, its own included).
+    """A row for each row of ``docs``: doc_id, own (the text's hash), print, label
+    (its component's smallest fingerprint), component_id (the smallest doc_id in
+    reach over links, its own included).
 
     A null text and one without words have fingerprint 0 and are linked like any
     other. A null doc_id gets its component's smallest id, null if there is none.
@@ -211,4 +212,17 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     labels = components(links(distinct.select("print"), budget=budget))
     named = distinct.join(labels, distinct["print"] == labels["node"], "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "label").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return prints.join(named.join(least, "label").select("print", "label", "component_id"), "print").select("doc_id", "own", "print", "label", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs``, whole, without near copies: of each component the row
+    with the smallest doc_id (a null one last, then the smallest text hash) stays,
+    and of repeated rows one."""
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))), F.xxhash64(F.col(text_col))]
+    found = groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget)
+    first = found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "own")).alias("first")).select("first.id", "first.own")
+    doc, own, row = (f"{x}_of_" + "_".join(docs.columns) for x in ("id", "own", "row"))  # names that no column has
+    kept = docs.withColumns({doc: key[0], own: key[1]}).join(first.select(F.col("id").alias(doc), F.col("own").alias(own)), [doc, own], "left_semi")
+    same = Window.partitionBy(doc, own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
