@@ -1,0 +1,6 @@
+"""All named queries (``QUERIES``) and their DuckDB SQL (``SQL``)."""
+
+from . import analytics, pipeline  # noqa: F401  they register their queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
