@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import offers as O
+from ..operators import display as V
 from ..operators import shows as S
 from ..sources import adapters as A
 from .base import D, EFF, OFFERS, PERFS, SHOWS, VALID, bucket, cuts, label, query, with_
@@ -382,3 +383,75 @@ def other_dates_range(spark, sf_dir):
 def show_month_grid(spark, sf_dir):
     off = A.offers(spark, sf_dir)
     return O.month_grid(O.effective(off), off, A.AS_OF)
+
+
+# --- defaults and labels of views
+
+
+@query(with_(OFFERS, PERFS) + f"SELECT show_id, coalesce(min(date) FILTER (date >= {D}), max(date)) AS date FROM perfs GROUP BY show_id")
+def default_dates(spark, sf_dir):
+    return V.default_dates(A.offers(spark, sf_dir), A.AS_OF)
+
+
+@query(f"SELECT {D} AS date")
+def default_week_day(spark, sf_dir):
+    return V.default_day(O.week_days(_eff(spark, sf_dir), A.AS_OF), A.AS_OF)
+
+
+@query(with_(OFFERS, SHOWS) + f"SELECT venue AS display_name, count(*) AS show_count FROM shows WHERE contains(lower(venue), 'nation_1') GROUP BY venue")
+def venue_search(spark, sf_dir):
+    off = A.offers(spark, sf_dir)
+    return V.venue_search(S.venues(A.shows(spark, sf_dir), off, O.effective(off), A.AS_OF), " Nation_1 ").select("display_name", "show_count")
+
+
+@query(
+    with_(EFF, f"f AS (SELECT date, isodow(date)::INT - 1 AS dow, floor(min(price)) AS floor FROM eff WHERE date >= {D} GROUP BY date)")
+    + "SELECT date, dow, floor, ((row_number() OVER (PARTITION BY dow, floor ORDER BY date) - 1) - (count(*) OVER (PARTITION BY dow, floor) - 1) / 2.0::DOUBLE) * 5 AS offset FROM f"
+)
+def floor_swarm(spark, sf_dir):
+    floors = O.day_floors(_eff(spark, sf_dir).where(F.col("date") >= O.lit_date(A.AS_OF))).select("date", F.weekday("date").alias("dow"), F.floor("floor").cast("double").alias("floor"))
+    return V.swarm(floors, "dow", "floor", "date")
+
+
+@query(
+    with_(
+        OFFERS,
+        f"v AS (SELECT * FROM offers WHERE {VALID} AND date >= {D} AND date < {D} + 30)",
+        "p AS (SELECT show_id, show_ord, date, time, max(price_from) - min(price_from) AS spread FROM v GROUP BY ALL HAVING count(*) >= 2 AND max(price_from) - min(price_from) >= 5)",
+        "b AS (SELECT show_id, show_ord, max(spread) AS spread FROM p GROUP BY ALL ORDER BY spread DESC, show_ord LIMIT 8)",
+    )
+    + "SELECT show_id, spread, greatest(8::DOUBLE, spread / (SELECT max(spread) FROM b) * 100) AS width FROM b"
+)
+def spread_bars(spark, sf_dir):
+    return V.bar_widths(S.widest_spreads(A.offers(spark, sf_dir), A.AS_OF).select("show_id", "spread"), "spread")
+
+
+@query(
+    with_(OFFERS, PERFS, f"r AS (SELECT show_id, min(date) - {D} AS days_out, max(date) - {D} AS days_left FROM perfs WHERE date >= {D} GROUP BY show_id)")
+    + "SELECT show_id, CASE WHEN days_left = 0 THEN 'final' WHEN days_left <= 7 THEN 'critical' ELSE '' END AS badge, CASE days_out WHEN 0 THEN 'OPENS TODAY' WHEN 1 THEN 'OPENS TOMORROW' ELSE 'OPENS IN ' || days_out || ' DAYS' END AS opening FROM r"
+)
+def run_badges(spark, sf_dir):
+    day = O.lit_date(A.AS_OF)
+    runs = A.offers(spark, sf_dir).where(F.col("date") >= day).groupBy("show_id").agg(F.date_diff(F.min("date"), day).alias("days_out"), F.date_diff(F.max("date"), day).alias("days_left"))
+    return runs.select("show_id", V.closing_badge(F.col("days_left")).alias("badge"), V.opening_label(F.col("days_out")).alias("opening"))
+
+
+_MONEY = "CASE WHEN {0} = floor({0}) THEN '£' || floor({0})::BIGINT ELSE '£' || printf('%.2f', {0}) END"
+
+
+@query(
+    with_(OFFERS, f"a AS (SELECT show_id, min(price_from) AS lo, max(price_from) AS hi FROM offers WHERE {VALID} GROUP BY show_id)")
+    + f"SELECT show_id, CASE WHEN lo = hi THEN {_MONEY.format('lo')} ELSE {_MONEY.format('lo')} || '–' || {_MONEY.format('hi')} END AS label FROM a"
+)
+def price_labels(spark, sf_dir):
+    return S.price_axis(A.offers(spark, sf_dir)).where("axis_min > 0").select("show_id", V.range_text(F.col("axis_min"), F.col("axis_max")).alias("label"))
+
+
+@query(with_(OFFERS) + f"SELECT DISTINCT show_id, year(date)::INT AS year, month(date)::INT AS month FROM offers WHERE date >= {D}")
+def months_needed(spark, sf_dir):
+    return V.months_needed(A.offers(spark, sf_dir), A.AS_OF)
+
+
+@query(with_(OFFERS, PERFS, SHOWS) + "SELECT '' AS generated_at, (SELECT count(*) FROM shows) AS show_count, (SELECT count(*) FROM perfs) AS performance_count")
+def export_meta(spark, sf_dir):
+    return V.meta(A.shows(spark, sf_dir), A.offers(spark, sf_dir).select(*O.PERF).distinct(), None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prices, similarity, text, times, urls
+from ..functions import prices, text, times, urls
 from ..functions.registry import SOURCE_PRIORITY
 from ..operators import checks as Q
 from ..operators import history as H
@@ -15,7 +15,7 @@ from ..operators import resolve as R
 from ..operators import verify as V
 from ..sources import adapters as A
 from ..sources import html
-from .base import D, OFFERS, PERFS, SEEN, SQL, VALID, query, with_
+from .base import D, OFFERS, SEEN, VALID, query, with_
 
 c = F.col
 

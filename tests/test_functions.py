@@ -174,3 +174,48 @@ def test_html(spark):
     nested = '{"years":{"open":true,"2026":{"months":{"5":{"days":{"7":{"perfs":[{"perf_id":"9","time":"19:00","price":20.0,"seats":3}]},"any":false}},"has_more":true}}}}'
     rows = html.nested_calendar(spark.createDataFrame([(1, nested), (2, None), (3, "x")], "k int, body string"), "k", "body").collect()
     assert [tuple(r) for r in rows] == [(1, "2026-05-07", "9", "19:00", 20.0, 3)]
+
+
+LISTING = """<html><body><nav class="breadcrumb"><a href="/">Home</a><a href="/m">Musicals</a></nav><h1>Wicked <small>now</small></h1>
+<div class="info"><dl><dt>Running time</dt><dd>2h 30m</dd><dt>Closing date</dt><dd>1 May</dd></dl></div>
+<ul><li class="cast"><strong>Elphaba:</strong> – A. Name</li><li class="cast">Only Name</li></ul>
+<div class="description"><p>First.</p><p>Read more</p><p>Second &amp; last.</p></div>
+<div class="hero" style="background-image: url('a(1).jpg')"></div><div class="gallery"><img data-src="l.png" src="s.png"><img src="t.png"><img src="t.png"></div>
+<section id="show-time"><table><tr><th>Mon</th><td>-</td><td>7.30pm</td></tr><tr><th>Tue</th></tr></table></section>
+<section id="last-minute"><table><tr><td><a class="last-minute__performance-link deal" href="/p1" data-id="11">7pm</a></td><td></td></tr></table></section>
+<article class="deal" data-discount="0" data-min-price="20"><div><p>Today 7:30pm from £25.50</p><a href="/book/1">Book</a></div></article><article class="deal" data-discount="0"></article>
+<div data-cal="{&quot;performances&quot;:[{&quot;date&quot;:&quot;2026-05-01&quot;,&quot;time&quot;:&quot;19:00&quot;,&quot;min&quot;:20,&quot;avail&quot;:1}]}"></div>
+<a class="book-now" href="/b">From £30,50 <span class="badge">Save £5</span></a><div class="offer"><h3>Half price</h3> until Friday</div>
+<article class="card genre-musical" data-id="7"><h2>One</h2><a href="/one">x</a></article><article class="card" data-id="7"><h2>Again</h2></article><article class="card" data-id="8"><a href="/two">Two</a></article>
+<a class="tag" href="/tags/new-shows/">New</a><div class="access"><div>Wheelchair spaces</div><div>Nothing</div></div>
+<div class="next-availability"><h4>Fri 1</h4><a href="/n1">19:30</a><a href="/n2">14:30</a></div><a class="month" href="/m5">May 2026</a></body></html>"""
+
+
+def test_widgets(spark):
+    from quotegrid.sources import widgets as W
+
+    got = {r.k: r for r in W.widgets(spark.createDataFrame([(1, LISTING), (2, None), (3, "<p>odd </b> <i>page")], "k int, html string"), "k").collect()}
+    r = got[1]
+    assert (r.title, r.closing_label, r.closing, r.category) == ("Wicked", "Closing date", "1 May", "Musicals") and r.labels["Running time"] == "2h 30m"
+    assert [(p.role, p.name) for p in r.people] == [("Elphaba:", "A. Name"), (None, "Only Name")]
+    assert r.description == "First.\n\nSecond & last." and r.hero == "a(1).jpg" and r.gallery == ["l.png", "t.png"]
+    assert [tuple(x) for x in r.weekly] == [("Mon", None, "7.30pm")] and [tuple(x) for x in r.last_minute] == [("0", "7pm", "/p1", "11", "true")]
+    assert [tuple(x) for x in r.deals] == [(None, 20.0, None, "/book/1", "7:30pm", 25.5)]
+    assert [tuple(x) for x in r.calendar] == [("2026-05-01", "19:00", 20.0, None, True, None)]
+    assert (r.price, r.on_offer, r.offer_title, r.offer) == (30.5, True, "Half price", "until Friday")
+    assert [(c.pos, c.key, c.title, c.url, c.genres) for c in r.cards] == [(0, "7", "One", "/one", ["musical"]), (2, "8", "Two", "/two", [])]
+    assert [tuple(t) for t in r.tags] == [("New", "/tags/new-shows/", "new-shows")] and r.access == ["Wheelchair spaces"]
+    assert [tuple(x) for x in r.next_rows] == [("Fri 1", "19:30", "/n1"), ("Fri 1", "14:30", "/n2")] and [tuple(x) for x in r.months] == [("May 2026", "May", 2026, "/m5")]
+    assert got[2].title is None and got[3].cards == []
+    assert W.weekly_from_lines(["Mon", "2pm, 7pm", "Tue", "-"]) == [{"day": "Mon", "times": ["2pm", "7pm"]}, {"day": "Tue", "times": []}]
+    assert one(spark, {"StreetAddress": "x", "postalcode": ""}, "map<string, string>", lambda m: W.any_case(m, "streetaddress")) == "x"
+    assert one(spark, {"postalcode": ""}, "map<string, string>", lambda m: W.any_case(m, "postalCode")) is None
+    body = one(spark, "https://x/venues/44/name", "string", lambda u: W.seat_request(F.lit(9), F.lit(3), u, F.lit("2026-05-21"), F.lit("19:00")))
+    assert (body.PDate, body.Time, body.VenueId, body.performanceId) == ("21/05/2026", "19-00", "44", "9")
+    for d, t, u in ((None, "19:00", "/venues/1/"), ("2026-05-21", None, "/venues/1/"), ("2026-05-21", "19:00", "none"), ("x", "19:00", "/venues/1/"), ("2026-05-21", "1900", "/venues/1/")):
+        assert one(spark, u, "string", lambda c, d=d, t=t: W.seat_request(F.lit(9), F.lit(3), c, F.lit(d).cast("string"), F.lit(t).cast("string"))) is None
+    items = [(2, "B", "/category/b"), (None, "C", "/category/c"), (1, "A", "/x")]
+    assert one(spark, items, "array<struct<position: int, name: string, url: string>>", W.crumb_category) == "B"
+    kind = "struct<`@type`: string, name: string>"
+    many(spark, [('{"@graph":[{"@type":"Product","name":"p"}]}', ["p"]), ('{"@type":"X","name":"q"}', ["q"])], "string", lambda s: F.transform(W.graph_items(s, kind), lambda x: x["name"]))
+    assert one(spark, "", "string", lambda s: W.canonical_url(s, F.lit("own"))) == "own" and one(spark, " ", "string", lambda s: W.first_filled(s, F.lit("b"))) == "b"

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quotegrid.functions import similarity, text
+from quotegrid.functions import similarity
 from quotegrid.functions.registry import FUZZY_AUTO, FUZZY_REVIEW, SOURCE_PRIORITY
 from quotegrid.operators import checks as Q
 from quotegrid.operators import history as H

@@ -2,8 +2,6 @@ import datetime
 import json
 import zipfile
 
-from pyspark.sql import functions as F
-
 from quotegrid.operators import history as H
 from quotegrid.sources import catalog
 from quotegrid.streaming import history as stream
