@@ -204,8 +204,7 @@ def learn_lexicon(texts: Sequence[str], toxic: Sequence[int], least: int = 4, mo
     """Whole words and beginnings that stand in toxic documents far more often
     (log odds of occurrences, ``once`` a document at most), one after another by
     the toxic documents that each adds to those found before. Equal texts count once."""
-    counts, marks = [], []
-    for text, y in dict(zip(texts, toxic)).items():
+    def terms_of(text: str) -> Counter[str]:
         own: Counter[str] = Counter()
         for w, n in Counter(w.lower().strip(EDGE) for w in text.split()).items():
             if len(w) >= 3:
@@ -213,25 +212,28 @@ def learn_lexicon(texts: Sequence[str], toxic: Sequence[int], least: int = 4, mo
                 for k in STEM_LENGTHS:
                     if len(w) > k:
                         own[w[:k] + "*"] += n
-        counts.append(own)
-        marks.append(y)
-    n_toxic, n_clean = sum(marks), len(marks) - sum(marks)
+        return own
+
+    distinct = dict(zip(texts, toxic))
+    bad = [t for t, y in distinct.items() if y]
+    n_toxic, n_clean = len(bad), len(distinct) - len(bad)
     if not n_toxic or not n_clean:
         return {}, {}
     holders: dict[str, list[int]] = {}
-    for i, (own, y) in enumerate(zip(counts, marks)):
-        if y:
-            for t in own:
-                holders.setdefault(t, []).append(i)
-    holders = {t: h for t, h in holders.items() if len(h) >= least}
     seen, clean = Counter(), Counter()
-    for own, y in zip(counts, marks):
-        to = seen if y else clean
-        for t in own.keys() & holders.keys():
-            to[t] += min(own[t], once)
+    for i, text in enumerate(bad):
+        for t, n in terms_of(text).items():
+            holders.setdefault(t, []).append(i)
+            seen[t] += min(n, once)
+    holders = {t: h for t, h in holders.items() if len(h) >= least}
+    for text, y in distinct.items():  # one document's terms at a time
+        if not y:
+            for t, n in terms_of(text).items():
+                if t in holders:
+                    clean[t] += min(n, once)
     weight = {t: math.log((seen[t] + 0.5) / (n_toxic + 1)) - math.log((clean[t] + 0.5) / (n_clean + 1)) for t in holders}
     good = {t for t in holders if weight[t] >= odds}
-    left, terms, stems = {i for i, y in enumerate(marks) if y}, {}, {}
+    left, terms, stems = set(range(n_toxic)), {}, {}
     while good and len(terms) + len(stems) < most:
         gain = {t: sum(i in left for i in holders[t]) for t in good}
         best = max(good, key=lambda t: (gain[t] * min(weight[t], 5), weight[t], not t.endswith("*"), t))
