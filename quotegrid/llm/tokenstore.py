@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,14 +37,15 @@ KEY_BYTES = 16
 #: Ids of a chunk: at least, on average (a power of two), at most; ids under the rolling hash.
 LEAST, MEAN, MOST, ROLL = 128, 1024, 8192, 16
 #: Segments whose ids a worker remembers.
-CACHE_SEGMENTS = 1_000_000
+CACHE_SEGMENTS = 2_000_000
 #: Text bytes encoded at once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 4 << 20
 PIECES = "kind string, key binary, doc_id long, n long, payload binary"
 
 class Encoder:
-    """A tokenizer of a file with the ids of segments seen before: the places of
-    segments in ``known``, their ids on end in ``ids``. When there are more than
+    """A tokenizer of a file with the ids of segments seen before, in flat arrays:
+    the segments' hashes in ascending order, a check made from their ends and
+    lengths, and where their ids stand in ``ids``. When there are more than
     CACHE_SEGMENTS, those used most often stay."""
 
     SEPARATOR = b"\n"  # a pretoken of its own between segments without white space inside
@@ -56,11 +58,9 @@ class Encoder:
         if hasattr(self.tokenizer.model, "_resize_cache"):  # no segment comes twice, so the library's own cache only costs
             self.tokenizer.model._resize_cache(0)
         self.between = self._encode([self.SEPARATOR.decode()])[0]
-        self._reset([], np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-
-    def _reset(self, names: list[bytes], lengths: np.ndarray, ids: np.ndarray, used: np.ndarray) -> None:
-        self.known = dict(zip(names, range(len(names))))
-        self.lengths, self.ids, self.used = lengths, ids, used
+        self.hashes, self.checks = np.zeros(0, U64), np.zeros(0, np.uint32)
+        self.begins, self.lengths, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -103,26 +103,61 @@ class Encoder:
         spaces = np.concatenate(([0], np.cumsum(white)))
         return (spaces[begins + lengths] == spaces[begins]) & ((lengths > 1) | (data[begins] != 32))
 
-    def __call__(self, names: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A number from each segment's length and its first and last four bytes."""
+        n = np.diff(offsets)
+        out = n.astype(np.uint32)
+        for j in range(4):
+            step = np.minimum(j, n - 1)
+            out = out * np.uint32(0x01000193) + data[offsets[:-1] + step]
+            out = out * np.uint32(0x01000193) + data[offsets[1:] - 1 - step]
+        return out
+
+    def __call__(self, names: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For distinct segments that occur ``counts`` times: where their ids begin in ``ids``, and how many they are."""
-        new = [x for x in names if x not in self.known]
-        if new:
-            lengths, ids = self._fresh(new)
-            if len(self.known) + len(new) > CACHE_SEGMENTS:
-                keep = np.argsort(-self.used, kind="stable")[: CACHE_SEGMENTS // 2]
-                held, begins = list(self.known), np.cumsum(self.lengths) - self.lengths
-                now = np.zeros(len(held), bool)
-                now[keep] = True
-                now[[self.known[x] for x in names if x in self.known]] = True  # this chunk's stay, so that every name has a place
-                keep = np.flatnonzero(now)
-                self._reset([held[i] for i in keep.tolist()], self.lengths[keep], self.ids[ragged(begins[keep], self.lengths[keep])], self.used[keep] // 2)
-            at = len(self.known)
-            self.known.update(zip(new, range(at, at + len(new))))
-            self.lengths, self.ids = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids))
-            self.used = np.concatenate((self.used, np.zeros(len(new), np.int64)))
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
-        self.used[place] += counts
-        return (np.cumsum(self.lengths) - self.lengths)[place], self.lengths[place]
+        texts = names.to_pylist()
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts))
+        order = np.argsort(hashes)
+        hashes, checks, counts = hashes[order], self._checks(*raw(names))[order], counts[order]
+        known = self._known(hashes)
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.hashes) + len(new) > CACHE_SEGMENTS:
+                self._forget(hashes[known])
+            lengths, begins = self._add_ids([texts[i] for i in order[new].tolist()])
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.checks = np.insert(self.hashes, at, hashes[new]), np.insert(self.checks, at, checks[new])
+            self.begins, self.lengths, self.used = np.insert(self.begins, at, begins), np.insert(self.lengths, at, lengths), np.insert(self.used, at, 0)
+        at = np.searchsorted(self.hashes, hashes)
+        self.used[at] += counts.astype(np.int32)
+        begins, lengths = self.begins[at], self.lengths[at].astype(np.int64)
+        other = np.flatnonzero(self.checks[at] != checks)  # another segment has this hash
+        if len(other):
+            lengths[other], begins[other] = self._add_ids([texts[i] for i in order[other].tolist()])
+        out = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        out[0][order], out[1][order] = begins, lengths
+        return out
+
+    def _known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def _add_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, ids = self._fresh(texts)
+        begins = np.cumsum(lengths) - lengths + len(self.ids)
+        self.ids = np.concatenate((self.ids, ids))
+        return lengths, begins
+
+    def _forget(self, needed: np.ndarray) -> None:
+        """Keeps half of the segments, those used most, and the needed ones; their use counts half from now on."""
+        keep = np.zeros(len(self.hashes), bool)
+        keep[np.argsort(-self.used, kind="stable")[: CACHE_SEGMENTS // 2]] = True
+        keep[np.searchsorted(self.hashes, needed)] = True
+        self.ids = self.ids[ragged(self.begins[keep], self.lengths[keep])]
+        self.hashes, self.checks, self.lengths, self.used = self.hashes[keep], self.checks[keep], self.lengths[keep], self.used[keep] // 2
+        self.begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
 
 
 _encoders: dict[str, Encoder] = {}
@@ -185,7 +220,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     found = pieces.dictionary_encode()
     codes = np.asarray(found.indices)
     encoder = _encoder(path)
-    begins, lengths = encoder(found.dictionary.to_pylist(), np.bincount(codes, minlength=len(found.dictionary)))
+    begins, lengths = encoder(found.dictionary, np.bincount(codes, minlength=len(found.dictionary)))
     each = lengths[codes]
     upto = np.concatenate(([0], np.cumsum(each)))
     edges = np.concatenate(([0], np.cumsum(per_text)))
