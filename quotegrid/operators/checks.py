@@ -73,3 +73,14 @@ def compare_runs(old: DataFrame, new: DataFrame, show: str, shows_drop: float =
 def run_status(attempts: Column, ok: Column, network_failures: Column) -> Column:
     """``drift`` if all attempts failed, unless all by the network (``blocked``); ``idle`` without attempts."""
     return F.when(attempts == 0, "idle").when(ok > 0, "ok").when(network_failures == attempts, "blocked").otherwise("drift")
+
+
+def differing_share(df: DataFrame, a: str, b: str, most: float = 0.05) -> DataFrame:
+    """One row: rows that have both of two ids, those whose ids differ, and whether they are too many."""
+    one = df.where(c(a).isNotNull() & c(b).isNotNull()).agg(F.count("*").alias("n"), F.count_if(c(a).cast("string") != c(b).cast("string")).alias("differing"))
+    return one.withColumn("exceeded", F.coalesce(c("differing") > c("n") * most, F.lit(False)))
+
+
+def agreement(df: DataFrame, mark: Column) -> DataFrame:
+    """One row: how often a mark is true, false and unknown."""
+    return df.agg(F.count_if(mark).alias("agree"), F.count_if(~mark).alias("differ"), F.count_if(mark.isNull()).alias("unknown"))

@@ -406,3 +406,15 @@ def nested_turns(spark, sf_dir):
     """Rows collected to an array in order and read again as one."""
     turns = A.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("t"))
     return turns.select("conv_id", F.size("t").alias("turns"), F.array_join(F.transform("t", lambda x: x["role"]), ",").alias("roles"), F.array_max(F.transform("t", lambda x: x["n"])).alias("longest"))
+
+
+@query(with_(SEEN, _RAW) + "SELECT count(*) FILTER (abs(seat_min_price - price_from) <= 0.5) AS agree, count(*) FILTER (abs(seat_min_price - price_from) > 0.5) AS differ, count(*) FILTER (seat_min_price IS NULL) AS unknown FROM raw")
+def price_agreement(spark, sf_dir):
+    seen = A.observations(spark, sf_dir).withColumn("seat", F.expr(_CHECKED["seat_min_price"].format(d="D")))
+    return Q.agreement(seen, V.agrees(c("seat"), c("price_from")))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (l_orderkey % 7 <> l_partkey % 7) AS differing, count(*) FILTER (l_orderkey % 7 <> l_partkey % 7) > count(*) * 0.05::DOUBLE AS exceeded FROM lineitem")
+def identity_mismatch(spark, sf_dir):
+    rows = A.read(spark, sf_dir, "lineitem").select((c("l_orderkey") % 7).alias("a"), (c("l_partkey") % 7).alias("b"))
+    return Q.differing_share(rows, "a", "b")

@@ -121,3 +121,25 @@ def test_streaming_floors(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.floor, r.n, r.shows) for r in spark.table("floors").collect()] == [(4.0, 2, 2)]
+
+
+def test_paged_source(spark, tmp_path):
+    from quotegrid.sources.paged import PagedJson
+
+    spark.dataSource.register(PagedJson)
+    for o, ids in ((0, [1, 2]), (2, [3, 4]), (4, [4, 5]), (6, [5])):
+        (tmp_path / f"page-{o}.json").write_text(json.dumps([{"id": i} for i in ids]))
+    read = spark.read.format("paged_json").option("path", str(tmp_path)).option("limit", "2")
+    assert sorted((r.key, r.pos) for r in read.load().collect()) == [("1", 0), ("2", 1), ("3", 2), ("4", 3), ("5", 5)]  # the last page brings nothing new
+    known = read.option("total", "4").load()
+    assert known.rdd.getNumPartitions() == 2 and sorted(r.key for r in known.collect()) == ["1", "2", "3", "4"]
+
+
+def test_conform(spark):
+    from quotegrid.sources import schemas
+
+    df = spark.createDataFrame([("7", "x", 1.5, "extra")], "show_id string, show_ord string, price_from double, other string")
+    got = schemas.conform(df, schemas.OFFER)
+    assert got.columns[:3] == ["show_id", "show_ord", "date"] and "other" not in got.columns
+    r = got.first()
+    assert (r.show_id, r.show_ord, r.price_from, r.available) == (7, None, 1.5, None)
