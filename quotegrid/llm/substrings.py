@@ -18,7 +18,6 @@ documents, and the words outside are kept.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, text_chunks, window_hashes, written
+from .common import NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, text_chunks, window_hashes
 
 WIDTH = 50
 HASH_BYTES = 6

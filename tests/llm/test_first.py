@@ -107,6 +107,31 @@ def test_tokens_real(spark, sf_dir):
     assert sorted(map(tuple, got)) == brute.token_rows(real(sf_dir), tokenizer_path())
 
 
+@pytest.mark.parametrize("hashes,most", [(None, 60), (97, 1_000_000), (97, 80)])
+def test_encoder_keeps_segments_apart(monkeypatch, hashes, most):
+    """Small caches forget, and hashes that collide are told apart by the second one."""
+    import random
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import xxhash
+    from tokenizers import Tokenizer
+
+    real = xxhash.xxh64_intdigest
+    monkeypatch.setattr(tokenstore, "CACHE_SEGMENTS", most)
+    monkeypatch.setattr(tokenstore, "_encoders", {})
+    if hashes:
+        monkeypatch.setattr(tokenstore, "xxhash", SimpleNamespace(xxh64_intdigest=lambda b: real(b) % hashes))
+    t, rnd = Tokenizer.from_file(tokenizer_path()), random.Random(1)
+    for _ in range(25):
+        texts = [" ".join(rnd.choice(["alpha", "beta", f"gamma{rnd.randrange(90)}", "é", "  x", "\n", "<|endoftext|>", "\u3000", "don't"]) for _ in range(rnd.randrange(40))) for _ in range(8)]
+        ids, n = tokenstore.encode(pa.array(texts), tokenizer_path())
+        at = 0
+        for x, m in zip(texts, n.tolist()):
+            assert ids[at : at + m].tolist() == t.encode(x, add_special_tokens=False).ids
+            at += m
+
+
 def test_merkle():
     for n in range(20):
         leaves, tree = [bytes([i]) for i in range(n)], tokenstore._Tree()

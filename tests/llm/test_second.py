@@ -6,8 +6,6 @@ import fixtures
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
-
 from quotegrid.llm import decontam, hosts, licenses, quality, secret_ledger, toxicity
 from quotegrid.llm.entry import QUERIES
 
