@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ CLOSING_DAYS, TIER_DAYS = 18, 1
 VENUE = "nation-3"
 
 
-def _eff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.effective(A.offers(spark, sf_dir))
+def _eff(spark: SparkSession, sf_dir: str, start: datetime.date | None = None, days: int | None = None) -> DataFrame:
+    return O.effective(_offers(spark, sf_dir, start, days))
+
+
+def _offers(spark: SparkSession, sf_dir: str, start: datetime.date | None = A.AS_OF, days: int | None = None) -> DataFrame:
+    """Offers of performances from a day on, of so many days."""
+    return A.offers(spark, sf_dir, start, start + datetime.timedelta(days=days) if start and days else None)
 
 
 @query(with_(EFF) + "SELECT show_id, date, time, seller, price, seller_count FROM eff")
@@ -26,12 +33,12 @@ def effective_cheapest(spark, sf_dir):
 
 @query(with_(EFF) + f"SELECT show_id, time, seller, price, seller_count FROM eff WHERE date = {D}")
 def for_date(spark, sf_dir):
-    return O.for_date(_eff(spark, sf_dir), A.AS_OF)
+    return O.for_date(_eff(spark, sf_dir, A.AS_OF, 1), A.AS_OF)
 
 
 @query(with_(OFFERS, SHOWS) + f"SELECT show_id, title, venue FROM shows WHERE show_id IN (SELECT show_id FROM offers WHERE date >= {D})")
 def upcoming_shows(spark, sf_dir):
-    return O.upcoming(A.shows(spark, sf_dir), A.offers(spark, sf_dir), A.AS_OF).select("show_id", "title", "venue")
+    return O.upcoming(A.shows(spark, sf_dir), _offers(spark, sf_dir), A.AS_OF).select("show_id", "title", "venue")
 
 
 _TONIGHT = f"date = {D} AND NOT coalesce(CASE WHEN split_part(time, ':', 1)::INT <= 23 THEN split_part(time, ':', 1)::INT * 60 + split_part(time, ':', 2)::INT END < {A.NOW_MINUTES} + 20, false)"
@@ -39,13 +46,13 @@ _TONIGHT = f"date = {D} AND NOT coalesce(CASE WHEN split_part(time, ':', 1)::INT
 
 @query(with_(EFF) + f"SELECT row_number() OVER (ORDER BY price, show_ord, time) AS rank, show_id, time, seller, price FROM eff WHERE {_TONIGHT} QUALIFY rank <= 5")
 def tonight(spark, sf_dir):
-    rows = O.tonight(_eff(spark, sf_dir), A.AS_OF, A.NOW_MINUTES)
+    rows = O.tonight(_eff(spark, sf_dir, A.AS_OF, 1), A.AS_OF, A.NOW_MINUTES)
     return O.first_rows(rows, [F.col("price"), F.col("show_ord"), F.col("time")], 5).select("rank", "show_id", "time", "seller", "price")
 
 
 @query(with_(EFF) + f"SELECT min(price) AS floor, count(*) AS perf_count, count(DISTINCT show_id) AS show_count, count(DISTINCT CASE WHEN price < 35 THEN show_id END) AS under_count FROM eff WHERE {_TONIGHT}")
 def tonight_stats(spark, sf_dir):
-    return O.tonight_stats(_eff(spark, sf_dir), A.AS_OF, A.NOW_MINUTES)
+    return O.tonight_stats(_eff(spark, sf_dir, A.AS_OF, 1), A.AS_OF, A.NOW_MINUTES)
 
 
 def _days(start: str, days: int) -> str:
@@ -57,7 +64,7 @@ _FLOORS = "fl AS (SELECT date, min(price) AS floor, count(DISTINCT show_id) AS s
 
 @query(with_(EFF, _days(D, 7), _FLOORS, f"cuts AS ({cuts('floor', 'fl')})") + f"SELECT days.date AS date, floor, coalesce(show_count, 0) AS show_count, floor IS NULL AS is_dark, CASE WHEN floor IS NULL THEN 5 ELSE {bucket('floor')} END AS bucket FROM days LEFT JOIN fl USING (date), cuts")
 def week_days(spark, sf_dir):
-    return O.week_days(_eff(spark, sf_dir), A.AS_OF)
+    return O.week_days(_eff(spark, sf_dir, A.AS_OF, 7), A.AS_OF)
 
 
 _BEST = "best AS (SELECT date, show_id, show_ord, time, price FROM eff QUALIFY row_number() OVER (PARTITION BY date, show_id ORDER BY price, time) = 1)"
@@ -65,7 +72,7 @@ _BEST = "best AS (SELECT date, show_id, show_ord, time, price FROM eff QUALIFY r
 
 @query(with_(EFF, _BEST) + f"SELECT date, row_number() OVER (PARTITION BY date ORDER BY price, show_ord) AS rank, show_id, time, price FROM best WHERE date >= {D} AND date < {D} + 7 QUALIFY rank <= 5")
 def week_top5(spark, sf_dir):
-    return O.top_shows(O.between(_eff(spark, sf_dir), A.AS_OF, 7), 5)
+    return O.top_shows(O.between(_eff(spark, sf_dir, A.AS_OF, 7), A.AS_OF, 7), 5)
 
 
 @query(
@@ -78,7 +85,7 @@ def week_top5(spark, sf_dir):
     + f"SELECT b.show_id AS show_id, date, time, price, lo AS other_low, hi AS other_high, {label('lo', 'hi')} AS other_range FROM b LEFT JOIN o ON b.show_id = o.show_id"
 )
 def week_best_per_show(spark, sf_dir):
-    return O.week_best(_eff(spark, sf_dir), A.AS_OF)
+    return O.week_best(_eff(spark, sf_dir, A.AS_OF, 7), A.AS_OF)
 
 
 _MONTH = "DATE '2024-01-01'"
@@ -86,22 +93,22 @@ _MONTH = "DATE '2024-01-01'"
 
 @query(with_(EFF, _days(_MONTH, 31), _FLOORS, f"cuts AS ({cuts('floor', 'fl')})") + f"SELECT days.date AS date, floor, floor IS NULL AS is_dark, days.date < {D} AS is_past, CASE WHEN floor IS NOT NULL THEN {bucket('floor')} - 1 END AS bucket FROM days LEFT JOIN fl USING (date), cuts")
 def month_days(spark, sf_dir):
-    return O.month_days(_eff(spark, sf_dir), A.AS_OF)
+    return O.month_days(_eff(spark, sf_dir, *O.month_start(A.AS_OF)), A.AS_OF)
 
 
 @query(with_(EFF) + f"SELECT date, price, show_id FROM eff WHERE date >= {D} AND date < {_MONTH} + 31 AND isodow(date) <= 4 ORDER BY price, date, show_ord, time LIMIT 1")
 def month_cheapest_weeknight(spark, sf_dir):
-    return O.cheapest_weeknight(_eff(spark, sf_dir), A.AS_OF)
+    return O.cheapest_weeknight(_eff(spark, sf_dir, *O.month_start(A.AS_OF)), A.AS_OF)
 
 
 @query(with_(OFFERS, SHOWS) + f"SELECT show_id, title, max_price - min_price AS range FROM shows WHERE min_price > 0 AND max_price > 0 AND show_id IN (SELECT show_id FROM offers WHERE date >= {D} AND date < {_MONTH} + 31) ORDER BY range DESC, show_ord LIMIT 1")
 def month_widest_range(spark, sf_dir):
-    return O.widest_range(A.shows(spark, sf_dir), A.offers(spark, sf_dir), A.AS_OF)
+    return O.widest_range(A.shows(spark, sf_dir), _offers(spark, sf_dir, *O.month_start(A.AS_OF)), A.AS_OF)
 
 
 @query(with_(EFF) + f"SELECT (SELECT count(DISTINCT show_id) FROM offers WHERE date >= {_MONTH} AND date < {_MONTH} + 31) AS show_count, (SELECT count(DISTINCT date) FROM eff WHERE date >= {_MONTH} AND date < {_MONTH} + 31) AS date_count")
 def month_activity(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir, *O.month_start(A.AS_OF))
     return O.month_activity(off, O.effective(off), A.AS_OF)
 
 
@@ -110,12 +117,12 @@ _FRIDAY = "DATE '2024-01-12'"
 
 @query(with_(EFF, _days(_FRIDAY, 3), _FLOORS) + "SELECT days.date AS date, floor, coalesce(show_count, 0) AS show_count, floor IS NULL AS is_dark FROM days LEFT JOIN fl USING (date)")
 def weekend_days(spark, sf_dir):
-    return O.weekend_days(_eff(spark, sf_dir), A.AS_OF)
+    return O.weekend_days(_eff(spark, sf_dir, A.AS_OF, 9), A.AS_OF)
 
 
 @query(with_(EFF, _BEST) + f"SELECT date, row_number() OVER (PARTITION BY date ORDER BY price, show_ord) AS rank, show_id, time, price FROM best WHERE date >= {_FRIDAY} AND date < {_FRIDAY} + 3 QUALIFY rank <= 3")
 def weekend_top3(spark, sf_dir):
-    return O.weekend_top(_eff(spark, sf_dir), A.AS_OF)
+    return O.weekend_top(_eff(spark, sf_dir, A.AS_OF, 9), A.AS_OF)
 
 
 _MAT = f"m AS (SELECT *, date_trunc('week', date)::DATE AS week, split_part(time, ':', 1)::INT AS hour FROM eff WHERE date >= {D})"
@@ -131,7 +138,7 @@ _MAT = f"m AS (SELECT *, date_trunc('week', date)::DATE AS week, split_part(time
     + "SELECT week, row_number() OVER (PARTITION BY week ORDER BY price, show_ord) AS rank, show_id, date, time, price, evening_price, CASE WHEN evening_price > price THEN floor(evening_price - price + 0.5::DOUBLE)::BIGINT END AS savings FROM x LEFT JOIN e USING (week, show_id) QUALIFY rank <= 8"
 )
 def matinee_rows(spark, sf_dir):
-    return O.matinee_rows(_eff(spark, sf_dir), A.AS_OF)
+    return O.matinee_rows(_eff(spark, sf_dir, A.AS_OF), A.AS_OF)
 
 
 _MON3 = "upper(strftime({}, '%b'))"
@@ -156,7 +163,7 @@ def matinee_weeks(spark, sf_dir):
     + "SELECT tier_ord, tier, count(show_id) AS show_count, arg_min(show_id, row(price, show_ord)) AS headline_show, min(price) AS headline_price FROM t LEFT JOIN b ON price >= lo AND price < hi GROUP BY tier_ord, tier"
 )
 def price_tiers(spark, sf_dir):
-    return O.price_tiers(_eff(spark, sf_dir), A.AS_OF, TIER_DAYS)
+    return O.price_tiers(_eff(spark, sf_dir, A.AS_OF, TIER_DAYS), A.AS_OF, TIER_DAYS)
 
 
 @query(
@@ -169,7 +176,7 @@ def price_tiers(spark, sf_dir):
     + "SELECT row_number() OVER (ORDER BY spread DESC, show_ord) AS rank, show_id, date, time, cheap_seller, cheap_price, dear_seller, dear_price, spread, floor(spread / dear_price * 100 + 0.5::DOUBLE)::BIGINT AS pct, sellers FROM s QUALIFY rank <= 8"
 )
 def widest_spreads(spark, sf_dir):
-    return S.widest_spreads(A.offers(spark, sf_dir), A.AS_OF)
+    return S.widest_spreads(_offers(spark, sf_dir, A.AS_OF, 30), A.AS_OF)
 
 
 _FUTURE_FLOOR = f"ff AS (SELECT show_id, min(price) AS floor FROM eff WHERE date >= {D} GROUP BY show_id)"
@@ -180,7 +187,7 @@ _FUTURE_FLOOR = f"ff AS (SELECT show_id, min(price) AS floor FROM eff WHERE date
     + f"SELECT row_number() OVER (ORDER BY last_date - {D}, show_ord) AS rank, show_id, last_date, (last_date - {D})::INT AS days_left, remaining, floor, count(*) OVER () AS total_count FROM r JOIN ff USING (show_id) QUALIFY rank <= 8"
 )
 def closing_soon(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return O.closing_soon(O.effective(off), off, A.AS_OF, CLOSING_DAYS)
 
 
@@ -194,7 +201,7 @@ def closing_soon(spark, sf_dir):
     + f"SELECT row_number() OVER (ORDER BY first_date, show_ord) AS rank, show_id, first_date, (first_date - {D})::INT AS days_out, preview_floor, run_floor, CASE WHEN run_floor > preview_floor THEN floor(run_floor - preview_floor + 0.5::DOUBLE)::BIGINT END AS preview_savings, count(*) OVER () AS total_count FROM g QUALIFY rank <= 6"
 )
 def opening_soon(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return O.opening_soon(O.effective(off), off, A.AS_OF)
 
 
@@ -213,7 +220,7 @@ _SLUG = "regexp_replace(regexp_replace(regexp_replace(lower({}), '[''’]', '',
     + f"SELECT row_number() OVER (ORDER BY count(week) > 0 DESC, count(*) DESC, venue) AS rank, {_SLUG.format('venue')} AS slug, venue AS display_name, count(*) AS show_count, count(week) AS active_count, min(floor) AS floor, coalesce(sum(week), 0)::BIGINT AS week_perfs FROM e GROUP BY venue"
 )
 def venues(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return S.venues(A.shows(spark, sf_dir), off, O.effective(off), A.AS_OF)
 
 
@@ -222,7 +229,7 @@ def venues(spark, sf_dir):
     + f"SELECT show_id, title, floor, first_date, last_date, run_length FROM shows JOIN r USING (show_id) LEFT JOIN ff USING (show_id) WHERE {_SLUG.format('venue')} = '{VENUE}'"
 )
 def venue_detail(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return S.venue_detail(A.shows(spark, sf_dir), off, O.effective(off), A.AS_OF, VENUE)
 
 
@@ -242,7 +249,7 @@ _PICK = "p{0} AS (SELECT {0} AS pick, date, floor, perf_count FROM df WHERE {1}
 )
 def best_nights(spark, sf_dir):
     """With horizons that suit a table of one month."""
-    return O.best_nights(_eff(spark, sf_dir), A.AS_OF, days=60, near=5, middle=10, far=15)
+    return O.best_nights(_eff(spark, sf_dir, A.AS_OF, 60), A.AS_OF, days=60, near=5, middle=10, far=15)
 
 
 @query(
@@ -256,7 +263,7 @@ def best_nights(spark, sf_dir):
     + "SELECT r.i::INT AS dow, median, low, high, coalesce(n, 0)::INT AS n, coalesce(median <= least + 2, false) AS cheap, coalesce(dow = w.widest, false) AS widest FROM range(7) r(i) LEFT JOIN k ON r.i = k.dow, w"
 )
 def weekday_distribution(spark, sf_dir):
-    return O.weekday_distribution(_eff(spark, sf_dir), A.AS_OF)
+    return O.weekday_distribution(_eff(spark, sf_dir, A.AS_OF, 60), A.AS_OF)
 
 
 @query(
@@ -264,7 +271,7 @@ def weekday_distribution(spark, sf_dir):
     + f"SELECT days.date AS date, days.date >= {D} AND days.date < {D} + 90 AS in_window, floor, coalesce(perf_count, 0) AS perf_count, CASE WHEN floor IS NOT NULL THEN {bucket('floor')} END AS bucket, days.date >= {D} AND days.date < {D} + 90 AND floor IS NULL AS is_dark FROM days LEFT JOIN fl USING (date), cuts"
 )
 def monthly_calendar(spark, sf_dir):
-    return O.monthly_calendar(_eff(spark, sf_dir), A.AS_OF)
+    return O.monthly_calendar(_eff(spark, sf_dir, A.AS_OF, 90), A.AS_OF)
 
 
 @query(
@@ -278,7 +285,7 @@ def monthly_calendar(spark, sf_dir):
     + f"SELECT show_id, l <= {D} + 30 AS closing_soon, f > {D} AND f <= {D} + 21 AS opening_soon, n < 30 AS limited, coalesce(priced > 0 AND single = priced, false) AS exclusive, coalesce(floor <= 25 AND source_count <= 2, false) AS hidden_gem FROM r JOIN shows USING (show_id) LEFT JOIN p USING (show_id)"
 )
 def show_filters(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return S.show_filters(A.shows(spark, sf_dir), off, O.effective(off), A.AS_OF)
 
 
@@ -334,7 +341,7 @@ def price_axis(spark, sf_dir):
     + "SELECT show_id, time, price, sellers, CASE WHEN hi > lo THEN (price - lo) / (hi - lo) * 100 ELSE 50 END::DOUBLE AS position FROM g JOIN b USING (show_id, time)"
 )
 def spread_groups(spark, sf_dir):
-    return S.equal_prices(A.offers(spark, sf_dir), A.AS_OF)
+    return S.equal_prices(_offers(spark, sf_dir, A.AS_OF, 1), A.AS_OF)
 
 
 @query(
@@ -347,7 +354,7 @@ def seller_rows(spark, sf_dir):
 
 @query(with_(EFF, PERFS) + f"SELECT p.time AS time, p.show_id AS show_id, seller, price FROM perfs p LEFT JOIN eff e ON p.show_id = e.show_id AND p.date = e.date AND p.time = e.time WHERE p.date = {D}")
 def today_feed(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir, A.AS_OF, 1)
     return O.today_feed(off, O.effective(off), A.AS_OF)
 
 
@@ -356,7 +363,7 @@ _FILTERED = f"SELECT show_id FROM perfs WHERE date >= {D} GROUP BY show_id HAVIN
 
 @query(with_(EFF, SHOWS, PERFS, _FUTURE_FLOOR) + f"SELECT show_id, title, venue, floor FROM shows LEFT JOIN ff USING (show_id) WHERE (contains(lower(title), 'ion_1') OR contains(lower(venue), 'ion_1')) AND show_id IN ({_FILTERED})")
 def search(spark, sf_dir):
-    off, shows = A.offers(spark, sf_dir), A.shows(spark, sf_dir)
+    off, shows = _offers(spark, sf_dir), A.shows(spark, sf_dir)
     eff = O.effective(off)
     return S.search(shows, S.show_filters(shows, off, eff, A.AS_OF), eff, A.AS_OF, " ION_1 ", "limited")
 
@@ -366,7 +373,7 @@ def search(spark, sf_dir):
     + f"SELECT show_id, date, other_low, other_high, {label('other_low', 'other_high')} AS label FROM o"
 )
 def other_dates_range(spark, sf_dir):
-    return O.other_dates(_eff(spark, sf_dir), A.AS_OF)
+    return O.other_dates(_eff(spark, sf_dir, A.AS_OF), A.AS_OF)
 
 
 @query(
@@ -381,7 +388,7 @@ def other_dates_range(spark, sf_dir):
     + f"SELECT show_id, date, floor, CASE WHEN floor IS NOT NULL THEN {bucket('floor')} END AS bucket, times FROM d LEFT JOIN fl USING (show_id, date) LEFT JOIN c USING (show_id)"
 )
 def show_month_grid(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return O.month_grid(O.effective(off), off, A.AS_OF)
 
 
@@ -395,12 +402,12 @@ def default_dates(spark, sf_dir):
 
 @query(f"SELECT {D} AS date")
 def default_week_day(spark, sf_dir):
-    return V.default_day(O.week_days(_eff(spark, sf_dir), A.AS_OF), A.AS_OF)
+    return V.default_day(O.week_days(_eff(spark, sf_dir, A.AS_OF, 7), A.AS_OF), A.AS_OF)
 
 
 @query(with_(OFFERS, SHOWS) + f"SELECT venue AS display_name, count(*) AS show_count FROM shows WHERE contains(lower(venue), 'nation_1') GROUP BY venue")
 def venue_search(spark, sf_dir):
-    off = A.offers(spark, sf_dir)
+    off = _offers(spark, sf_dir)
     return V.venue_search(S.venues(A.shows(spark, sf_dir), off, O.effective(off), A.AS_OF), " Nation_1 ").select("display_name", "show_count")
 
 
@@ -409,7 +416,7 @@ def venue_search(spark, sf_dir):
     + "SELECT date, dow, floor, ((row_number() OVER (PARTITION BY dow, floor ORDER BY date) - 1) - (count(*) OVER (PARTITION BY dow, floor) - 1) / 2.0::DOUBLE) * 5 AS offset FROM f"
 )
 def floor_swarm(spark, sf_dir):
-    floors = O.day_floors(_eff(spark, sf_dir).where(F.col("date") >= O.lit_date(A.AS_OF))).select("date", F.weekday("date").alias("dow"), F.floor("floor").cast("double").alias("floor"))
+    floors = O.day_floors(_eff(spark, sf_dir, A.AS_OF).where(F.col("date") >= O.lit_date(A.AS_OF))).select("date", F.weekday("date").alias("dow"), F.floor("floor").cast("double").alias("floor"))
     return V.swarm(floors, "dow", "floor", "date")
 
 
@@ -423,7 +430,7 @@ def floor_swarm(spark, sf_dir):
     + "SELECT show_id, spread, greatest(8::DOUBLE, spread / (SELECT max(spread) FROM b) * 100) AS width FROM b"
 )
 def spread_bars(spark, sf_dir):
-    return V.bar_widths(S.widest_spreads(A.offers(spark, sf_dir), A.AS_OF).select("show_id", "spread"), "spread")
+    return V.bar_widths(S.widest_spreads(_offers(spark, sf_dir, A.AS_OF, 30), A.AS_OF).select("show_id", "spread"), "spread")
 
 
 @query(
@@ -432,7 +439,7 @@ def spread_bars(spark, sf_dir):
 )
 def run_badges(spark, sf_dir):
     day = O.lit_date(A.AS_OF)
-    runs = A.offers(spark, sf_dir).where(F.col("date") >= day).groupBy("show_id").agg(F.date_diff(F.min("date"), day).alias("days_out"), F.date_diff(F.max("date"), day).alias("days_left"))
+    runs = _offers(spark, sf_dir).where(F.col("date") >= day).groupBy("show_id").agg(F.date_diff(F.min("date"), day).alias("days_out"), F.date_diff(F.max("date"), day).alias("days_left"))
     return runs.select("show_id", V.closing_badge(F.col("days_left")).alias("badge"), V.opening_label(F.col("days_out")).alias("opening"))
 
 
@@ -449,7 +456,7 @@ def price_labels(spark, sf_dir):
 
 @query(with_(OFFERS) + f"SELECT DISTINCT show_id, year(date)::INT AS year, month(date)::INT AS month FROM offers WHERE date >= {D}")
 def months_needed(spark, sf_dir):
-    return V.months_needed(A.offers(spark, sf_dir), A.AS_OF)
+    return V.months_needed(_offers(spark, sf_dir), A.AS_OF)
 
 
 @query(with_(OFFERS, PERFS, SHOWS) + "SELECT '' AS generated_at, (SELECT count(*) FROM shows) AS show_count, (SELECT count(*) FROM perfs) AS performance_count")
