@@ -80,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substrings.SQL,
     "op8_secret_scan": secret_ledger.SQL,
     "op10_url_filter": hosts.SQL,
 }

@@ -214,3 +214,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(int(NULL_ID)))).withColumn("print", F.xxhash64("text"))
     joined = keyed.join(runs.hint("shuffle_hash"), ["doc", "print"], "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: The query's rows by whole windows as texts.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT rid, doc_id, s, array_to_string(w[s:s + {WIDTH - 1}], ' ') AS k FROM d, unnest(range(1, len(w) - {WIDTH - 2})) t(s) WHERE len(w) >= {WIDTH}),
+f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+r AS (SELECT rid, s FROM v JOIN f USING (k) WHERE doc_id > first),
+g AS (SELECT DISTINCT rid, p FROM r, unnest(range(s, s + {WIDTH})) t(p)),
+a AS (SELECT rid, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) t(p)),
+k AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM a ANTI JOIN g USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""

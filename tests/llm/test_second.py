@@ -298,7 +298,7 @@ def test_shrinkage(spark):
 # --- DuckDB
 
 
-@pytest.mark.parametrize("name", ["op8_secret_scan", "op10_url_filter"])
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op8_secret_scan", "op10_url_filter"])
 def test_sql(spark, sf_dir, name):
     import duckdb
 
