@@ -37,15 +37,15 @@ KEY_BYTES = 16
 #: Ids of a chunk: at least, on average (a power of two), at most; ids under the rolling hash.
 LEAST, MEAN, MOST, ROLL = 128, 1024, 8192, 16
 #: Segments whose ids a worker remembers.
-CACHE_SEGMENTS = 2_000_000
+CACHE_SEGMENTS = 1_500_000
 #: Text bytes encoded at once.
 ENCODE_BYTES = 4 << 20
 PIECES = "kind string, key binary, doc_id long, n long, payload binary"
 
 class Encoder:
     """A tokenizer of a file with the ids of segments seen before, in flat arrays:
-    the segments' hashes in ascending order, a check made from their ends and
-    lengths, and where their ids stand in ``ids``. When there are more than
+    the segments' hashes in ascending order, a second hash that must agree too, and
+    where their ids stand in ``ids``. When there are more than
     CACHE_SEGMENTS, those used most often stay."""
 
     SEPARATOR = b"\n"  # a pretoken of its own between segments without white space inside
@@ -58,9 +58,10 @@ class Encoder:
         if hasattr(self.tokenizer.model, "_resize_cache"):  # no segment comes twice, so the library's own cache only costs
             self.tokenizer.model._resize_cache(0)
         self.between = self._encode([self.SEPARATOR.decode()])[0]
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.hashes, self.checks = np.zeros(0, U64), np.zeros(0, np.uint32)
-        self.begins, self.lengths, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.uint32)
+        self.begins, self.lengths, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.kind)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -103,23 +104,12 @@ class Encoder:
         spaces = np.concatenate(([0], np.cumsum(white)))
         return (spaces[begins + lengths] == spaces[begins]) & ((lengths > 1) | (data[begins] != 32))
 
-    @staticmethod
-    def _checks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A number from each segment's length and its first and last four bytes."""
-        n = np.diff(offsets)
-        out = n.astype(np.uint32)
-        for j in range(4):
-            step = np.minimum(j, n - 1)
-            out = out * np.uint32(0x01000193) + data[offsets[:-1] + step]
-            out = out * np.uint32(0x01000193) + data[offsets[1:] - 1 - step]
-        return out
-
     def __call__(self, names: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For distinct segments that occur ``counts`` times: where their ids begin in ``ids``, and how many they are."""
         texts = names.to_pylist()
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts))
+        hashes, checks = np.fromiter(map(xxhash.xxh64_intdigest, texts), U64, len(texts)), np.fromiter(map(zlib.crc32, texts), np.uint32, len(texts))
         order = np.argsort(hashes)
-        hashes, checks, counts = hashes[order], self._checks(*raw(names))[order], counts[order]
+        hashes, checks, counts = hashes[order], checks[order], counts[order]
         known = self._known(hashes)
         new = np.flatnonzero(~known)
         if len(new):
@@ -147,7 +137,7 @@ class Encoder:
     def _add_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths, ids = self._fresh(texts)
         begins = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate((self.ids, ids))
+        self.ids = np.concatenate((self.ids, ids.astype(self.kind)))
         return lengths, begins
 
     def _forget(self, needed: np.ndarray) -> None:
@@ -157,7 +147,7 @@ class Encoder:
         keep[np.searchsorted(self.hashes, needed)] = True
         self.ids = self.ids[ragged(self.begins[keep], self.lengths[keep])]
         self.hashes, self.checks, self.lengths, self.used = self.hashes[keep], self.checks[keep], self.lengths[keep], self.used[keep] // 2
-        self.begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.begins = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
 
 
 _encoders: dict[str, Encoder] = {}
@@ -352,6 +342,8 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, path: str |
     spark = docs.sparkSession
     small_batches(spark)
     path = path or shared_dir(spark)
+    if id_bytes < 4 and max(end_id, _encoder(tokenizer).tokenizer.get_vocab_size() - 1) >= 1 << 8 * id_bytes:
+        raise ValueError(f"ids of {tokenizer} need more than {id_bytes} bytes")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = texts.mapInArrow(_pieces(tokenizer, end_id, id_bytes), PIECES).withColumn("row", F.when(F.col("kind") == "doc", F.monotonically_increasing_id()))
     once = pieces.repartition("key").groupBy("kind", "key", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("payload").alias("payload"))  # every document row, equal chunks once
