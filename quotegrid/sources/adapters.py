@@ -27,41 +27,45 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def observations(spark: SparkSession, sf_dir: str, start: datetime.date | None = None, stop: datetime.date | None = None) -> DataFrame:
-    """Offers as they were seen, several for a performance and seller: ``seq``
-    orders them. Performances from ``start`` to before ``stop`` only: the bounds
-    stand on the stored column, so that the scan skips what it can."""
+def _seen(spark: SparkSession, sf_dir: str, start: datetime.date | None, stop: datetime.date | None) -> DataFrame:
     events = read(spark, sf_dir, "events")
     if start:
         events = events.where(F.col("ts") >= F.lit(datetime.datetime.combine(start, datetime.time())).cast("timestamp_ntz"))
     if stop:
         events = events.where(F.col("ts") < F.lit(datetime.datetime.combine(stop, datetime.time())).cast("timestamp_ntz"))
     k = F.expr("try_cast(get_json_object(props, '$.k') as int)")
-    rank = F.array_position(F.array(*map(F.lit, SELLERS)), F.col("source")).cast("int")
-    return (
-        events
-        .select(F.col("event_id").alias("seq"), F.col("user_id").alias("show_id"), F.to_date("ts").alias("date"), F.when(F.hour("ts") < 17, "14:30").otherwise("19:30").alias("time"), F.col("event_type").alias("source"), F.col("value").alias("price_from"), k.alias("k"), F.col("ts").alias("seen_at"))
-        .withColumns(
-            {
-                "show_ord": F.col("show_id"),
-                "source_ord": rank,
-                "price_to": F.when(F.col("k") % 4 == 0, F.col("price_from") * F.lit(1.5)),
-                "currency": F.lit("GBP"),
-                "book_url": F.when(F.col("k") % 3 != 0, F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("show_id").cast("string"))),
-                "available": F.when(F.col("k") < 10, False).when(F.col("k") < 80, True),
-            }
-        )
+    return events.select(F.col("event_id").alias("seq"), F.col("user_id").alias("show_id"), F.to_date("ts").alias("date"), F.when(F.hour("ts") < 17, "14:30").otherwise("19:30").alias("time"), F.col("event_type").alias("source"), F.col("value").alias("price_from"), k.alias("k"), F.col("ts").alias("seen_at"))
+
+
+def _derived(seen: DataFrame) -> DataFrame:
+    return seen.withColumns(
+        {
+            "show_ord": F.col("show_id"),
+            "source_ord": F.array_position(F.array(*map(F.lit, SELLERS)), F.col("source")).cast("int"),
+            "price_to": F.when(F.col("k") % 4 == 0, F.col("price_from") * F.lit(1.5)),
+            "currency": F.lit("GBP"),
+            "book_url": F.when(F.col("k") % 3 != 0, F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("show_id").cast("string"))),
+            "available": F.when(F.col("k") < 10, False).when(F.col("k") < 80, True),
+        }
     )
 
 
+def observations(spark: SparkSession, sf_dir: str, start: datetime.date | None = None, stop: datetime.date | None = None) -> DataFrame:
+    """Offers as they were seen, several for a performance and seller: ``seq``
+    orders them. Performances from ``start`` to before ``stop`` only: the bounds
+    stand on the stored column, so that the scan skips what it can."""
+    return _derived(_seen(spark, sf_dir, start, stop))
+
+
 def offers(spark: SparkSession, sf_dir: str, start: datetime.date | None = None, stop: datetime.date | None = None) -> DataFrame:
     """The last observation of each performance and seller. One shuffle by
-    performance serves this step and all that follow by performance: few rows
-    repeat, so nothing is lost by not summing before it."""
-    key = ["show_id", "show_ord", "date", "time", "source", "source_ord"]
-    rest = ["price_from", "price_to", "currency", "book_url", "available"]
-    last = observations(spark, sf_dir, start, stop).repartition("show_id", "date", "time").groupBy(*key).agg(F.max_by(F.struct(*rest), "seq").alias("x"))
-    return last.select(*key, *[f"x.{c}" for c in rest])
+    performance serves this step and all that follow by performance (few rows
+    repeat, so nothing is lost by not summing before it); what follows from other
+    columns is made after it, so it isn't moved."""
+    key = ["show_id", "date", "time", "source"]
+    last = _seen(spark, sf_dir, start, stop).repartition("show_id", "date", "time").groupBy(*key).agg(F.max_by(F.struct("price_from", "k"), "seq").alias("x"))
+    columns = ["show_id", "show_ord", "date", "time", "source", "source_ord", "price_from", "price_to", "currency", "book_url", "available"]
+    return _derived(last.select(*key, "x.price_from", "x.k")).select(*columns)
 
 
 def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
