@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,23 +124,32 @@ def _intervals(repeated, row, start, docs, prints, width) -> pa.RecordBatch | No
     return pa.RecordBatch.from_arrays([pa.array(docs[row[head]]), pa.array(prints[row[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + width).astype(np.int32))], ["doc", "print", "start", "stop"])
 
 
-def _match(width: int, rows_at_once: int = 1 << 14):
+def _match(width: int, windows_at_once: int = 1 << 18):
+    """Decides whole anchor groups, about so many windows at once: a row may hold
+    very many windows, where a text repeats one word."""
+
+    def size(batch: pa.RecordBatch) -> int:
+        return (pc.sum(pc.binary_length(batch.column("hashes"))).as_py() or 0) // HASH_BYTES
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n, wait = 0, rows_at_once
+        n, wait = 0, windows_at_once
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            n += batch.num_rows
+            n += size(batch)
             if n < wait:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             anchors = np.asarray(whole.column("anchor"))
             cut = int(np.flatnonzero(anchors == anchors[-1])[0])  # the last group may go on in the next batch
-            held, n = [whole.slice(cut)], whole.num_rows - cut
-            wait = max(rows_at_once, 2 * n)
+            held = [whole.slice(cut)]
+            n = size(held[0])
+            wait = max(windows_at_once, 2 * n)
             if cut and (out := _decide(whole.slice(0, cut), width)) is not None:
                 yield out
-        if n and (out := _decide(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)) is not None:
+        if held and (out := _decide(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width)) is not None:
             yield out
 
     return rows

@@ -154,7 +154,8 @@ def test_licenses(spark, sf_dir):
     mit = dict(licenses.TEMPLATES[:1])["mit"]
     edited = mit.replace("free of charge", "at no cost").replace("Software", "SOFTWARE")
     texts = [None, "", "MIT  license, Apache\nLicense! cc-by cc by-sa", "x " * 40 + edited + " tail words", " ".join(mit.split()[:25]), "the gnu general, public license" * 3, "no such words"]
-    df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] + [(None, mit, None, None)], "doc_id long, text string, labels string, score double")
+    df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] + [(None, mit, None, None), (2, texts[2], "clash", 1.0), (50, "mit license " + "word " * 100_000, None, None)], "doc_id long, text string, labels string, score double")
+    assert licenses.scan(df).count() == len(texts) + 3
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     for i, t in enumerate(texts):
         r = got[i]
