@@ -215,14 +215,18 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return prints.join(named.join(least, "label").select("print", "label", "component_id"), "print").select("doc_id", "own", "print", "label", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs``, whole, without near copies: of each component the row
-    with the smallest doc_id (a null one last, then the smallest text hash) stays,
-    and of repeated rows one."""
+def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, without near copies: of each label in ``found``
+    (doc_id, own, label) the row with the smallest doc_id (a null one last, then
+    the smallest text hash) stays, and of repeated rows one."""
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))), F.xxhash64(F.col(text_col))]
-    found = groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget)
     first = found.groupBy("label").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("id"), "own")).alias("first")).select("first.id", "first.own")
     doc, own, row = (f"{x}_of_" + "_".join(docs.columns) for x in ("id", "own", "row"))  # names that no column has
     kept = docs.withColumns({doc: key[0], own: key[1]}).join(first.select(F.col("id").alias(doc), F.col("own").alias(own)), [doc, own], "left_semi")
     same = Window.partitionBy(doc, own).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs``, whole, without near copies: of each component the row that ``first_of_each`` takes."""
+    return first_of_each(docs, groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, budget=budget), id_col=id_col, text_col=text_col)
