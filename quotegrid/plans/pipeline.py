@@ -367,6 +367,16 @@ def money_parse(spark, sf_dir):
     return A.read(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select("o_orderkey", prices.parse_money(tag).alias("amount"))
 
 
+_TAG_ALL = _TAG.replace("'£' || o_totalprice", "'£' || printf('%.2f', o_totalprice)")
+
+
+@query(f"SELECT o_orderkey, TRY_CAST(nullif(replace(regexp_extract({_TAG_ALL}, '£?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS amount FROM orders")
+def money_parse_all(spark, sf_dir):
+    """Every order; ``money_parse`` leaves out those with the plain form."""
+    tag = F.expr("case o_orderkey % 4 when 0 then format_string('£%.2f', o_totalprice) when 1 then concat('from £ 1,2', lpad(cast(o_orderkey % 100 as string), 2, '0'), '.50 each') when 2 then 'none' else concat(o_custkey, ' seats') end")
+    return A.read(spark, sf_dir, "orders").select("o_orderkey", prices.parse_money(tag).alias("amount"))
+
+
 @query(
     "SELECT o_orderkey, arg_min(d, row(abs(d - DATE '2024-01-10'), d)) AS nearest FROM (SELECT o_orderkey, TRY_CAST(y || strftime(o_orderdate, '-%m-%d') AS DATE) AS d FROM orders, (VALUES (2023), (2024), (2025)) v(y)) WHERE d IS NOT NULL GROUP BY o_orderkey"
 )
