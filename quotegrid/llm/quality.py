@@ -23,6 +23,8 @@ from .common import U64, Words, mix64, small_batches, text_chunks, window_hashes
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
+#: Words in a block; n_distinct is the sum of the blocks' distinct words.
+BLOCK = 50
 #: name, statistic, good if at most / at least, bad if above / below ("<" means that small values are good).
 RULES = (
     ("symbols", "n_symbols / n_words", "<", 0.02, 0.10),
@@ -32,7 +34,7 @@ RULES = (
     ("repeated_lines", "n_dup_lines / n_lines", "<", 0.10, 0.30),
     ("plain_words", "n_plain / n_words", ">", 0.85, 0.65),
     ("word_length", "word_chars / n_words", ">", 2.5, 1.5),
-    ("distinct_words", "n_distinct / least(n_words, 50)", ">", 0.40, 0.20),
+    ("distinct_words", "n_distinct / n_words", ">", 0.40, 0.20),
     ("length", "n_words", ">", 20, 10),
 )
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_exclaim long, n_plain long, n_distinct long"
@@ -97,8 +99,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             }
             sums = {k: _sums(v[words.codes], words.offsets) if len(words.codes) else np.zeros(len(words.n), np.int64) for k, v in each.items()}
             text = words.text_of_word()
-            first = np.arange(len(text)) - np.repeat(words.offsets[:-1], words.n) < 50  # variety falls with length: the first 50 words' is compared
-            distinct = np.unique(text[first] * (len(names) + 1) + words.codes[first]) // (len(names) + 1)
+            block = (np.arange(len(text)) - np.repeat(words.offsets[:-1], words.n)) // BLOCK  # variety falls with length: it is counted in blocks of the same length
+            block += np.repeat(np.cumsum((words.n + BLOCK - 1) // BLOCK) - (words.n + BLOCK - 1) // BLOCK, words.n)
+            seen = np.unique(block * (len(names) + 1) + words.codes) // (len(names) + 1)
+            distinct = np.repeat(np.arange(len(words.n)), (words.n + BLOCK - 1) // BLOCK)[seen]
             lines, dup = _lines(words)
             out = {"doc_id": chunk.column("doc_id"), "n_words": words.n, **sums, "n_lines": lines, "n_dup_lines": dup, "n_repeat_words": _repeated_words(words, WINDOW), "n_distinct": np.bincount(distinct, minlength=len(words.n))}
             names_out = [x.split()[0] for x in STATS.split(", ")]
