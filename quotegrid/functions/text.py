@@ -76,23 +76,42 @@ def venue_key(raw: str | None, known: Mapping[str, str] = _KNOWN) -> tuple[str |
     return (venue_form(canonical), canonical) if canonical else (form, folded(raw).strip())
 
 
+# A venue behind a dash at a title's end, and a bracket there.
+VENUE_BEHIND = re.compile(r"^(.+?)\s*-\s*(?:the\s+)?([^-]+)\s*$")
+BRACKET_AT_END = re.compile(r"\s*[(\[][^)\]]+[)\]]\s*$")
+
+
+def _cut_venue(s: str, is_venue: Callable[[str], bool]) -> str:
+    found = VENUE_BEHIND.search(s)
+    return found[1] if found and is_venue(found[2].strip()) else s
+
+
+def _cut_prefixes(s: str, _: Callable[[str], bool]) -> str:
+    for p in TITLE_PREFIXES:
+        s = s.removeprefix(p + " ").strip()
+    return s
+
+
+#: What a title's key leaves out, in this order.
+TITLE_RULES: tuple[tuple[str, Callable[[str, Callable[[str], bool]], str]], ...] = (
+    ("its own venue", _cut_venue),
+    ("a bracket at the end", lambda s, _: BRACKET_AT_END.sub("", s, count=1)),
+    ("a known subtitle", lambda s, _: _without_end(s, SUBTITLES)),
+    ("franchises before it", _cut_prefixes),
+    ("an article", lambda s, _: next((s.removeprefix(a) for a in ARTICLES if s.startswith(a)), s)),
+    ("marks at the end", lambda s, _: s.rstrip("!?.,")),
+)
+
+
 def title_key(raw: str | None, venue_norm: str | None = None, known: Mapping[str, str] = _KNOWN) -> str:
-    """A title without case, accents, its own venue, a bracket or a known subtitle
-    at the end, franchise prefixes, an article, and punctuation - in this order."""
+    """A title without case, accents, punctuation, and what TITLE_RULES name."""
     if not raw:
         return ""
+    is_venue = lambda name: bool(venue_norm) and venue_key(name, known)[0] == venue_norm
     s = unaccented(folded(raw).lower().strip())
-    if venue_norm and (m := re.search(r"^(.+?)\s*-\s*(?:the\s+)?([^-]+)\s*$", s)) and venue_key(m[2].strip(), known)[0] == venue_norm:
-        s = m[1].strip()
-    s = re.sub(r"\s*[(\[][^)\]]+[)\]]\s*$", "", s, count=1).strip()
-    if cut := next((x for x in SUBTITLES if s.endswith(x)), None):
-        s = s.removesuffix(cut).strip()
-    for p in TITLE_PREFIXES:
-        if s.startswith(p + " "):
-            s = s[len(p) + 1 :].strip()
-    if cut := next((a for a in ARTICLES if s.startswith(a)), None):
-        s = s.removeprefix(cut).strip()
-    return _bare(s.rstrip("!?.,"))
+    for _, rule in TITLE_RULES:
+        s = rule(s, is_venue).strip()
+    return _bare(s)
 
 
 def on_distinct(df: DataFrame, columns: list[str], name: str, make: Callable[..., Column]) -> DataFrame:
@@ -186,7 +205,7 @@ def venue_first_part(s: Column) -> Column:
 
 def notice(lines: Column, prefix: str) -> Column:
     """Of lines, the last that begins with a prefix in either case; null without one."""
-    found = F.filter(F.transform(F.split(lines, "\n"), F.trim), lambda x: F.startswith(F.lower(x), F.lit(prefix)))
+    found = F.filter(F.transform(F.split(lines, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(F.lower(x), F.lit(prefix)))
     return F.try_element_at(found, F.lit(-1))
 
 

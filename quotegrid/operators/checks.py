@@ -42,6 +42,20 @@ def offer_rules(as_of: datetime.date, low: float = 0.0, high: float = 10_000.0)
     }
 
 
+def show_rules(origin: str) -> dict[str, Column]:
+    """What is wrong with a show: no title or venue, a rating beyond 0 to 5, an
+    address elsewhere, a stock number that isn't its id, a price that is neither 0 nor 1 to 500."""
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    return {
+        "empty_name": blank(c("title")),
+        "empty_venue": blank(c("venue")),
+        "rating_out_of_range": ~c("rating").between(0, 5),
+        "foreign_url": ~F.startswith(c("url"), F.lit(origin)),
+        "sku_differs": c("sku") != c("id").cast("string"),
+        "odd_price": ~((c("price") == 0) | c("price").between(1, 500)),
+    }
+
+
 def url_mismatch(df: DataFrame, canonical: str, url: str, most: float = 0.10) -> DataFrame:
     """The share of rows whose canonical address isn't the row's, slashes at the end aside."""
     differs = F.rtrim(c(canonical), F.lit("/")) != F.rtrim(c(url), F.lit("/"))

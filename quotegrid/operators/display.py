@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import format_price
-from .offers import lit_date
+from .offers import lit_date, ranked
 
 c = F.col
 
@@ -21,8 +21,21 @@ def default_dates(perfs: DataFrame, as_of: datetime.date) -> DataFrame:
 
 def default_day(days: DataFrame, as_of: datetime.date) -> DataFrame:
     """Of a week's days (date, is_dark): today, else the first lit one, else the first."""
+    return days.agg(first_lit(c("date"), c("is_dark"), as_of).alias("date"))
+
+
+def first_lit(date: Column, is_dark: Column, as_of: datetime.date) -> Column:
+    """An aggregate: today if it is among the dates, else the first lit one, else the first."""
     today = lit_date(as_of)
-    return days.agg(F.coalesce(F.max(F.when(c("date") == today, today)), F.min(F.when(~c("is_dark"), c("date"))), F.min("date")).alias("date"))
+    return F.coalesce(F.max(F.when(date == today, today)), F.min(F.when(~is_dark, date)), F.min(date))
+
+
+def sorted_ranks(rows: DataFrame) -> DataFrame:
+    """Rows of a day (show_id, show_ord, time, price, title, venue) with their places in the orders of price, time, venue and title."""
+    orders = {"by_price": ([F.floor("price")], ["price", "show_ord", "time"]), "by_time": ([c("time")], ["time", "show_ord"]), "by_venue": ([c("venue")], ["venue", "show_ord", "time"]), "by_title": ([F.substring("title", 1, 12)], ["title", "show_ord", "time"])}
+    for name, (group, order) in orders.items():
+        rows = ranked(rows, group, [c(x) for x in order], name)
+    return rows
 
 
 def venue_search(venues: DataFrame, words: str) -> DataFrame:

@@ -28,6 +28,28 @@ def top(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def ranked(df: DataFrame, group: Sequence[Column], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """All rows with their rank in an order, without bringing them into one task:
+    ``group`` are expressions (never null) by which the order goes first, such as
+    its first column or the first letters of it. Ranks are counted inside the
+    groups and moved by the sizes of the groups before."""
+    keys = [f"__g{i}" for i in range(len(group))]
+    marked = df.withColumns(dict(zip(keys, group)))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each group
+    sizes = marked.groupBy(*keys).agg(F.count("*").alias("__size")).select(*keys, before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return marked.withColumn("__own", own).join(sizes, keys).withColumn(name, c_int("__own") + c_int("__before")).drop(*keys, "__own", "__before")
+
+
+def c_int(name: str) -> Column:
+    return F.col(name).cast("int")
+
+
+def limited(df: DataFrame, k: int, order: str) -> DataFrame:
+    """The first k rows, for what is costly after it: every task hands on k rows at most."""
+    return df.orderBy(order).limit(k)
+
+
 def first_rows(df: DataFrame, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of all, with their rank."""
     few = df.orderBy(*order).limit(k)

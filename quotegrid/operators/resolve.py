@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..functions.registry import FUZZY_AUTO, FUZZY_REVIEW, LEAST_SHARED_CHARS, RESCUE_MARGIN, RESCUE_SCORE, SOURCE_PRIORITY, VENUE_ALIASES
+from .offers import ranked
 
 c = F.col
 NO_VENUE = "Unknown Venue"
@@ -248,8 +249,9 @@ def build_shows(members: DataFrame, perfs: DataFrame, least_performances: int =
     joined = first.join(picked_titles(members), "cluster_id", "left").join(longest_texts(members), "cluster_id", "left").join(display_venues(members), "cluster_id").join(sums, "cluster_id", "left").withColumn("performance_count", F.coalesce("performance_count", F.lit(0))).where(c("performance_count") >= least_performances)
     ids = text.show_id(F.coalesce(c("f.title_norm"), F.lit("")), F.coalesce(c("f.venue_norm"), F.lit("")))
     split = F.when(c("cluster_id") < 0, F.concat(ids, F.lit("-split-"), (-c("cluster_id") - 1).cast("string"))).otherwise(ids)  # split records keep their keys, so their ids need more
-    order = Window.orderBy(F.desc("record_count"), F.lower("title"), "cluster_id")
-    return joined.select(F.row_number().over(order).alias("show_ord"), split.alias("show_id"), "cluster_id", F.coalesce("title", F.lit("")).alias("title"), "venue", c("f.title_norm").alias("title_norm"), c("f.venue_norm").alias("venue_norm"), "record_count", "source_count", "description", "min_price", "max_price", "performance_count", F.create_map(F.lit("title"), c("title_source"), F.lit("description"), c("description_source"), F.lit("venue"), c("venue_source")).alias("field_provenance"), F.lit(100).alias("match_confidence"))
+    title = F.lower(F.coalesce("title", F.lit("")))
+    placed = ranked(joined, [-c("record_count"), F.substring(title, 1, 3)], [title, c("cluster_id")], "show_ord")
+    return placed.select("show_ord", split.alias("show_id"), "cluster_id", F.coalesce("title", F.lit("")).alias("title"), "venue", c("f.title_norm").alias("title_norm"), c("f.venue_norm").alias("venue_norm"), "record_count", "source_count", "description", "min_price", "max_price", "performance_count", F.create_map(F.lit("title"), c("title_source"), F.lit("description"), c("description_source"), F.lit("venue"), c("venue_source")).alias("field_provenance"), F.lit(100).alias("match_confidence"))
 
 
 def source_rows(members: DataFrame) -> DataFrame:

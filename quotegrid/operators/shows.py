@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
-from .offers import PERF, _future, between, first_rows, lit_date
+from .offers import PERF, _future, between, first_rows, lit_date, ranked
 
 KNOWN = "__unknown"
 
@@ -85,8 +85,8 @@ def venues(shows: DataFrame, offers: DataFrame, eff: DataFrame, as_of: datetime.
     names = each.where("venue is not null").groupBy("key", "venue").agg(F.count("*").alias("c"), F.min("show_ord").alias("first")).groupBy("key").agg(F.max_by("venue", F.struct("c", -F.col("first"))).alias("name"))
     sums = each.groupBy("key").agg(F.first("venue_norm").alias("venue_norm"), F.count("*").alias("show_count"), F.count("week").alias("active_count"), F.min("floor").alias("floor"), F.coalesce(F.sum("week"), F.lit(0)).alias("week_perfs"))
     named = sums.join(names, "key", "left").withColumn("display_name", F.coalesce("name", "venue_norm", F.lit("Unknown venue")))
-    order = Window.orderBy((F.col("active_count") > 0).desc(), F.desc("show_count"), "display_name")  # a row for each venue
-    return named.select(F.row_number().over(order).alias("rank"), text.slug(F.col("display_name")).alias("slug"), "display_name", "show_count", "active_count", "floor", "week_perfs")
+    group = [F.when(F.col("active_count") > 0, 0).otherwise(1), -F.col("show_count")]
+    return ranked(named, group, [F.col("display_name")]).select("rank", text.slug(F.col("display_name")).alias("slug"), "display_name", "show_count", "active_count", "floor", "week_perfs")
 
 
 def venue_detail(shows: DataFrame, offers: DataFrame, eff: DataFrame, as_of: datetime.date, slug: str) -> DataFrame:

@@ -124,9 +124,9 @@ def band_low_price(bands: Column, low: Column, seats: Column) -> Column:
     """The lowest price of an array of bands (price_value, seats_available) with
     seats. Without any word of seats the advertised price stands; a performance
     without seats, or whose bands are all sold out, has none."""
-    told = F.exists(bands, lambda b: b["seats_available"].isNotNull())
+    told = F.coalesce(F.exists(bands, lambda b: b["seats_available"].isNotNull()), F.lit(False))
     open_ = F.array_min(F.transform(F.filter(bands, lambda b: b["seats_available"] > 0), lambda b: b["price_value"]))
-    return F.when(seats == 0, None).when(F.coalesce(told, F.lit(False)), open_).otherwise(low)
+    return F.when(~told, low).when(seats == 0, None).otherwise(open_)
 
 
 def price_suspect(low: Column, high: Column, listed: Column, floor: float = 15.0, ratio: float = 8.0, outlier: float = 2.0) -> Column:
@@ -134,11 +134,15 @@ def price_suspect(low: Column, high: Column, listed: Column, floor: float = 15.0
     return F.when(low <= floor, "low_floor").when((low > 0) & (high / low > ratio), "wide_ratio").when((listed > 0) & (low / listed > outlier), "high_outlier")
 
 
+def in_window(date: Column, as_of: datetime.date, days: int) -> Column:
+    """Whether a date is from a day on, up to so many days later (inclusive)."""
+    return date.between(F.lit(as_of), F.lit(as_of + datetime.timedelta(days=days)))
+
+
 def scarce_suspect(date: Column, bands: Column, as_of: datetime.date, days: int = 14, seats: int = 3) -> Column:
     """Whether a performance of the next days has few seats in its cheapest open band."""
     first = F.array_min(F.transform(F.filter(bands, lambda b: b["seats_available"] > 0), lambda b: F.struct(b["price_value"], b["seats_available"])))
-    near = date.between(F.lit(as_of), F.lit(as_of + datetime.timedelta(days=days)))
-    return F.coalesce(near & (first["seats_available"] < seats), F.lit(False))
+    return F.coalesce(in_window(date, as_of, days) & (first["seats_available"] < seats), F.lit(False))
 
 
 def agrees(seat_price: Column, calendar_price: Column, within: float = 0.50) -> Column:
@@ -159,7 +163,7 @@ def removed(old: DataFrame, new: DataFrame, as_of: datetime.date, days: int, fet
     """Performances that a calendar had and now only the page lists, inside the
     window: no seats and no availability. If the calendar couldn't be read at all, nothing counts as removed."""
     had = old.where(c("price_source").isin("calendar_api", "calendar_only")).select("perf_id", F.lit(True).alias("had"))
-    gone = F.lit(fetch_ok) & F.coalesce(c("had"), F.lit(False)) & (c("price_source") == "jsonld_only") & c("date").between(F.lit(as_of), F.lit(as_of + datetime.timedelta(days=days)))
+    gone = F.lit(fetch_ok) & F.coalesce(c("had"), F.lit(False)) & (c("price_source") == "jsonld_only") & in_window(c("date"), as_of, days)
     joined = new.join(had, "perf_id", "left").withColumn("removed", F.coalesce(gone, F.lit(False)))
     return joined.withColumns({"max_seats": F.when(c("removed"), 0).otherwise(c("max_seats")), "availability": F.when(c("removed"), "").otherwise(c("availability"))}).drop("had")
 

@@ -13,7 +13,6 @@ from ..operators import shows as S
 from ..sources import adapters as A
 from .base import D, EFF, OFFERS, PERFS, SHOWS, VALID, bucket, cuts, label, query, with_
 
-CLOSING_DAYS, TIER_DAYS = 18, 1
 VENUE = "nation-3"
 
 
@@ -154,16 +153,21 @@ def matinee_weeks(spark, sf_dir):
     return O.matinee_weeks(O.effective(off), off, A.AS_OF)
 
 
-@query(
-    with_(
-        EFF,
-        f"b AS (SELECT show_id, show_ord, min(price) AS price FROM eff WHERE date >= {D} AND date < {D} + {TIER_DAYS} GROUP BY show_id, show_ord)",
-        "t AS (SELECT * FROM (VALUES (0, 'under20', 0.0::DOUBLE, 20.0::DOUBLE), (1, '20to30', 20.0, 30.0), (2, '30to40', 30.0, 40.0), (3, '40plus', 40.0, 'inf'::DOUBLE)) v(tier_ord, tier, lo, hi))",
-    )
-    + "SELECT tier_ord, tier, count(show_id) AS show_count, arg_min(show_id, row(price, show_ord)) AS headline_show, min(price) AS headline_price FROM t LEFT JOIN b ON price >= lo AND price < hi GROUP BY tier_ord, tier"
-)
+def _tiers(days: int) -> str:
+    best = f"b AS (SELECT show_id, show_ord, min(price) AS price FROM eff WHERE date >= {D} AND date < {D} + {days} GROUP BY show_id, show_ord)"
+    tiers = "t AS (SELECT * FROM (VALUES (0, 'under20', 0.0::DOUBLE, 20.0::DOUBLE), (1, '20to30', 20.0, 30.0), (2, '30to40', 30.0, 40.0), (3, '40plus', 40.0, 'inf'::DOUBLE)) v(tier_ord, tier, lo, hi))"
+    return with_(EFF, best, tiers) + "SELECT tier_ord, tier, count(show_id) AS show_count, arg_min(show_id, row(price, show_ord)) AS headline_show, min(price) AS headline_price FROM t LEFT JOIN b ON price >= lo AND price < hi GROUP BY tier_ord, tier"
+
+
+@query(_tiers(30))
 def price_tiers(spark, sf_dir):
-    return O.price_tiers(_eff(spark, sf_dir, A.AS_OF, TIER_DAYS), A.AS_OF, TIER_DAYS)
+    return O.price_tiers(_eff(spark, sf_dir, A.AS_OF, 30), A.AS_OF)
+
+
+@query(_tiers(1))
+def price_tiers_today(spark, sf_dir):
+    """A single day, in which all tiers have shows."""
+    return O.price_tiers(_eff(spark, sf_dir, A.AS_OF, 1), A.AS_OF, 1)
 
 
 @query(
@@ -182,13 +186,22 @@ def widest_spreads(spark, sf_dir):
 _FUTURE_FLOOR = f"ff AS (SELECT show_id, min(price) AS floor FROM eff WHERE date >= {D} GROUP BY show_id)"
 
 
-@query(
-    with_(EFF, PERFS, _FUTURE_FLOOR, f"r AS (SELECT show_id, show_ord, max(date) AS last_date, count(*) AS remaining FROM perfs WHERE date >= {D} GROUP BY show_id, show_ord HAVING max(date) <= {D} + {CLOSING_DAYS})")
-    + f"SELECT row_number() OVER (ORDER BY last_date - {D}, show_ord) AS rank, show_id, last_date, (last_date - {D})::INT AS days_left, remaining, floor, count(*) OVER () AS total_count FROM r JOIN ff USING (show_id) QUALIFY rank <= 8"
-)
+def _closing(days: int) -> str:
+    runs = f"r AS (SELECT show_id, show_ord, max(date) AS last_date, count(*) AS remaining FROM perfs WHERE date >= {D} GROUP BY show_id, show_ord HAVING max(date) <= {D} + {days})"
+    return with_(EFF, PERFS, _FUTURE_FLOOR, runs) + f"SELECT row_number() OVER (ORDER BY last_date - {D}, show_ord) AS rank, show_id, last_date, (last_date - {D})::INT AS days_left, remaining, floor, count(*) OVER () AS total_count FROM r JOIN ff USING (show_id) QUALIFY rank <= 8"
+
+
+@query(_closing(30))
 def closing_soon(spark, sf_dir):
     off = _offers(spark, sf_dir)
-    return O.closing_soon(O.effective(off), off, A.AS_OF, CLOSING_DAYS)
+    return O.closing_soon(O.effective(off), off, A.AS_OF)
+
+
+@query(_closing(18))
+def closing_within_18(spark, sf_dir):
+    """A shorter horizon, which not every show of a month's table meets."""
+    off = _offers(spark, sf_dir)
+    return O.closing_soon(O.effective(off), off, A.AS_OF, 18)
 
 
 @query(
@@ -236,18 +249,24 @@ def venue_detail(spark, sf_dir):
 _PICK = "p{0} AS (SELECT {0} AS pick, date, floor, perf_count FROM df WHERE {1} ORDER BY floor, date LIMIT 1)"
 
 
-@query(
-    with_(
-        EFF,
-        f"df AS (SELECT date, min(price) AS floor, count(*) AS perf_count FROM eff WHERE date >= {D} AND date < {D} + 60 GROUP BY date)",
-        _PICK.format(1, f"date < {D} + 5"),
-        _PICK.format(2, f"date < {D} + 10 AND isodow(date) >= 6 AND date NOT IN (SELECT date FROM p1)"),
-        _PICK.format(3, f"date >= {D} + 10 AND date < {D} + 15 AND date NOT IN (SELECT date FROM p1 UNION ALL SELECT date FROM p2)"),
-        _PICK.format(4, f"date >= {D} + 10 AND isodow(date) <= 4 AND date NOT IN (SELECT date FROM p1 UNION ALL SELECT date FROM p2 UNION ALL SELECT date FROM p3)"),
+def _nights(days: int, near: int, middle: int, far: int) -> str:
+    floors = f"df AS (SELECT date, min(price) AS floor, count(*) AS perf_count FROM eff WHERE date >= {D} AND date < {D} + {days} GROUP BY date)"
+    wants = (
+        f"date < {D} + {near}",
+        f"date < {D} + {middle} AND isodow(date) >= 6 AND date NOT IN (SELECT date FROM p1)",
+        f"date >= {D} + {middle} AND date < {D} + {far} AND date NOT IN (SELECT date FROM p1 UNION ALL SELECT date FROM p2)",
+        f"date >= {D} + {middle} AND isodow(date) <= 4 AND date NOT IN (SELECT date FROM p1 UNION ALL SELECT date FROM p2 UNION ALL SELECT date FROM p3)",
     )
-    + "SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4"
-)
+    return with_(EFF, floors, *[_PICK.format(i + 1, w) for i, w in enumerate(wants)]) + "SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4"
+
+
+@query(_nights(90, 14, 30, 60))
 def best_nights(spark, sf_dir):
+    return O.best_nights(_eff(spark, sf_dir, A.AS_OF, 90), A.AS_OF)
+
+
+@query(_nights(60, 5, 10, 15))
+def best_nights_near(spark, sf_dir):
     """With horizons that suit a table of one month."""
     return O.best_nights(_eff(spark, sf_dir, A.AS_OF, 60), A.AS_OF, days=60, near=5, middle=10, far=15)
 
@@ -400,11 +419,19 @@ def default_dates(spark, sf_dir):
     return V.default_dates(A.offers(spark, sf_dir), A.AS_OF)
 
 
-@query(f"SELECT {D} AS date")
+@query(with_(EFF, _days(D, 7)) + "SELECT coalesce((SELECT date FROM days WHERE date = " + D + "), (SELECT min(date) FROM eff JOIN days USING (date)), (SELECT min(date) FROM days)) AS date")
 def default_week_day(spark, sf_dir):
     return V.default_day(O.week_days(_eff(spark, sf_dir, A.AS_OF, 7), A.AS_OF), A.AS_OF)
 
 
+@query(with_(EFF, _days(f"{D} + 14", 14)) + "SELECT show_id, (SELECT min(date) FROM eff f JOIN days USING (date) WHERE f.show_id = e.show_id) AS date FROM eff e WHERE date >= " + D + " + 14 AND date < " + D + " + 28 GROUP BY show_id")
+def default_lit_days(spark, sf_dir):
+    """For each show, the first day of a fortnight without today that has an offer."""
+    start = A.AS_OF + datetime.timedelta(days=14)
+    days = _eff(spark, sf_dir, start, 14).where(F.col("date") < O.lit_date(start + datetime.timedelta(days=14)))
+    return days.groupBy("show_id").agg(V.first_lit(F.col("date"), F.lit(False), A.AS_OF).alias("date"))
+
+
 @query(with_(OFFERS, SHOWS) + f"SELECT venue AS display_name, count(*) AS show_count FROM shows WHERE contains(lower(venue), 'nation_1') GROUP BY venue")
 def venue_search(spark, sf_dir):
     off = _offers(spark, sf_dir)
@@ -459,6 +486,13 @@ def months_needed(spark, sf_dir):
     return V.months_needed(_offers(spark, sf_dir), A.AS_OF)
 
 
+@query("SELECT c, y AS year, m AS month FROM (SELECT o_custkey AS c, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), month(o_orderdate)) AS n FROM (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) AS o_orderdate FROM orders WHERE o_orderdate >= DATE '1995-01-01')) WHERE n <= 6")
+def months_capped(spark, sf_dir):
+    """The limit of six months, on orders of many years."""
+    orders = A.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("show_id"), F.to_date("o_orderdate").alias("date"))
+    return V.months_needed(orders, datetime.date(1995, 1, 1)).select(F.col("show_id").alias("c"), "year", "month")
+
+
 @query(with_(OFFERS, PERFS, SHOWS) + "SELECT '' AS generated_at, (SELECT count(*) FROM shows) AS show_count, (SELECT count(*) FROM perfs) AS performance_count")
 def export_meta(spark, sf_dir):
     return V.meta(A.shows(spark, sf_dir), A.offers(spark, sf_dir).select(*O.PERF).distinct(), None)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prices, text, times, urls
-from ..functions.registry import SOURCE_PRIORITY
+from ..functions.registry import SOURCE_PRIORITY, SUBTITLES
 from ..operators import checks as Q
 from ..operators import history as H
 from ..operators import merge as M
@@ -15,7 +17,7 @@ from ..operators import resolve as R
 from ..operators import verify as V
 from ..sources import adapters as A
 from ..sources import html
-from .base import D, OFFERS, SEEN, VALID, query, with_
+from .base import D, OFFERS, SEEN, SQL, VALID, query, with_
 
 c = F.col
 
@@ -137,12 +139,14 @@ def priority_union(spark, sf_dir):
     return M.prefer([_side(spark, sf_dir, "purchase"), _side(spark, sf_dir, "click")], ["show_id", "date", "time"])
 
 
-_RUNS = f"o AS (SELECT * FROM offers WHERE date < {D}), n AS (SELECT * FROM offers WHERE date >= {D} + 19), g AS (SELECT count(DISTINCT show_id) AS gone FROM o WHERE show_id NOT IN (SELECT show_id FROM n))"
+_LATER = "(date >= DATE '2024-01-16' AND show_id % 7 <> 0)"
+_RUNS = f"o AS (SELECT * FROM offers WHERE NOT {_LATER}), n AS (SELECT * FROM offers WHERE {_LATER}), g AS (SELECT count(DISTINCT show_id) AS gone FROM o WHERE show_id NOT IN (SELECT show_id FROM n))"
 
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    off = A.offers(spark, sf_dir)
-    return off.where(c("date") < O.lit_date(A.AS_OF)), off.where(c("date") >= F.date_add(O.lit_date(A.AS_OF), 19))
+    """All offers in two runs: the later one has those of later days, but for the shows that leave with the earlier one."""
+    off, later = A.offers(spark, sf_dir), F.expr(_LATER)
+    return off.where(~later), off.where(later)
 
 
 @query(
@@ -184,14 +188,14 @@ def deal_dates(spark, sf_dir):
 # --- history
 
 _HIST = """h AS (SELECT show_id, source, seq, price_from AS min FROM seen WHERE date < DATE '2024-01-10'),
-s AS (SELECT show_id, source, max(seq) AS seq, arg_max(price_from, seq) AS min FROM seen WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-13' GROUP BY show_id, source),
+s AS (SELECT show_id, source, max(seq) AS seq, arg_max(price_from, seq) AS min FROM seen WHERE date >= DATE '2024-01-10' GROUP BY show_id, source),
 l AS (SELECT show_id, source, arg_max(min, seq) AS min FROM h GROUP BY show_id, source)"""
 
 
 def _history(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     seen = A.observations(spark, sf_dir).select(c("show_id").cast("string").alias("show_id"), c("source").alias("date"), F.lit("").alias("time"), "seq", c("price_from").alias("min"), c("date").alias("day"))
     old = seen.where(c("day") < O.lit_date(A.AS_OF)).select("show_id", "date", "time", F.lit("run1").alias("t"), "seq", "min")
-    new = seen.where((c("day") >= O.lit_date(A.AS_OF)) & (c("day") < F.date_add(O.lit_date(A.AS_OF), 3))).groupBy("show_id", "date", "time").agg(F.max_by("min", "seq").alias("min"))
+    new = seen.where(c("day") >= O.lit_date(A.AS_OF)).groupBy("show_id", "date", "time").agg(F.max_by("min", "seq").alias("min"))
     return old, new.withColumn("t", F.lit("run2"))
 
 
@@ -311,28 +315,128 @@ def token_gate_pairs(spark, sf_dir):
     return R.scored_pairs(titles, titles, ["venue_norm"], 0).where("a_id < b_id").select("venue_norm", c("a_title").alias("title_a"), c("b_title").alias("title_b"))
 
 
-@query()
+_WORDS = "list_filter(list_distinct(string_split({0}, ' ')), lambda w: w <> '')"
+# the score of two titles (of the table pairs), and with it the longest common subsequence of what they don't share
+_SCORES = f"""tp AS (SELECT DISTINCT title_a, title_b, list_sort({_WORDS.format('title_a')}) AS wa, list_sort({_WORDS.format('title_b')}) AS wb FROM pairs),
+ts AS (SELECT title_a, title_b, list_sort(list_intersect(wa, wb)) AS sh, array_to_string(list_sort(list_intersect(wa, wb)), ' ') AS s,
+  array_to_string(list_filter(wa, lambda w: NOT list_contains(wb, w)), ' ') AS x, array_to_string(list_filter(wb, lambda w: NOT list_contains(wa, w)), ' ') AS y FROM tp),
+tg AS (SELECT * FROM ts WHERE len(sh) >= 2 OR coalesce(list_sum(list_transform(sh, lambda w: length(w))), 0) >= 6),
+rest AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda j: 0) AS row FROM (SELECT DISTINCT x, y FROM tg)
+  UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(t[1:j])) FROM (
+    SELECT x, y, i, list_transform(range(1, length(y) + 2), lambda j: CASE WHEN j = 1 THEN 0 ELSE greatest(row[j], row[j - 1] + CASE WHEN substr(y, j - 1, 1) = substr(x, i + 1, 1) THEN 1 ELSE 0 END) END) AS t FROM rest WHERE i < length(x))),
+lcs AS (SELECT x, y, row[-1] AS n FROM rest WHERE i = length(x)),
+tn AS (SELECT title_a, title_b, s, x, y, n, length(s) AS ls, length(s) + CASE WHEN s <> '' AND x <> '' THEN 1 ELSE 0 END + length(x) AS l, length(s) + CASE WHEN s <> '' AND y <> '' THEN 1 ELSE 0 END + length(y) AS r FROM tg JOIN lcs USING (x, y)),
+scores AS (SELECT title_a, title_b, CASE WHEN s <> '' AND (x = '' OR y = '') THEN 100 ELSE floor(greatest(200.0::DOUBLE * (ls + CASE WHEN s <> '' THEN 1 ELSE 0 END + n) / (l + r), CASE WHEN s <> '' THEN 200.0::DOUBLE * ls / (ls + l) ELSE 0 END, CASE WHEN s <> '' THEN 200.0::DOUBLE * ls / (ls + r) ELSE 0 END)) END::INT AS score FROM tn)"""
+# a venue's edges one after another, best first: two clusters become one unless they have a source in common
+_MERGE = f"""ct AS (SELECT DISTINCT venue_norm, cluster_id, title_norm FROM k),
+pairs AS (SELECT a.venue_norm, a.cluster_id AS a_id, b.cluster_id AS b_id, a.title_norm AS title_a, b.title_norm AS title_b FROM ct a JOIN ct b ON a.venue_norm = b.venue_norm AND a.cluster_id < b.cluster_id),
+{_SCORES},
+e AS (SELECT venue_norm, a_id, b_id, title_a, title_b, score, row_number() OVER (PARTITION BY venue_norm ORDER BY score DESC, a_id, b_id) AS i FROM pairs JOIN scores USING (title_a, title_b) WHERE score >= 60),
+own AS (SELECT venue_norm, cluster_id, list_sort(list(DISTINCT source)) AS src FROM k WHERE cluster_id IN (SELECT a_id FROM e UNION SELECT b_id FROM e) GROUP BY venue_norm, cluster_id),
+st AS (SELECT venue_norm, 0::BIGINT AS i, list(cluster_id ORDER BY cluster_id) AS ids, list(src ORDER BY cluster_id) AS srcs, list(cluster_id ORDER BY cluster_id) AS roots, NULL::VARCHAR AS fate, NULL::VARCHAR AS title_a, NULL::VARCHAR AS title_b, NULL::INT AS score FROM own GROUP BY venue_norm
+  UNION ALL
+  SELECT venue_norm, i, ids, srcs, CASE WHEN fate = 'merged' THEN list_transform(roots, lambda r: CASE WHEN r = ra THEN rb ELSE r END) ELSE roots END, fate, title_a, title_b, score FROM (
+    SELECT *, CASE WHEN ra = rb THEN NULL WHEN score < 75 THEN 'review'
+      WHEN list_has_any(flatten(list_transform(list_filter(range(1, len(ids) + 1), lambda j: roots[j] = ra), lambda j: srcs[j])), flatten(list_transform(list_filter(range(1, len(ids) + 1), lambda j: roots[j] = rb), lambda j: srcs[j]))) THEN 'blocked' ELSE 'merged' END AS fate FROM (
+      SELECT st.venue_norm, e.i, ids, srcs, roots, roots[list_position(ids, a_id)] AS ra, roots[list_position(ids, b_id)] AS rb, e.title_a, e.title_b, e.score FROM st JOIN e ON e.venue_norm = st.venue_norm AND e.i = st.i + 1))),
+fin AS (SELECT venue_norm, ids, roots FROM st QUALIFY row_number() OVER (PARTITION BY venue_norm ORDER BY i DESC) = 1),
+lab AS (SELECT ids[j] AS cluster_id, list_min(list_transform(list_filter(range(1, len(ids) + 1), lambda m: roots[m] = roots[j]), lambda m: ids[m])) AS label FROM fin, unnest(range(1, len(ids) + 1)) u(j)),
+mk AS (SELECT k.* EXCLUDE (cluster_id), coalesce(label, k.cluster_id) AS cluster_id FROM k LEFT JOIN lab USING (cluster_id))"""
+_EXACT = "k AS (SELECT *, min(rec_id) OVER (PARTITION BY title_norm, venue_norm) AS cluster_id FROM {0})"
+_RECURSIVE = "WITH RECURSIVE " + ", ".join((_RECORDS, _EXACT.format("rec"), _MERGE))
+
+
+@query(_RECURSIVE + " SELECT rec_id, cluster_id, title_norm, venue_norm FROM mk")
 def fuzzy_clusters(spark, sf_dir):
     merged, _ = R.fuzzy_merge(R.exact_clusters(R.normalized(records(spark, sf_dir)))[0])
     return merged.select("rec_id", "cluster_id", "title_norm", "venue_norm")
 
 
-@query()
+@query(_RECURSIVE + " SELECT venue_norm, title_a, title_b, score, fate FROM st WHERE fate IS NOT NULL")
+def fuzzy_log(spark, sf_dir):
+    """Every scored pair that was looked at, and what became of it."""
+    return R.fuzzy_merge(R.exact_clusters(R.normalized(records(spark, sf_dir)))[0])[1]
+
+
+def _orphaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which every seventh lacks its venue."""
+    return records(spark, sf_dir).withColumn("venue_raw", F.when(c("rec_id") % 7 != 0, c("venue_raw")))
+
+
+_HOMED = "homed AS (SELECT * FROM rec WHERE rec_id % 7 <> 0)"
+
+
+def _rescue(members: str) -> str:
+    """Orphans to the cluster of the best title, unless another is as good, their source is there, or an earlier one of it came first."""
+    scores = _SCORES.replace("FROM pairs)", "FROM op)")
+    for name in ("tp", "ts", "tg", "rest", "lcs", "tn", "scores"):
+        scores = re.sub(rf"\b{name}\b", f"o_{name}", scores)
+    return f"""orp AS (SELECT rec_id, source, title_norm FROM rec WHERE rec_id % 7 = 0),
+ot AS (SELECT DISTINCT cluster_id, title_norm FROM {members}),
+op AS (SELECT DISTINCT orp.title_norm AS title_a, ot.title_norm AS title_b FROM orp, ot),
+{scores},
+sz AS (SELECT cluster_id, count(*) AS size, list(DISTINCT source) AS srcs FROM {members} GROUP BY cluster_id),
+cand AS (SELECT rec_id, source, ot.cluster_id AS cluster_id, max(score) AS score FROM orp JOIN o_scores ON title_a = orp.title_norm JOIN ot ON ot.title_norm = title_b WHERE score >= 90 GROUP BY ALL),
+best AS (SELECT *, lead(score) OVER w AS next FROM cand JOIN sz USING (cluster_id) WINDOW w AS (PARTITION BY rec_id ORDER BY score DESC, size DESC, cluster_id) QUALIFY row_number() OVER w = 1),
+dec AS (SELECT orp.rec_id, orp.source, cluster_id, score, CASE WHEN score IS NULL THEN 'no_match_above_threshold' WHEN next >= score - 5 THEN 'blocked_ambiguous_match' WHEN list_contains(srcs, orp.source) THEN 'blocked_within_source_duplicate' ELSE 'attached' END AS status FROM orp LEFT JOIN best USING (rec_id)),
+log AS (SELECT rec_id, cluster_id, score, CASE WHEN status = 'attached' AND row_number() OVER (PARTITION BY cluster_id, source, status ORDER BY rec_id) > 1 THEN 'blocked_within_source_duplicate' ELSE status END AS status FROM dec)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((_RECORDS, _HOMED, _EXACT.format("homed"), _rescue("k"))) + " SELECT rec_id, cluster_id, score, status FROM log")
 def orphan_rescue(spark, sf_dir):
-    rec = records(spark, sf_dir).withColumn("venue_raw", F.when(c("rec_id") % 7 != 0, c("venue_raw")))
-    return R.rescue(*R.exact_clusters(R.normalized(rec)))[1]
+    return R.rescue(*R.exact_clusters(R.normalized(_orphaned(spark, sf_dir))))[1]
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records through the whole chain: exact clusters, fuzzy merge, rescue."""
+    clustered, orphans = R.exact_clusters(R.normalized(_orphaned(spark, sf_dir)))
+    return R.rescue(R.fuzzy_merge(clustered)[0], orphans)[0]
 
 
-@query()
+_PRI = "CASE {0} WHEN 0 THEN 'olt' WHEN 1 THEN 'todaytix' WHEN 2 THEN 'lovetheatre' WHEN 3 THEN 'seatplan' ELSE 'ttd' END"
+
+
+@query(
+    "WITH RECURSIVE "
+    + ", ".join(
+        (
+            _RECORDS, _HOMED, _EXACT.format("homed"), _MERGE, _rescue("mk"), SEEN,
+            "don AS (SELECT cluster_id, arg_min(venue_norm, rec_id) AS venue_norm, arg_min(venue_raw, rec_id) AS venue_raw FROM mk GROUP BY cluster_id)",
+            "mem AS (SELECT rec_id, p, source, title_raw, title_norm, venue_raw, venue_norm, description, cluster_id FROM mk UNION ALL SELECT r.rec_id, r.p, r.source, r.title_raw, r.title_norm, don.venue_raw, don.venue_norm, r.description, log.cluster_id FROM log JOIN rec r USING (rec_id) JOIN don ON don.cluster_id = log.cluster_id WHERE status = 'attached')",
+            "ob AS (SELECT cluster_id, date, time, seen.source AS source, seq, price_from, CASE WHEN k % 4 = 0 THEN price_from * 1.5::DOUBLE END AS price_to FROM seen JOIN mem ON mem.rec_id = seen.show_id)",
+            "lst AS (SELECT * FROM ob QUALIFY row_number() OVER (PARTITION BY cluster_id, date, time, source ORDER BY seq DESC) = 1)",
+            "uni AS (SELECT cluster_id, date, time, min(price_from) AS lo, coalesce(max(price_to), max(price_from)) AS hi FROM lst GROUP BY cluster_id, date, time)",
+            "sums AS (SELECT cluster_id, min(lo) AS min_price, max(hi) AS max_price, count(*) AS performance_count FROM uni GROUP BY cluster_id)",
+            "one AS (SELECT cluster_id, arg_min(title_norm, rec_id) AS title_norm, arg_min(venue_norm, rec_id) AS venue_norm, arg_min(venue_raw, rec_id) AS venue, count(*) AS record_count, count(DISTINCT source) AS source_count FROM mem GROUP BY cluster_id)",
+            "vt AS (SELECT cluster_id, title_raw AS title, count(*) AS votes, min(p) AS pri FROM mem GROUP BY cluster_id, title_raw)",
+            "tt AS (SELECT cluster_id, title FROM vt QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY votes DESC, title = upper(title), length(title), pri, title) = 1)",
+            "dd AS (SELECT cluster_id, description FROM mem QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY length(description) DESC, p, rec_id) = 1)",
+        )
+    )
+    + " SELECT row_number() OVER (ORDER BY record_count DESC, lower(title), cluster_id)::INT AS show_ord, replace(title_norm, ' ', '-') || '__' || venue_norm AS show_id, cluster_id, title, venue, title_norm, venue_norm, record_count, source_count, description, min_price, max_price, performance_count, 100 AS match_confidence FROM one JOIN tt USING (cluster_id) JOIN dd USING (cluster_id) JOIN sums USING (cluster_id)"
+)
 def unified_shows(spark, sf_dir):
-    members = R.exact_clusters(R.normalized(records(spark, sf_dir)))[0]
-    offers = A.observations(spark, sf_dir).withColumnsRenamed({"seq": "raw_ord", "show_id": "cluster_id"})
-    return R.build_shows(members, M.unify(offers, ["cluster_id"])).drop("field_provenance")
+    """The whole chain: records become shows, offers follow their record, and shows without a performance are left out."""
+    members = _resolved(spark, sf_dir)
+    offers = A.observations(spark, sf_dir).withColumnRenamed("seq", "raw_ord").join(members.select(c("rec_id").alias("show_id"), "cluster_id"), "show_id")
+    return R.build_shows(members, M.unify(offers, ["cluster_id"]), least_performances=1).drop("field_provenance")
+
 
+_TITLE = "split_part(text, chr(10), 1)"
+_ENDS = " ".join(f"WHEN ends_with(a, '{x}') THEN trim(left(a, length(a) - {len(x)}))" for x in SUBTITLES)
+_FRONTS = "regexp_replace(trim(b), '^(disney''s|disneys|rsc''s|rscs) +', '')"
 
-@query()
+
+@query(
+    f"""WITH t AS (SELECT doc_id, lang, trim(regexp_replace(trim(strip_accents(replace(replace(lower({_TITLE}), '’', chr(39)), chr(160), ' '))), '\\s*[(\\[][^)\\]]+[)\\]]\\s*$', '')) AS a FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, lang, CASE {_ENDS} ELSE a END AS b FROM t),
+v AS (SELECT doc_id, lang, regexp_replace({_FRONTS}, '^(the |an |a )', '') AS d FROM u)
+SELECT doc_id, trim(regexp_replace(regexp_replace(d, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title_norm, lang || ' theatre' AS venue_norm FROM v"""
+)
 def normalize_titles(spark, sf_dir):
-    firsts = A.read(spark, sf_dir, "documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title_raw"), F.concat(F.lit("The "), "lang", F.lit(" Theatre, London")).alias("venue_raw"), F.lit(None).cast("string").alias("description"))
+    """The first line of each text as a title, its language as the name of its venue."""
+    firsts = A.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title_raw"), F.concat(F.lit("The "), "lang", F.lit(" Theatre, London")).alias("venue_raw"), F.lit(None).cast("string").alias("description"))
     return R.normalized(firsts).select("doc_id", "title_norm", "venue_norm")
 
 
@@ -346,7 +450,12 @@ def html_titles(spark, sf_dir):
     return pages.select("page_id", html.page_title(h).alias("title"), html.heading(h).alias("h1"), html.language(h).alias("lang"), F.size(html.links(h)).alias("link_count"))
 
 
-@query()
+_BODY = "regexp_replace(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g')"
+
+
+@query(
+    f"SELECT page_id, nullif(trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS h1, nullif(regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1), '') AS lang, len(regexp_extract_all({_BODY}, '(?s)<a [^>]*href=\"[^\"]*\"[^>]*>.*?</a>'))::INT AS link_count, len(regexp_extract_all({_BODY}, '</p>'))::INT AS paragraph_count FROM pages"
+)
 def html_parsed(spark, sf_dir):
     """The same facts by the tolerant parser, with entities decoded."""
     return html.parse_pages(A.read(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", "h1", "lang", F.size("links").alias("link_count"), F.size("paragraphs").alias("paragraph_count"))
@@ -358,23 +467,19 @@ def url_clean(spark, sf_dir):
     return A.read(spark, sf_dir, "pages").select("page_id", urls.clean(u, "://").alias("cleaned"), urls.slug_of(u).alias("slug"), urls.last_number(u).alias("number"))
 
 
-_TAG = "CASE o_orderkey % 4 WHEN 0 THEN '£' || o_totalprice WHEN 1 THEN 'from £ 1,2' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '.50 each' WHEN 2 THEN 'none' ELSE o_custkey || ' seats' END"
+_TAG = "CASE o_orderkey % 4 WHEN 0 THEN '£' || printf('%.2f', o_totalprice) WHEN 1 THEN 'from £ 1,2' || lpad((o_orderkey % 100)::VARCHAR, 2, '0') || '.50 each' WHEN 2 THEN 'none' ELSE o_custkey || ' seats' END"
 
 
-@query(f"SELECT o_orderkey, TRY_CAST(nullif(replace(regexp_extract({_TAG}, '£?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS amount FROM orders WHERE o_orderkey % 4 <> 0")
+@query(f"SELECT o_orderkey, TRY_CAST(nullif(replace(regexp_extract({_TAG}, '£?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS amount FROM orders")
 def money_parse(spark, sf_dir):
-    tag = F.expr("case o_orderkey % 4 when 1 then concat('from £ 1,2', lpad(cast(o_orderkey % 100 as string), 2, '0'), '.50 each') when 2 then 'none' else concat(o_custkey, ' seats') end")
-    return A.read(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select("o_orderkey", prices.parse_money(tag).alias("amount"))
-
-
-_TAG_ALL = _TAG.replace("'£' || o_totalprice", "'£' || printf('%.2f', o_totalprice)")
+    tag = F.expr("case o_orderkey % 4 when 0 then format_string('£%.2f', o_totalprice) when 1 then concat('from £ 1,2', lpad(cast(o_orderkey % 100 as string), 2, '0'), '.50 each') when 2 then 'none' else concat(o_custkey, ' seats') end")
+    return A.read(spark, sf_dir, "orders").select("o_orderkey", prices.parse_money(tag).alias("amount"))
 
 
-@query(f"SELECT o_orderkey, TRY_CAST(nullif(replace(regexp_extract({_TAG_ALL}, '£?\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', ''), '') AS DOUBLE) AS amount FROM orders")
+@query(SQL["money_parse"])
 def money_parse_all(spark, sf_dir):
-    """Every order; ``money_parse`` leaves out those with the plain form."""
-    tag = F.expr("case o_orderkey % 4 when 0 then format_string('£%.2f', o_totalprice) when 1 then concat('from £ 1,2', lpad(cast(o_orderkey % 100 as string), 2, '0'), '.50 each') when 2 then 'none' else concat(o_custkey, ' seats') end")
-    return A.read(spark, sf_dir, "orders").select("o_orderkey", prices.parse_money(tag).alias("amount"))
+    """The name under which every order was parsed first."""
+    return money_parse(spark, sf_dir)
 
 
 @query(

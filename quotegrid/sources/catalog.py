@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime
 import io
 import json
+import logging
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,7 @@ from ..functions.registry import SOURCE_PRIORITY
 from ..operators.history import SCHEMA as HISTORY_SCHEMA
 
 c = F.col
+log = logging.getLogger(__name__)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -120,13 +124,28 @@ def load_overrides(spark: SparkSession, path: str | None) -> dict:
     return {k: list(found.get(k) or []) for k in ("force_split", "force_merge")}
 
 
+#: Error conditions of a table that is missing, has no rows to tell its columns, lacks columns, or isn't one.
+NO_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN", "FAILED_READ_FILE")
+
+
+def _no_table(e: PySparkException | Py4JJavaError) -> bool:
+    """Whether a failure, or what caused it, is one of these conditions."""
+    if isinstance(e, PySparkException):
+        return (e.getCondition() or "").startswith(NO_TABLE)
+    cause = e.java_exception
+    while cause is not None:
+        if (cause.getMessage() or "").startswith(tuple(f"[{c}" for c in NO_TABLE)):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history table, or an empty one if it is missing or can't be read as one."""
+    """The history table, or an empty one if it is missing or can't be read as one. Other failures are raised."""
     try:
-        df = spark.read.parquet(path)
-        return df.select(*T._parse_datatype_string(HISTORY_SCHEMA).names)
-    except Exception as e:  # noqa: BLE001  whatever is wrong with the file, the run starts afresh
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e) and "UNRESOLVED_COLUMN" not in str(e) and "CANNOT_READ" not in str(e) and "FAILED_READ_FILE" not in str(e):
+        return spark.read.parquet(path).select(*T._parse_datatype_string(HISTORY_SCHEMA).names)
+    except (PySparkException, Py4JJavaError) as e:
+        if not _no_table(e):
             raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
@@ -134,9 +153,10 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
 HISTORY_JSON = "struct<shows: map<string, map<string, array<struct<t: string, min: double, max: double, currency: string, any_available: boolean>>>>>"
 
 
-def history_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """A nested history document (shows, then ``DATETTIME`` keys, then rows) as flat rows; keys without a date and time are left out."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", HISTORY_JSON).alias("d"))
+def history_from_json(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """A nested history document (shows, then ``DATETTIME`` keys, then rows), or
+    one in each line if it isn't a ``whole`` one, as flat rows; keys without a date and time are left out."""
+    doc = spark.read.text(path, wholetext=whole).select(F.from_json("value", HISTORY_JSON).alias("d"))
     perfs = doc.select(F.explode("d.shows").alias("show_id", "perfs")).select("show_id", F.explode("perfs").alias("key", "rows"))
     flat = perfs.where(c("key").rlike(r"^\d{4}-\d{2}-\d{2}T")).select("show_id", F.substring("key", 1, 10).alias("date"), F.expr("substring(key, 12)").alias("time"), F.posexplode("rows").alias("seq", "r"))
     return flat.select("show_id", "date", "time", "r.t", (c("seq") + 1).cast("long").alias("seq"), "r.min", "r.max", "r.currency", "r.any_available")
@@ -149,9 +169,24 @@ def history_to_json(history: DataFrame) -> DataFrame:
     return each.groupBy("show_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e")))).alias("value"))
 
 
-def write_run(df: DataFrame, path: str, run_id: str, keep: int = 5) -> list[str]:
+def run_ids(spark: SparkSession, path: str) -> list[str]:
+    """The runs of a folder in order; none if there is no such folder."""
+    base, fs = _fs(spark, path)
+    if not fs.exists(base):
+        return []
+    return sorted(n.removeprefix("run_id=") for s in fs.listStatus(base) if (n := s.getPath().getName()).startswith("run_id="))
+
+
+def drop_runs(spark: SparkSession, path: str, runs: list[str]) -> None:
+    for r in runs:
+        p, fs = _fs(spark, f"{path}/run_id={r}")
+        fs.delete(p, True)
+
+
+def write_run(df: DataFrame, path: str, run_id: str, keep: int | None = 5) -> list[str]:
     """Writes a run beside the earlier ones (``run_id=...``) through a staging
-    folder, so that readers see whole runs only, and drops all but the last ``keep``. Returns the runs that are left."""
+    folder, so that readers see whole runs only, and drops all but the last
+    ``keep`` (none without it). Returns the runs that are left."""
     spark = df.sparkSession
     staged = f"{path}/_staging-{run_id}"
     df.write.mode("overwrite").parquet(staged)
@@ -159,20 +194,19 @@ def write_run(df: DataFrame, path: str, run_id: str, keep: int = 5) -> list[str]
     to, _ = _fs(spark, f"{path}/run_id={run_id}")
     fs.delete(to, True)
     fs.rename(src, to)
-    base, _ = _fs(spark, path)
-    runs = sorted(s.getPath().getName() for s in fs.listStatus(base) if s.getPath().getName().startswith("run_id="))
-    for old in runs[:-keep]:
-        p, _ = _fs(spark, f"{path}/{old}")
-        fs.delete(p, True)
-    return [r.removeprefix("run_id=") for r in runs[-keep:]]
+    runs = run_ids(spark, path)
+    if keep is not None:
+        drop_runs(spark, path, runs[:-keep])
+    return runs if keep is None else runs[-keep:]
+
+
+def has_run(spark: SparkSession, path: str) -> bool:
+    return bool(run_ids(spark, path))
 
 
 def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """A run, the last one by default."""
-    base, fs = _fs(spark, path)
-    runs = sorted(s.getPath().getName() for s in fs.listStatus(base) if s.getPath().getName().startswith("run_id="))
-    name = f"run_id={run_id}" if run_id else runs[-1]
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/run_id={run_id or run_ids(spark, path)[-1]}")
 
 
 def write_export(df: DataFrame, path: str) -> None:
@@ -186,20 +220,27 @@ def read_export(spark: SparkSession, path: str, history: str | None = None) -> t
 
 
 def save_cache(df: DataFrame, path: str) -> bool:
-    """Writes a cache whole or not at all; says whether it did."""
+    """Writes a cache whole or not at all; says whether it did. A cache that can't
+    be written costs time, nothing else, so Spark's failures are logged and not raised."""
     try:
         write_run(df, path, datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f"), keep=1)
         return True
-    except Exception:  # noqa: BLE001  a cache that can't be written costs time, nothing else
+    except (PySparkException, Py4JJavaError) as e:
+        log.warning("cache not written to %s: %s", path, e)
         return False
 
 
 def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The cache, or an empty one."""
+    """The cache, or an empty one where there is none or one of other columns."""
+    empty = spark.createDataFrame([], schema)
+    if not has_run(spark, path):
+        return empty
     try:
-        return read_run(spark, path).select(*T._parse_datatype_string(schema).names)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], schema)
+        return read_run(spark, path).select(*empty.columns)
+    except (PySparkException, Py4JJavaError) as e:
+        if not _no_table(e):
+            raise
+        return empty
 
 
 def failures(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
@@ -215,10 +256,13 @@ def catalogue_payload(shows: DataFrame, perfs: DataFrame, offers: DataFrame) ->
     return shows.join(nested, "show_id", "left")
 
 
-def report(spark: SparkSession, lines: dict[str, DataFrame]) -> str:
-    """A plain text of small tables, the first rows of each."""
+def report(spark: SparkSession, lines: dict[str, DataFrame], rows: int = 20) -> str:
+    """A plain text of small tables: the first ``rows`` of each, and how many more there are."""
     out = []
     for title, df in lines.items():
         out.append(title)
-        out += ["  " + " | ".join("" if v is None else str(v) for v in r) for r in df.limit(20).collect()]
+        first = df.limit(rows + 1).collect()
+        out += ["  " + " | ".join("" if v is None else str(v) for v in r) for r in first[:rows]]
+        if len(first) > rows:
+            out.append(f"  ... and {df.count() - rows} more")
     return "\n".join(out) + "\n"

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values here and below: patterns and names that sellers' pages have.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -47,15 +48,20 @@ def json_ld(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'), 1)
 
 
-LD_SCHEMA = "array<struct<`@type`: string, name: string, startDate: string, jobTitle: string, url: string, location: struct<name: string>, offers: struct<price: double, lowPrice: double, priceCurrency: string, availability: string, url: string>, aggregateRating: struct<ratingValue: double, ratingCount: long>>>"
+_LD_ITEM = "`@type`: string, name: string, startDate: string, jobTitle: string, url: string, location: struct<name: string>, offers: struct<price: double, lowPrice: double, priceCurrency: string, availability: string, url: string>, aggregateRating: struct<ratingValue: string, ratingCount: string, reviewCount: string>"
+LD_SCHEMA = f"array<struct<{_LD_ITEM}, `@graph`: array<struct<{_LD_ITEM}>>>>"
 
 
 def ld_items(html: Column) -> Column:
     """The items of all linked-data scripts as one array: lists are flattened,
-    single items taken as they are, scripts that aren't JSON left out; raw control characters do no harm."""
+    graphs opened, single items taken as they are, scripts that aren't JSON left out; raw control characters do no harm."""
     listed = F.transform(json_ld(html), lambda s: F.when(F.ltrim(s).startswith("["), s).otherwise(F.concat(F.lit("["), s, F.lit("]"))))
     parsed = F.transform(listed, lambda s: F.from_json(s, LD_SCHEMA, {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}))
-    return F.filter(F.flatten(F.filter(parsed, lambda x: x.isNotNull())), lambda x: x.isNotNull() & x["@type"].isNotNull())
+    whole = F.filter(F.flatten(F.filter(parsed, lambda x: x.isNotNull())), lambda x: x.isNotNull())
+    names = ("@type", "name", "startDate", "jobTitle", "url", "location", "offers", "aggregateRating")
+    plain = lambda x: F.struct(*[x[n].alias(n) for n in names])
+    items = F.flatten(F.transform(whole, lambda x: F.when(x["@graph"].isNotNull(), F.transform(x["@graph"], plain)).otherwise(F.array(plain(x)))))
+    return F.filter(items, lambda x: x.isNotNull() & x["@type"].isNotNull())
 
 
 def ld_of_type(items: Column, kind: str) -> Column:
@@ -68,6 +74,54 @@ def ld_performances(items: Column) -> Column:
     return F.transform(events, lambda e: F.struct(F.substring(e["startDate"], 1, 10).alias("date"), F.substring(F.split_part(e["startDate"], F.lit("T"), F.lit(2)), 1, 5).alias("time"), F.coalesce(F.nullif(e["offers"]["price"], F.lit(0.0)), e["offers"]["lowPrice"]).alias("price"), e["offers"]["priceCurrency"].alias("currency"), e["offers"]["availability"].alias("availability"), e["offers"]["url"].alias("book_url")))
 
 
+def ld_people(items: Column) -> Column:
+    """Role and name of people with a job, each pair once and in order."""
+    jobs = F.filter(ld_of_type(items, "Person"), lambda p: F.coalesce(p["jobTitle"] != "", F.lit(False)))
+    return F.array_distinct(F.transform(jobs, lambda p: F.struct(p["jobTitle"].alias("role"), p["name"].alias("name"))))
+
+
+def ld_rating(items: Column) -> Column:
+    """The first product's rating, its counts where they are whole numbers, and its price (the lowest one where that is missing or 0)."""
+    product = F.try_element_at(ld_of_type(items, "Product"), F.lit(1))
+    rating, offers = product["aggregateRating"], product["offers"]
+    whole = lambda x: F.when(F.regexp_like(x, F.lit("^[0-9]+$")), x.try_cast("long"))
+    fields = {"rating": rating["ratingValue"].try_cast("double"), "rating_count": whole(rating["ratingCount"]), "review_count": whole(rating["reviewCount"]), "price": F.coalesce(F.nullif(offers["price"], F.lit(0.0)), offers["lowPrice"]), "currency": offers["priceCurrency"]}
+    return F.when(product.isNotNull(), F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+_PRICE = "struct<value: double, display: string, currency: string>"
+STATE = (
+    "struct<props: struct<pageProps: struct<product: struct<name: string, displayName: string, category: struct<name: string>, venue: struct<name: string>, startingDate: string, previewsFrom: string, closingDate: string, bookingTo: string, "
+    f"fromPrice: {_PRICE}, hasPromotion: boolean, promotion: struct<label: string>, reviewSummary: struct<score: double, reviewsCount: long>, shortDescription: string, about: string>, "
+    "productElasticSearchData: struct<category: struct<name: string>, reviewSummary: struct<score: double, reviewsCount: long>>, "
+    "initialShowtimes: array<struct<id: long, datetime: string, localDate: string, localTime: string, dayOfWeek: string, daypart: string, numSeatsAvailable: int, "
+    f"regularTickets: struct<lowPrice: {_PRICE}, hasPromotion: boolean, promotionLabel: string, priceBands: array<struct<price: {_PRICE}, numAssignedSeatsAvailable: int>>>>>>>>"
+)
+
+
+def state_shows(blob: Column) -> tuple[Column, Column]:
+    """A show and its showtimes from the state text: what the product lacks comes
+    from the search data, and a showtime's price is that of its cheapest open band (``verify.band_low_price``)."""
+    from ..operators.verify import band_low_price
+
+    props = F.from_json(blob, STATE)["props"]["pageProps"]
+    p, search = props["product"], props["productElasticSearchData"]
+    text = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs])
+    review = F.coalesce(p["reviewSummary"], search["reviewSummary"])
+    show = {
+        "name": text(p["name"], p["displayName"]), "category": F.coalesce(p["category"]["name"], search["category"]["name"]), "venue": p["venue"]["name"], "start_date": text(p["startingDate"], p["previewsFrom"]), "end_date": text(p["closingDate"], p["bookingTo"]),
+        "low_price": p["fromPrice"]["value"], "currency": p["fromPrice"]["currency"], "has_promotion": F.coalesce(p["hasPromotion"], F.lit(False)), "promotion": p["promotion"]["label"], "rating": review["score"], "rating_count": review["reviewsCount"], "description": text(p["shortDescription"], p["about"]),
+    }
+
+    def showtime(s: Column) -> Column:
+        tickets = s["regularTickets"]
+        bands = F.transform(tickets["priceBands"], lambda b: F.struct(b["price"]["value"].alias("price_value"), b["numAssignedSeatsAvailable"].alias("seats_available")))
+        low = band_low_price(bands, tickets["lowPrice"]["value"], s["numSeatsAvailable"])
+        return F.struct(s["id"].alias("showtime_id"), s["localDate"].alias("local_date"), s["localTime"].alias("local_time"), low.alias("low_price"), tickets["lowPrice"]["currency"].alias("currency"), F.coalesce(tickets["hasPromotion"], F.lit(False)).alias("has_promotion"), s["numSeatsAvailable"].alias("seats_available"))
+
+    return F.when(p.isNotNull(), F.struct(*[v.alias(k) for k, v in show.items()])), F.coalesce(F.transform(props["initialShowtimes"], showtime), F.array().cast("array<struct<showtime_id: bigint, local_date: string, local_time: string, low_price: double, currency: string, has_promotion: boolean, seats_available: int>>"))
+
+
 def next_data(html: Column) -> Column:
     """The text of the page's state script."""
     return F.nullif(F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit(""))
@@ -81,6 +135,11 @@ def calendar_anchors(html: Column, show: str) -> Column:
     return F.filter(F.transform(rows, lambda x, i: F.struct(i.alias("pos"), x["date"].alias("date"), x["time"].alias("time"), x["perf_id"].alias("perf_id"), x["price"].try_cast("double").alias("price"))), lambda x: x["perf_id"] != "0")
 
 
+def last_of_each(anchors: Column) -> Column:
+    """Of anchors with the same date and time, the last one."""
+    return F.filter(anchors, lambda a: ~F.exists(anchors, lambda b: (b["date"] == a["date"]) & (b["time"] == a["time"]) & (b["pos"] > a["pos"])))
+
+
 def tracking_event(html: Column) -> Column:
     """The numbers and marks of a page's ``Viewed Performance`` call; null without it."""
     body = F.regexp_extract(html, r"(?s)fireCrmEvent\(\s*['\"]Viewed Performance['\"]\s*,\s*\{([^}]*)\}", 1)

@@ -10,9 +10,9 @@ empty, or brings no new key.
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -32,11 +32,12 @@ class PagedReader(DataSourceReader):
         return [Pages((o,), False) for o in range(0, int(self.total), self.limit)] or [Pages((), False)]
 
     def fetch(self, offset: int) -> list[dict]:
-        place = os.path.join(self.path, f"page-{offset}.json")
-        if not os.path.exists(place):
+        store, folder = fs.FileSystem.from_uri(self.path)  # a path of any file system that pyarrow knows, or a plain one
+        place = f"{folder}/page-{offset}.json"
+        if store.get_file_info(place).type != fs.FileType.File:
             return []
-        with open(place) as f:
-            return json.load(f)
+        with store.open_input_file(place) as f:
+            return json.loads(f.read())
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         seen: set[str] = set()

@@ -37,11 +37,14 @@ class Node:
             stack += [x for x in reversed(n.children) if isinstance(x, Node)]
 
     def texts(self) -> Iterator[str]:
-        for x in self.children:
+        """Texts below in the order of the page, scripts and styles aside; any depth of nesting."""
+        stack: list[Node | str] = list(reversed(self.children))
+        while stack:
+            x = stack.pop()
             if isinstance(x, str):
                 yield x
             elif x.tag not in ("script", "style"):
-                yield from x.texts()
+                stack += reversed(x.children)
 
     def text(self, joint: str = " ") -> str:
         return " ".join(joint.join(self.texts()).split())
@@ -58,6 +61,13 @@ class Node:
     def one(self, where: str) -> Node | None:
         return next(iter(self.all(where)), None)
 
+    def within(self, path: str) -> list[Node]:
+        """Nodes below that fit the last part of ``a b c`` inside ones that fit the parts before it."""
+        found = [self]
+        for part in path.split():
+            found = list(dict.fromkeys(x for n in found for x in n.all(part)))
+        return found
+
 
 def _selector(where: str) -> tuple[str, list[Callable[[Node], bool]]]:
     tag = re.match(r"[a-z0-9]*", where)[0]
@@ -128,10 +138,25 @@ class Spec:
     title_mode: str = "first"  # the heading's first text, or "whole"
     info: tuple[str, str, str] = ("div.info", "dt", "dd")
     people: tuple[str, str, str] = ("li.cast", "strong", "")
+    people_box: str = "div.people"  # where a list of terms stands in for the items
     suffix: str = ""
+    cast_word: str = "cast"
     description: str = "div.description"
+    description_mode: str = "paragraphs"  # or "whole", or "after": between a heading with these words and the next one
+    description_words: str = "more about"
     read_more: str = "read more"
     hero: str = "div.hero"
+    header: tuple[str, str, str, str, str] = ("figure.show-hero figcaption img", "ul.show-meta li.duration", "ul.show-meta a[href]", "li.location", "span.badge-category")
+    hero_image: str = "mobile-img"
+    venue_path: str = "/venue/"
+    booking_period: str = "div#booking-period p"
+    addresses: tuple[str, ...] = ("div#venue article p.address", "div#venue-sidebar p.address")
+    book_button: str = "a.book-action"
+    book_links: tuple[str, str] = ("div.calendar-modal a[href]", "/book/")
+    calendar_box: str = "div#calendar"
+    group_info: str = "div#groups p"
+    features: tuple[str, str, str] = ("div.feature", "div.feature-header", "div.feature-text")
+    feature_words: tuple[tuple[str, tuple[str, ...]], ...] = (("running_time", ("how long", "running time")), ("matinee_text", ("matinee",)), ("evening_text", ("evening",)))
     gallery: str = "div.gallery"
     closing: tuple[str, ...] = ("Booking until", "Closing date")
     schedule: str = "section#show-time"
@@ -170,26 +195,107 @@ def label_map(root: Node, spec: Spec) -> dict[str, str]:
 
 
 def people(root: Node, spec: Spec) -> list[dict]:
-    """Role and name of each listed person; the name is what follows the role, separators aside."""
+    """Role and name of each listed person; the name is what follows the role,
+    separators aside. Without any item, the terms of the people's box and what they say."""
     place, role, name = spec.people
     out = []
     for item in root.all(place):
         r = item.one(role)
-        who = item.one(name).text() if name and item.one(name) else re.sub(r"^[\s:–—-]+", "", item.text()[len(r.text()) :] if r and item.text().startswith(r.text()) else item.text())
+        who = item.one(name).text() if name and item.one(name) else _after(item.text(), r.text() if r else "")
         part = r.text().removesuffix(spec.suffix).strip() if r else None
         if who:
             out.append({"role": part or None, "name": who})
+    if not out:
+        for dl in root.within(f"{spec.people_box} dl"):
+            for dt, dd in zip(dl.all("dt"), dl.all("dd")):
+                if dt.text() or dd.text():
+                    out.append({"role": dt.text().removesuffix(spec.suffix).strip() or None, "name": dd.text() or None})
     return out
 
 
+def _after(text: str, head: str) -> str:
+    return re.sub(r"^[\s:–—-]+", "", text[len(head) :] if text.lower().startswith(head.lower()) else text)
+
+
+HEADINGS = ("h2", "h3", "h4")
+
+
+def cast_list(root: Node, spec: Spec) -> list[dict]:
+    """Role and name from the first list under a heading that speaks of the cast."""
+    under = False
+    for n in root.walk():
+        if n.tag in HEADINGS:
+            under = spec.cast_word in n.text().lower()
+        elif under and n.tag == "ul":
+            rows = [(item.text(), item.one("strong")) for item in n.all("li")]
+            return [{"role": role, "name": _after(text, role) or None} for text, strong in rows if strong and (role := strong.text().rstrip(":").strip())]
+    return []
+
+
 def description(root: Node, spec: Spec) -> str | None:
-    box = root.one(spec.description)
-    if box is None:
-        return None
-    found = [p.text() for p in box.all("p")] or [box.text()]
+    """The description's paragraphs (its text if there are none), its whole text,
+    or the paragraphs after a heading up to the next (all of the page without such a heading)."""
+    if spec.description_mode == "after":
+        found, under = [], False
+        for n in root.walk():
+            if n.tag in HEADINGS:
+                under = spec.description_words in n.text().lower()
+            elif under and n.tag == "p":
+                found.append(n.text())
+        found = found or [p.text() for p in root.all("p")]
+    else:
+        box = root.one(spec.description)
+        if box is None:
+            return None
+        found = [] if spec.description_mode == "whole" else [p.text() for p in box.all("p")]
+        found = found or [box.text()]
     return "\n\n".join(p for p in found if p and p.lower() != spec.read_more) or None
 
 
+def header(root: Node, spec: Spec) -> dict:
+    """Thumbnail, duration, venue with its address, and badge of a page's header."""
+    images, duration, links, place, badge = spec.header
+    image = next((src for i in root.within(images) if spec.hero_image not in i.classes and (src := i.attrs.get("data-src") or i.attrs.get("src"))), None)
+    venue = next((a for a in root.within(links) if spec.venue_path in a.attrs["href"]), None)
+    return {"thumbnail": image, "duration": _text(root, duration), "venue": ((venue.one(place) or venue).text() or None) if venue else None, "venue_url": venue.attrs["href"] if venue else None, "badge": _text(root, badge)}
+
+
+def _text(root: Node, path: str) -> str | None:
+    found = root.within(path)
+    return (found[0].text() or None) if found else None
+
+
+def booking(root: Node, spec: Spec) -> dict:
+    """Booking period, address (the first place that has one), booking address (the
+    button's, else the first link of the calendar without a fragment), the calendar's number and start, and what groups are told."""
+    button = root.one(spec.book_button)
+    links, path = spec.book_links
+    others = (a.attrs["href"] for a in root.within(links) if path in a.attrs["href"] and "#" not in a.attrs["href"])
+    calendar = root.one(spec.calendar_box)
+    told = [t for p in root.within(spec.group_info) if (t := p.text())]
+    return {
+        "booking_period": _text(root, spec.booking_period),
+        "address": next((t for path in spec.addresses if (t := _text(root, path))), None),
+        "book_url": button.attrs["href"] if button and button.attrs.get("href") else next(others, None),
+        "calendar_id": ((calendar.attrs.get("data-id") or "").strip() or None) if calendar else None,
+        "calendar_start": ((calendar.attrs.get("data-start") or "").strip() or None) if calendar else None,
+        "group_info": "\n\n".join(told) or None,
+    }
+
+
+def features(root: Node, spec: Spec) -> dict:
+    """Texts of feature blocks by words of their headers; of several the last."""
+    place, head, body = spec.features
+    out: dict[str, str | None] = dict.fromkeys(k for k, _ in spec.feature_words)
+    for block in root.all(place):
+        h, t = block.one(head), block.one(body)
+        if h and t:
+            name = next((k for k, words in spec.feature_words if any(w in h.text().lower() for w in words)), None)
+            if name:
+                out[name] = t.text()
+    return out
+
+
 def background(root: Node, spec: Spec) -> str | None:
     box = root.one(spec.hero)
     style = (box.attrs.get("style") or "") if box else ""
@@ -346,7 +452,9 @@ WIDGETS = (
     "weekly array<struct<day: string, matinee: string, evening: string>>, last_minute array<struct<day: string, time: string, book_url: string, showtime_id: string, has_deals: string>>, "
     "deals array<struct<discount: double, min_price: double, max_price: double, book_url: string, time: string, price: double>>, calendar array<struct<date: string, time: string, min_price: double, max_price: double, available: boolean, book_url: string>>, "
     "price double, on_offer boolean, offer_title string, offer string, cards array<struct<pos: int, key: string, title: string, url: string, genres: array<string>>>, tags array<struct<name: string, url: string, slug: string>>, category string, access array<string>, "
-    "next_rows array<struct<day: string, time: string, url: string>>, months array<struct<label: string, month: string, year: int, url: string>>"
+    "next_rows array<struct<day: string, time: string, url: string>>, months array<struct<label: string, month: string, year: int, url: string>>, "
+    "cast array<struct<role: string, name: string>>, thumbnail string, duration string, venue string, venue_url string, badge string, booking_period string, address string, book_url string, calendar_id string, calendar_start string, group_info string, "
+    "running_time string, matinee_text string, evening_text string"
 )
 
 
@@ -360,6 +468,7 @@ def page_widgets(html: str | None, spec: Spec = Spec()) -> dict:
         "title": heading(root, spec), "labels": labels, "people": people(root, spec), "description": description(root, spec), "hero": background(root, spec), "gallery": gallery(root, spec), "closing_label": label, "closing": value,
         "weekly": weekly(root, spec), "last_minute": last_minute(root, spec), "deals": deals(root, spec), "calendar": data_calendar(root, spec), "price": price, "on_offer": on_offer, "offer_title": offer_title, "offer": offer,
         "cards": card_list(root, spec), "tags": tag_links(root, spec), "category": crumb(root, spec), "access": access_texts(root, spec), "next_rows": next_rows(root, spec), "months": month_rows(root, spec),
+        "cast": cast_list(root, spec), **header(root, spec), **booking(root, spec), **features(root, spec),
     }
 
 
@@ -403,6 +512,24 @@ def seat_request(perf_id: Column, show_id: Column, venue_url: Column, date: Colu
     return F.when(ok, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+def fragment_html(status: Column, content_type: Column, body: Column) -> Column:
+    """The page fragment in an answer's ``html``; null unless the answer is good, JSON, an object, and has such a text."""
+    ok = (status < 400) & F.lower(content_type).contains("json") & F.ltrim(body).startswith("{") & F.regexp_like(body, F.lit(r'"html"\s*:\s*"'))
+    return F.when(ok, F.nullif(F.trim(F.get_json_object(body, "$.html")), F.lit("")))
+
+
+def first_venue(venues: Column) -> Column:
+    """Of the performances' venues, the first that a name can be cut from."""
+    from ..functions.text import venue_first_part
+
+    return F.try_element_at(F.filter(F.transform(venues, venue_first_part), lambda v: v.isNotNull()), F.lit(1))
+
+
+def when_empty(rows: Column, other: Column) -> Column:
+    """Another array where the first one is null or empty."""
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) > 0, rows).otherwise(other)
+
+
 def crumb_category(items: Column, part: str = "/category/") -> Column:
     """Of breadcrumb items (position, name, url), by position (missing ones last), the first under a category address."""
     ordered = F.array_sort(F.transform(items, lambda x: F.struct(F.coalesce(x["position"], F.lit(999)).alias("position"), x["name"].alias("name"), x["url"].alias("url"))))

@@ -12,12 +12,13 @@ import datetime
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import history as H
+from ..sources import catalog
 
 OUT = "show_id string, date string, time string, t string, seen_at timestamp, min double, max double, any_available boolean, seq long"
 STATE = "t string, min double, max double, any_available boolean, seq long"
@@ -61,26 +62,51 @@ def changes(snapshots: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def floors(offers: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
-    """A streaming table of floors and offers for each window of event time."""
+    """A streaming table of floors, offers and shows for each window of event
+    time. A window's state holds its shows' ids, so that they are counted exactly."""
     valid = offers.where("price_from > 0 and not isnan(price_from) and coalesce(available, true)")
-    return valid.withWatermark("seen_at", late).groupBy(F.window("seen_at", window)).agg(F.min("price_from").alias("floor"), F.count("*").alias("n"), F.approx_count_distinct("show_id").alias("shows")).select(F.col("window.start").alias("start"), "floor", "n", "shows")
+    return valid.withWatermark("seen_at", late).groupBy(F.window("seen_at", window)).agg(F.min("price_from").alias("floor"), F.count("*").alias("n"), F.size(F.collect_set("show_id")).alias("shows")).select(F.col("window.start").alias("start"), "floor", "n", "shows")
 
 
-def append_batches(snapshots: DataFrame, path: str, checkpoint: str, live: DataFrame | None = None, as_of: datetime.date | None = None) -> StreamingQuery:
-    """Each micro-batch through the batch operators onto a history kept as
-    numbered runs: a batch that comes twice writes its run again, so nothing is doubled."""
-    from ..sources import catalog
+WHOLE = "-whole"
+
+
+def _runs(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """The runs that make up the history up to an epoch: the last whole one and those after it."""
+    runs = [r for r in catalog.run_ids(spark, path) if before is None or int(r.removesuffix(WHOLE)) < before]
+    start = max((i for i, r in enumerate(runs) if r.endswith(WHOLE)), default=0)
+    return runs[start:]
+
+
+def read_history(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The history that a stream has written, up to an epoch; empty if there is no run yet."""
+    runs = _runs(spark, path, before)
+    if not runs:
+        return spark.createDataFrame([], H.SCHEMA)
+    return spark.read.schema(H.SCHEMA).parquet(*[f"{path}/run_id={r}" for r in runs])
+
+
+def append_batches(snapshots: DataFrame, path: str, checkpoint: str, live: DataFrame | None = None, as_of: datetime.date | None = None, compact_every: int = 500) -> StreamingQuery:
+    """Each micro-batch through the batch operators onto a history: a run holds
+    the rows that its batch appended. A batch that comes twice writes its run
+    again, so nothing is doubled. A read that fails fails the batch, and the
+    stream stops with what it has written so far.
+
+    Every ``compact_every`` epochs the run is the whole history, pruned if
+    ``live`` and ``as_of`` are given; the runs before it are dropped when the
+    epoch after it starts, so a compaction that is repeated finds them still.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = catalog.read_run(spark, path, f"{epoch - 1:010d}") if epoch else None
-        except Exception:  # noqa: BLE001  the first batch after a fresh start
-            before = None
-        before = spark.createDataFrame([], H.SCHEMA) if before is None else before
-        out = H.append(before, batch)
+        catalog.drop_runs(spark, path, [r for r in catalog.run_ids(spark, path) if r < min(_runs(spark, path, epoch), default="")])
+        before = read_history(spark, path, epoch)
+        known = before.join(batch.select(*H.KEY).distinct(), H.KEY, "left_semi")
+        out = H.decide(known, batch).where("fate = 'append'").select(*before.columns)
+        whole = epoch > 0 and epoch % compact_every == 0
+        out = before.unionByName(out) if whole else out
         if live is not None and as_of is not None:
             out = H.prune(out, live, as_of)
-        catalog.write_run(out, path, f"{epoch:010d}")
+        catalog.write_run(out, path, f"{epoch:010d}{WHOLE if whole else ''}", keep=None)
 
     return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

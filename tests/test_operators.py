@@ -313,3 +313,18 @@ def test_build_shows(spark, records):
     assert [r.source for r in listed.where("cluster_id = 1").orderBy("rank").collect()] == ["olt", "lovetheatre", "seatplan", "ttd"]
     lists = R.review(clustered, records.limit(2), R.fuzzy_merge(clustered)[1])
     assert set(lists) == {"orphans", "singletons", "pairs"} and lists["singletons"].count() > 0
+
+
+def test_ranked_without_one_task(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from quotegrid.operators.offers import ranked
+
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(4), "".join(rnd.choice("abc") for _ in range(rnd.randrange(6))), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "n int, s string, i int").repartition(5)
+    got = ranked(df, [-F.col("n"), F.substring("s", 1, 2)], [F.col("s"), F.col("i")]).collect()
+    want = {r: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1], r[2])))}
+    assert {(r.n, r.s, r.i): r["rank"] for r in got} == want
+    assert ranked(df.limit(0), [F.col("n")], [F.col("i")]).collect() == []

@@ -110,10 +110,52 @@ def test_streaming_batches_equal_batch(spark, tmp_path):
     q = stream.append_batches(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder / "b=*")), str(tmp_path / "h"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    got = catalog.read_run(spark, str(tmp_path / "h"))
+    got = stream.read_history(spark, str(tmp_path / "h"))
     assert sorted((r.t, r.seq, r.min) for r in got.collect()) == sorted((r.t, r.seq, r.min) for r in whole.collect()) == [("r0", 1, 5.0), ("r2", 2, 4.0)]
 
 
+def test_streaming_history_grows_by_what_changed(spark, tmp_path):
+    """Runs hold what their batch appended; a compaction folds them, and a run that can't be read stops the stream."""
+    kind = H.SCHEMA.replace(" seq long,", "")
+    folder, path = tmp_path / "in", str(tmp_path / "h")
+    rows = lambda i: [(f"s{k}", "2026-02-01", "19:00", f"r{i}", float(i if k == 1 else 0), None, "GBP", None, [("olt", 5.0, None, None)]) for k in range(3)]
+    whole = spark.createDataFrame([], H.SCHEMA)
+
+    def feed(i):
+        df = spark.createDataFrame(rows(i), kind)
+        df.coalesce(1).write.parquet(str(folder / f"b={i}"))
+        return df
+
+    def run():
+        q = stream.append_batches(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder / "b=*")), path, str(tmp_path / "cp"), compact_every=3)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    for i in range(5):
+        whole = H.append(whole, feed(i))
+    run()
+    key = lambda df: sorted((r.show_id, r.t, r.seq, r.min) for r in df.collect())
+    assert key(stream.read_history(spark, path)) == key(whole) and len(key(whole)) == 7
+    runs = catalog.run_ids(spark, path)
+    assert runs == ["0000000003-whole", "0000000004"]  # the runs before the compaction went when the next epoch began
+    assert spark.read.parquet(f"{path}/run_id=0000000004").count() == 1
+    for f in (tmp_path / "h" / "run_id=0000000004").glob("*.parquet"):
+        f.write_text("broken")
+    feed(5)
+    try:
+        run()
+        raise AssertionError("a history that can't be read must stop the stream")
+    except Exception as e:  # noqa: BLE001  whatever Spark calls it
+        assert not isinstance(e, AssertionError)
+    assert catalog.run_ids(spark, path) == runs
+
+
+def test_report_tells_what_it_leaves_out(spark):
+    assert catalog.report(spark, {"n": spark.range(5)}, rows=2) == "n\n  0\n  1\n  ... and 3 more\n"
+
+
 def test_streaming_floors(spark, tmp_path):
     kind = "show_id long, price_from double, available boolean, seen_at timestamp"
     spark.createDataFrame([(1, 5.0, None, datetime.datetime(2026, 1, 1, 1)), (2, 3.0, False, datetime.datetime(2026, 1, 1, 2)), (2, 4.0, True, datetime.datetime(2026, 1, 1, 3))], kind).write.parquet(str(tmp_path / "in"))
