@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, everywhere in this package, is a run of bytes other than these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -35,9 +36,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the folder that driver and executors share."""
+    """A new folder name in the folder that driver and executors share
+    (``spark.checkpoint.dir``). Without that setting a local session gets a
+    folder of its own; on a cluster it is an error, since executors would write
+    where nobody else can read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -58,6 +64,57 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is hot from so many rows on, or from one part in so many of all rows: so there are never more hot keys than that.
+HOT_ROWS, MOST_HOT_KEYS = 1024, 100_000
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys of ``df`` (a table that is cheap to read again) with very many
+    rows and the number of ``slots`` over which each is to be dealt: at most
+    MOST_HOT_KEYS rows by their definition, so they can be broadcast. None without any."""
+    at = max(HOT_ROWS, df.count() // MOST_HOT_KEYS + 1)
+    hot = written(df.groupBy(*keys).count().where(F.col("count") > at).select(*keys, F.ceil(F.col("count") / at).cast("long").alias("slots")))
+    return None if hot.isEmpty() else hot
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` (cheap to read again) joined with ``right``, which has a row or few
+    for each key: the rows of a hot key of ``left`` are dealt over slots by their
+    hash, and ``right`` has a copy for each of them."""
+    hot = hot_keys(left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("slot", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("slots")), F.lit(0).cast("long"))).drop("slots")
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn("slot", F.explode(F.expr("sequence(0L, coalesce(slots, 1L) - 1)"))).drop("slots")
+    return dealt.join(copies, [*keys, "slot"], how).drop("slot")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows_at_once: int = 1 << 16) -> Iterator[pa.Table]:
+    """From rows that stand together by ``keys`` (longs or ints), tables of whole
+    groups, about so many rows at a time, so that a partition is never held whole."""
+    held: list[pa.RecordBatch] = []
+    n, wait = 0, rows_at_once
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < wait:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks()
+        other = np.zeros(n, bool)
+        for k in keys:
+            values = np.asarray(whole.column(k))
+            other |= values != values[-1]
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0  # the last group may go on in the next batch
+        if cut:
+            yield whole.slice(0, cut)
+        held, n = whole.slice(cut).combine_chunks().to_batches(), n - cut
+        wait = max(rows_at_once, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on the input."""
     x = x.astype(U64, copy=True)

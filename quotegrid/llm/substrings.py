@@ -9,8 +9,9 @@ document; a window counts as repeated if a smaller document id had it. A pair
 of windows must agree in the anchor (64 bits) and in its own hash (48 bits).
 
 Anchors of very frequent passages are found in a sample of documents (which
-decides only the route, never a result): their windows are counted one by one
-with map-side sums and joined back, which Spark splits where a key is skewed.
+decides only the route, never a result): their windows go one by one, find
+their first document by map-side sums, and get it back by a join that deals the
+rows of a frequent window over many tasks.
 
 Runs of repeated windows become removal intervals; they go back to their
 documents, and the words outside are kept.
@@ -26,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, text_chunks, window_hashes
+from .common import MOST_HOT_KEYS, NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, spread_join, text_chunks, window_hashes, written
 
 WIDTH = 50
 HASH_BYTES = 6
 #: One document in so many is looked at for frequent anchors, which have this many documents of the sample.
-SAMPLE_ONE_IN, HOT_IN_SAMPLE, MOST_HOT = 64, 32, 100_000
+SAMPLE_ONE_IN, HOT_IN_SAMPLE = 64, 32
 WINDOW_SCHEMA = "anchor long, doc long, print long, start int, hashes binary"
 REPEAT_SCHEMA = "doc long, print long, start int, stop int"
 
@@ -176,16 +177,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("doc"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
     if hot is None:
         some = texts.where(F.expr(f"pmod(xxhash64(doc, print), {SAMPLE_ONE_IN}) = 0")).select("text")
-        counts = some.mapInArrow(_sample_anchors(width), "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT_IN_SAMPLE)
-        hot = [r[0] for r in counts.orderBy(F.desc("count"), "anchor").limit(MOST_HOT).collect()]
+        often = written(some.mapInArrow(_sample_anchors(width), "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT_IN_SAMPLE).select("anchor"))
+    else:
+        often = spark.createDataFrame([(a,) for a in hot], "anchor long")
+    n = often.count()
+    often = F.broadcast(often) if n <= MOST_HOT_KEYS else often
     groups = texts.mapInArrow(_emit(width), WINDOW_SCHEMA)
-    often = spark.createDataFrame([(a,) for a in hot], "anchor long") if hot else None
-    rare = groups.join(F.broadcast(often), "anchor", "left_anti") if hot else groups  # MOST_HOT longs at most
+    rare = groups.join(often, "anchor", "left_anti") if n else groups
     found = rare.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_match(width), REPEAT_SCHEMA)
-    if hot:
-        one = groups.join(F.broadcast(often), "anchor", "left_semi").mapInArrow(_singles, "anchor long, hash long, doc long, print long, start int")
+    if n:
+        one = written(groups.join(often, "anchor", "left_semi").mapInArrow(_singles, "anchor long, hash long, doc long, print long, start int"))
         least = one.groupBy("anchor", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-        found = found.unionByName(one.join(least, ["anchor", "hash"]).where("doc > least").select("doc", "print", "start", (F.col("start") + width).alias("stop")))
+        found = found.unionByName(spread_join(one, least, ["anchor", "hash"]).where("doc > least").select("doc", "print", "start", (F.col("start") + width).alias("stop")))
     return found
 
 
@@ -214,9 +217,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     that stay, joined by one space).
 
     A null text has no words. Documents with a null id count as later than all
-    others and not as earlier than each other; rows with one id don't count as
-    earlier than each other. An empty table gives an empty result; other columns
-    aren't read.
+    others and not as earlier than each other; rows with one id, repeated rows
+    among them, don't count as earlier than each other. A very long text is cut
+    nowhere: a window may start at any of its words. An empty table gives an empty
+    result; other columns aren't read.
     """
     spark = docs.sparkSession
     runs = repeats(docs, id_col=id_col, text_col=text_col, width=width, hot=hot).groupBy("doc", "print").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))

@@ -75,6 +75,22 @@ def test_substrings(spark, docs, plain):
     assert substrings.remove_repeats(empty(spark)).collect() == []
 
 
+def test_substrings_frequent_passage(spark):
+    """A passage of most documents, which the sample finds, and one of just too few for it."""
+    import random
+
+    rnd = random.Random(5)
+    passage, second = ([f"{k}{i}" for i in range(70)] for k in "pq")
+    docs = []
+    for i in range(4500):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(12)]
+        docs.append((i, " ".join(own[:6] + (passage if i % 5 else []) + own[6:] + (second if i % 3 == 0 else []))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    want = brute.substring_dedup(docs)
+    got = {(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(df).collect()}
+    assert got == {(d, *v) for (d, _), v in want.items()}
+
+
 def test_substrings_real(spark, sf_dir):
     want = brute.substring_dedup(real(sf_dir))
     got = QUERIES["op2_substring_dedup"](spark, sf_dir).collect()
