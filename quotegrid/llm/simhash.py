@@ -6,10 +6,13 @@ four differing bits or fewer share one unchanged. A bucket (block, value) is a
 trie of the other bits, and the join walks pairs of its nodes together: each
 step adds the bits in which two children differ, and a pair whose sum exceeds
 the budget is left with everything below it. Buckets that hold many fingerprints
-are dealt again by five blocks of their other bits, so that the work of one task
-stays bounded. A bucket gives a spanning forest of its links (one edge for each
-fingerprint at most), never all pairs of a group, and components over these
-edges name the groups.
+are dealt again by five blocks of their other bits, and again, so that the work
+of one task stays bounded; a task takes its buckets one after another. A bucket
+gives a spanning forest of its links (one edge for each fingerprint at most),
+never all pairs of a group, and components over these edges name the groups.
+
+A budget of four bits finds equal and almost equal fingerprints. ``nearcopies``
+is the same join for texts that agree by a share of their shingles.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, ragged, small_batches, written
+from .common import MOST_HOT_KEYS, NULL_ID, U64, ragged, small_batches, spread_join, whole_groups, written
 from .components import components
 
 SHINGLE, BITS, BUDGET = 4, 64, 4
 #: Fingerprints of a bucket above which it is dealt again.
 LARGE_BUCKET = 20_000
+#: How often buckets are dealt at most.
+DEALS = 4
 LEAF_PAIRS, FRONT = 256, 1 << 12
 
 
@@ -70,14 +75,11 @@ def _blocks(bits: int, n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _cut(x: str, low: int, width: int) -> str:
-    return f"(shiftrightunsigned({x}, {low}) & {(1 << width) - 1}L)"
-
-
-def _without(x: str, low: int, width: int) -> str:
-    """The bits of x beside a block, moved together."""
-    above = f"shiftleft(shiftrightunsigned({x}, {low + width}), {low})" if low + width < BITS else "0L"
-    return f"({above} | ({x} & {(1 << low) - 1}L))"
+def _masks(mask: int, budget: int) -> list[int]:
+    """``mask`` with each of budget + 1 blocks of the bits that it lacks."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    out = [mask | sum(1 << b for b in free[low : low + width]) for low, width in _blocks(len(free), budget + 1)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
 
 
 class Forest:
@@ -103,16 +105,18 @@ class Forest:
             self.up[x] = self.roots(x)
 
 
-def trie_join(keys: np.ndarray, run: np.ndarray, budget: int, links: Forest) -> None:
-    """Joins in ``links`` all places of ``keys`` that are in one run (ascending
-    there) and differ in ``budget`` bits or fewer.
+def near_pairs(keys: np.ndarray, run: np.ndarray, budget: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places (i < j) of ``keys`` that are in one run (ascending there)
+    and differ in ``budget`` bits or fewer, in pieces; of equal ``label`` none.
 
     A front of node pairs (ranges of places) goes down the tries a bit at a time;
     small pairs are compared outright, and a large front is worked off in pieces.
+    Two nodes that hold one and the same label are left with all below them.
     """
     heads = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1, [len(keys)]))
     wide = np.flatnonzero(np.diff(heads) > 1)
     lo, hi = heads[wide], heads[wide + 1]
+    turns = None if label is None else np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
     stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int8), np.zeros(len(lo), np.int8))]
     while stack:
         front = stack.pop()
@@ -120,6 +124,10 @@ def trie_join(keys: np.ndarray, run: np.ndarray, budget: int, links: Forest) ->
             half = len(front[0]) // 2
             stack += [tuple(x[:half] for x in front), tuple(x[half:] for x in front)]
             continue
+        if turns is not None:
+            al, ah, bl, bh, _, _ = front
+            mixed = (turns[ah - 1] != turns[al]) | (turns[bh - 1] != turns[bl]) | (label[al] != label[bl])
+            front = tuple(x[mixed] for x in front)
         al, ah, bl, bh, err, depth = front
         leaf = ((ah - al) * (bh - bl) <= LEAF_PAIRS) | (depth >= BITS)
         if leaf.any():
@@ -129,7 +137,10 @@ def trie_join(keys: np.ndarray, run: np.ndarray, budget: int, links: Forest) ->
             i, j = a[pair] + at // m[pair], b[pair] + at % m[pair]
             near = i < j
             near[near] = np.bitwise_count(keys[i[near]] ^ keys[j[near]]) <= budget
-            links.join(i[near], j[near])
+            if label is not None:
+                near[near] = label[i[near]] != label[j[near]]
+            if near.any():
+                yield i[near], j[near]
             al, ah, bl, bh, err, depth = (x[~leaf] for x in front)
         if not len(al):
             continue
@@ -143,6 +154,12 @@ def trie_join(keys: np.ndarray, run: np.ndarray, budget: int, links: Forest) ->
         stack.append((*(x[good] for x in new), np.tile(depth + 1, 4)[good]))
 
 
+def trie_join(keys: np.ndarray, run: np.ndarray, budget: int, links: Forest) -> None:
+    """Joins in ``links`` all places that ``near_pairs`` gives."""
+    for i, j in near_pairs(keys, run, budget):
+        links.join(i, j)
+
+
 def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """In each range, ascending and equal above the bit, the first place where it is 1."""
     lo, hi = lo.copy(), hi.copy()
@@ -155,46 +172,53 @@ def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) ->
 
 
 def _bucket_links(budget: int):
-    """For rows (deal, bucket, print), whole buckets together: edges (a, b) of a spanning forest of each bucket's links."""
+    """For rows (mask, bucket, print), whole buckets together: edges (a, b) of a spanning forest of each bucket's links."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[np.asarray(batch.column(c)) for c in ("deal", "bucket", "print")] for batch in batches]
-        if not got:
-            return
-        deal, bucket, keys = (np.concatenate(x) for x in zip(*got))
-        keys = keys.view(U64)
-        order = np.lexsort((keys, bucket, deal))
-        deal, bucket, keys = deal[order], bucket[order], keys[order]
-        run = np.cumsum(np.concatenate(([0], (deal[1:] != deal[:-1]) | (bucket[1:] != bucket[:-1]))))
-        links = Forest(len(keys))
-        trie_join(keys, run, budget, links)
-        root = links.roots(np.arange(len(keys)))
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[root[moved]].view(np.int64)), pa.array(keys[moved].view(np.int64))], ["a", "b"])
+        for table in whole_groups(batches, ["mask", "bucket"]):
+            mask, bucket, keys = (np.asarray(table.column(c)) for c in ("mask", "bucket", "print"))
+            keys = keys.view(U64)
+            order = np.lexsort((keys, bucket, mask))
+            mask, bucket, keys = mask[order], bucket[order], keys[order]
+            run = np.cumsum(np.concatenate(([0], (mask[1:] != mask[:-1]) | (bucket[1:] != bucket[:-1]))))
+            links = Forest(len(keys))
+            trie_join(keys, run, budget, links)
+            root = links.roots(np.arange(len(keys)))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[root[moved]].view(np.int64)), pa.array(keys[moved].view(np.int64))], ["a", "b"])
 
     return rows
 
 
 def links(prints: DataFrame, *, budget: int = BUDGET, large: int = LARGE_BUCKET) -> DataFrame:
     """Edges (a, b) between distinct values of ``print`` that join all values
-    reachable over ``budget`` differing bits or fewer."""
-    small_batches(prints.sparkSession)
-    blocks = _blocks(BITS, budget + 1)
-    dealt = prints.select("print", F.explode(F.array(*[F.struct(F.lit(i).alias("deal"), F.expr(_cut("print", *b)).alias("bucket")) for i, b in enumerate(blocks)])).alias("x")).select("print", "x.deal", "x.bucket")
-    full = dealt.groupBy("deal", "bucket").count().where(F.col("count") > large).select("deal", "bucket").collect()  # at most (budget + 1) * 2**13 rows
-    if full:
-        hot = F.broadcast(prints.sparkSession.createDataFrame(full, "deal int, bucket long"))
-        again = dealt.join(hot, ["deal", "bucket"], "left_semi")
-        rest = again.withColumn("rest", F.expr("case deal " + " ".join(f"when {i} then {_without('print', *b)}" for i, b in enumerate(blocks)) + " end"))
-        widths = [BITS - w for _, w in blocks]
-        subs = [[F.struct(F.lit(8 * (i + 1) + j).alias("deal"), F.expr(f"shiftleft({_cut('rest', *b)}, 20) | bucket").alias("bucket")) for j, b in enumerate(_blocks(bits, budget + 1))] for i, bits in enumerate(widths)]
-        pick = F.array(*subs[0])
-        for i in range(1, len(subs)):
-            pick = F.when(F.col("deal") == i, F.array(*subs[i])).otherwise(pick)
-        deeper = rest.select("print", F.explode(pick).alias("x")).select("print", "x.deal", "x.bucket")
-        dealt = dealt.join(hot, ["deal", "bucket"], "left_anti").select("print", "deal", "bucket").union(deeper)
-    return dealt.repartition("deal", "bucket").mapInArrow(_bucket_links(budget), "a long, b long")
+    reachable over ``budget`` differing bits or fewer.
+
+    A bucket is named by the bits that it fixes (mask) and their values. Buckets
+    above ``large`` are dealt again by blocks of their free bits, up to DEALS
+    times: what agrees but for the budget shares one of these blocks too.
+    """
+    spark = prints.sparkSession
+    small_batches(spark)
+    masks = _masks(0, budget)
+    key = ["mask", "bucket"]
+    dealt = prints.select("print", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("bucket"))
+    done = None
+    for _ in range(DEALS - 1):
+        full = written(dealt.groupBy(*key).count().where(F.col("count") > large).select(*key))
+        n = full.count()
+        if not n:
+            break
+        known = F.broadcast(full) if n <= MOST_HOT_KEYS else full
+        parts = F.broadcast(spark.createDataFrame([(m, _masks(m & (1 << BITS) - 1, budget)) for m in masks], "mask long, parts array<long>"))  # (budget + 1) ** DEALS masks at most
+        rest = dealt.join(known, key, "left_anti").select("print", *key)
+        done = rest if done is None else done.union(rest)
+        deeper = dealt.join(known, key, "left_semi").join(parts, "mask").select("print", F.explode("parts").alias("mask"))
+        dealt = written(deeper.select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("bucket")))
+        masks = sorted({p for m in masks for p in _masks(m & (1 << BITS) - 1, budget)})
+    dealt = dealt if done is None else done.union(dealt)
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_bucket_links(budget), "a long, b long")
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -204,15 +228,16 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
 
     A null text and one without words have fingerprint 0 and are linked like any
     other. A null doc_id gets its component's smallest id, null if there is none.
-    Repeated rows share fingerprint and component. An empty table gives an empty
-    result; other columns aren't read.
+    Repeated rows share fingerprint and component; of equal distances all link. A
+    very long text is read whole. An empty table gives an empty result; other
+    columns aren't read.
     """
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct.select("print"), budget=budget))
     named = distinct.join(labels, distinct["print"] == labels["node"], "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(least, "label").select("print", "label", "component_id"), "print").select("doc_id", "own", "print", "label", "component_id")
+    return spread_join(prints, named.join(least, "label").select("print", "label", "component_id"), ["print"]).select("doc_id", "own", "print", "label", "component_id")
 
 
 def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
