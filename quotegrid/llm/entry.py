@@ -64,7 +64,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return hosts.judge(pages, hosts.term_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return hosts.judge(pages, hosts.page_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -269,8 +269,8 @@ def test_decontamination(spark, docs, sf_dir):
 
 def test_hosts(spark, sf_dir):
     urls = [None, "", "no scheme/x", "HTTP://A.Example.COM/en/71?x#y", "https://www.example.com/en/8", "http://example.net/de/8", "http://other.net/de/8", "x://org/es/", "http://notexample.com/en/7", "ftp://h?p/en/", "http://Éa.org/es/x\ny", "http://spam.example.org#f", "http://com/en/", "a://b://c/d"]
-    df = spark.createDataFrame([(i, u, "v", "h") for i, u in enumerate(urls)] + [(3, urls[3], "v", "h"), (None, urls[4], None, None)], "page_id long, url string, verdict string, host string")
-    got = hosts.judge(df, hosts.term_outcomes(df)).collect()
+    df = spark.createDataFrame([(i, u, "v", "h", "<p>some words</p>") for i, u in enumerate(urls)] + [(3, urls[3], "v", "h", None), (None, urls[4], None, None, "")], "page_id long, url string, verdict string, host string, html string")
+    got = hosts.judge(df, hosts.page_outcomes(df)).collect()
     assert len(got) == len(urls) + 2
     for r in got:
         u = urls[r.page_id] if r.page_id is not None else urls[4]
@@ -278,7 +278,8 @@ def test_hosts(spark, sf_dir):
         assert (r.host, r.path, r.rule) == (host, path, rule), u
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
         assert u or r.verdict == "allow"
-    assert hosts.judge(df.limit(0), hosts.term_outcomes(df.limit(0))).collect() == []
+    assert hosts.judge(df.limit(0), hosts.page_outcomes(df.limit(0))).collect() == []
+    assert {r.verdict for r in hosts.judge(df, hosts.page_outcomes(df.limit(0))).collect() if r.rule is None} == {"allow"}
     pages = pq.read_table(f"{sf_dir}/pages.parquet", columns=["page_id", "url"]).to_pylist()
     out = {r.page_id: r for r in QUERIES["op10_url_filter"](spark, sf_dir).collect()}
     for p in pages:
@@ -296,6 +297,40 @@ def test_shrinkage(spark):
     assert all(r.bound <= r.mean <= 1 for r in got.values())
 
 
+def test_page_outcomes(spark):
+    rows = [("http://a.com/1", "<p>ten plain words stand here and none is any junk</p>"), ("http://a.com/2", "<b>so### many%%% marks*** here</b>"), ("http://a.com/3", "<br><i></i>"), ("http://a.com/4", None), ("http://my-casino.a.com/x", None), ("nowhere", "###"), (None, "###"), ("http://CASINOS.a.com", "fine words")]
+    out = hosts.page_outcomes(spark.createDataFrame(rows, "url string, html string"))
+    assert {tuple(r) for r in out.collect()} == {("a.com", 2, 1), ("my-casino.a.com", 1, 1), ("casinos.a.com", 1, 0)}
+
+
+def test_hosts_without_labels(spark):
+    """A host without labelled pages is judged by its domain, then by its suffix, then by all pages."""
+    outcomes = spark.createDataFrame([(f"h{i}.bad.com", 40, 40) for i in range(5)] + [(f"g{i}.good.org", 60, 0) for i in range(20)] + [("x.mid.net", 0, 0), ("y.mid.net", None, None)], "host string, n long, bad long")
+    urls = ["http://new.bad.com/", "http://new.good.org/", "http://new.other.com/", "http://new.other.org/", "http://unknown.zz/", "http://y.mid.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.host: r for r in hosts.judge(pages, outcomes, rules=()).collect()}
+    assert got["new.bad.com"].verdict == "block" and got["new.good.org"].verdict == "allow"
+    assert got["new.bad.com"].bound > got["new.other.com"].bound > got["new.other.org"].bound
+    assert got["unknown.zz"].bound is not None and got["unknown.zz"].bound == got["y.mid.net"].bound
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_hosts_sql(spark, scale):
+    """The query's SQL where the posterior decides: hosts are blocked by it, and a host with bad pages is allowed."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/{scale}/pages.parquet')")
+    want = con.execute(hosts.SQL)
+    columns = [d[0] for d in want.description]
+    pages = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
+    got = QUERIES["op10_url_filter"](spark, f"/root/testdata/{scale}").select(*columns).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want.fetchall()))
+    free = {r.host: r.verdict for r in got if r.rule is None}
+    bad = {r.host for r in hosts.page_outcomes(pages).where("bad > 0").collect()}
+    assert "block" in free.values() and any(free.get(h) == "allow" for h in bad)
+
+
 # --- DuckDB
 
 
