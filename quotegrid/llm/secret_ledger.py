@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _either(word: str) -> str:
@@ -42,22 +42,30 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Matches whose places are summed up together: a text's matches cost their number times this, not its square.
+RUN = 64
+
+
 def _spans(k: int, rule: tuple[str, str, int, int]) -> Column:
-    """An array of (start, kind's number, end) of a rule's matches that are long enough; empty without any."""
+    """An array of (start, kind's number, end) of a rule's matches that are long
+    enough; empty without any. Places are summed up inside runs of matches, then over the runs."""
     _, pattern, group, least = rule
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     matches, counted = f"regexp_extract_all(text, '{quoted}', 0)", "x.`1`"
     if group:
         matches, counted = f"{matches}, regexp_extract_all(text, '{quoted}', {group})", "x.`2`"
     none = "cast(array() as array<struct<start: int, kind: int, stop: int>>)"
-    found = f"""if(not regexp_like(text, '{quoted}'), {none}, aggregate(
-        arrays_zip(split(text, '{quoted}', -1), {matches}),
-        named_struct('at', 0, 'out', {none}),
-        (acc, x) -> if(x.`1` is null, acc, named_struct(
-            'at', acc.at + length(x.`0`) + length(x.`1`),
-            'out', if(length({counted}) >= {least}, concat(acc.out, array(named_struct('start', acc.at + length(x.`0`), 'kind', {k}, 'stop', acc.at + length(x.`0`) + length(x.`1`)))), acc.out))),
-        acc -> acc.out))"""
-    return F.expr(found)
+    sizes = f"filter(transform(arrays_zip(split(text, '{quoted}', -1), {matches}), x -> named_struct('gap', length(x.`0`), 'n', length(x.`1`), 'm', length({counted}))), x -> x.n is not null)"
+    one = f"named_struct('start', acc.at + x.gap, 'kind', {k}, 'stop', acc.at + x.gap + x.n)"
+    run = f"aggregate(r, named_struct('at', 0, 'out', {none}), (acc, x) -> named_struct('at', acc.at + x.gap + x.n, 'out', if(x.m >= {least}, array_append(acc.out, {one}), acc.out)))"
+    runs = f"transform(sequence(0, size(s) - 1, {RUN}), i -> {_let('r', f'slice(s, i + 1, {RUN})', run)})"
+    before = "aggregate(rs, named_struct('at', 0, 'all', cast(array() as array<int>)), (acc, r) -> named_struct('at', acc.at + r.at, 'all', array_append(acc.all, acc.at)), acc -> acc.all)"
+    moved = f"flatten(zip_with(rs, {before}, (r, o) -> transform(r.out, y -> named_struct('start', y.start + o, 'kind', y.kind, 'stop', y.stop + o))))"
+    return F.expr(f"if(not regexp_like(text, '{quoted}'), {none}, {_let('s', sizes, _let('rs', runs, moved))})")
 
 
 def _named(spans: str, names: list[str]) -> str:
@@ -86,15 +94,20 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str =
     """A row for each row of ``docs``, and the new ledger rows (written).
 
     Rows: doc_id, blob, found (see ``scan``). A null text is scanned as an empty
-    one. Rows with one id are paths of their own. An empty table gives no rows;
-    other columns aren't read.
+    one, a very long one whole. Rows with one id, repeated rows among them, are
+    paths of their own; of overlapping spans of several kinds all are given, in
+    the order of start and kind. An empty table gives no rows; other columns
+    aren't read.
+
+    A first run has no ledger and scans every blob once, however many paths hold
+    it; with the ledger of the runs before, only blobs new under these rules.
     """
     new = written(update(docs, ledger, text_col=text_col, rules=rules))
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version(rules)).select(*new.columns))
-    paths = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
+    paths = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob")))
     held = known.where(F.size("found") > 0).select("blob", "found")
     none = F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)")
-    return paths.join(held, "blob", "left").select("doc_id", "blob", F.coalesce("found", none).alias("found")), new
+    return spread_join(paths, held, ["blob"], "left").select("doc_id", "blob", F.coalesce("found", none).alias("found")), new
 
 
 def digest(found: DataFrame, rules=RULES) -> DataFrame:
