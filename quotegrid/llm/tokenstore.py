@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, gathered, ragged, raw, shared_dir, small_batches, window_hashes
+from .common import U64, gathered, ragged, raw, shared_dir, small_batches, spread_join, window_hashes
 
 KEY_BYTES = 16
 #: Ids of a chunk: at least, on average (a power of two), at most; ids under the rolling hash.
@@ -451,7 +451,7 @@ def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame
     sums = read_chunks(spark, path).mapInArrow(_checked(id_bytes), "key binary, n long, crc long, ok boolean").where("ok").select("key", "n", "crc")
     recipes = read_recipes(spark, path)
     needed = recipe_chunks(recipes)
-    docs = needed.join(sums, "key").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc"))).alias("found"))
+    docs = spread_join(needed, sums, ["key"]).groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc"))).alias("found"))
     whole = docs.mapInArrow(_joined, "part int, place long, n_tokens long, ids_crc32 long")
     parts = spark.read.schema("part int, tokens_before long").parquet(f"{path}/manifest")
     order = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
@@ -473,7 +473,7 @@ def read_ids(spark: SparkSession, path: str, where: str = "true", id_bytes: int
     small_batches(spark)
     recipes = read_recipes(spark, path).where(where)
     needed = recipe_chunks(recipes)
-    found = needed.join(read_chunks(spark, path), "key").groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "payload"))).alias("found"))
+    found = spread_join(needed, read_chunks(spark, path), ["key"]).groupBy("part", "place").agg(F.sort_array(F.collect_list(F.struct("k", "payload"))).alias("found"))
     return recipes.join(found, ["part", "place"]).select("doc_id", "found").mapInArrow(_documents(id_bytes), "doc_id long, ids array<long>")
 
 
