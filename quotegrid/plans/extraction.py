@@ -142,6 +142,16 @@ def page_schedule(spark, sf_dir):
     )
 
 
+@query("SELECT p_partkey AS part_key, CASE p_partkey % 3 WHEN 0 THEN p_partkey::VARCHAR WHEN 2 THEN concat('own', p_partkey) END AS showtime_id FROM part")
+def showtime_ids(spark, sf_dir):
+    """Numbers from the last-minute table for performances that lack theirs, by address."""
+    k = c("part_key")
+    w = page_widgets(spark, sf_dir).select("part_key", W.id_by_url(c("last_minute")).alias("ids"))
+    url = F.when(k % 3 == 0, F.concat(F.lit("/p/"), k)).otherwise(F.concat(F.lit("/q/"), k))
+    own = F.when(k % 3 == 2, F.concat(F.lit("own"), k))
+    return w.select("part_key", F.coalesce(own, F.try_element_at("ids", url)).alias("showtime_id"))
+
+
 @query("SELECT p_partkey AS part_key, nullif(p_partkey % 3, 0)::DOUBLE AS discount, p_partkey::DOUBLE AS min_price, NULL::DOUBLE AS max_price, concat('/book/', p_partkey) AS book_url, '7:30pm' AS time, (10 + p_partkey % 90 + 0.5)::DOUBLE AS price FROM part")
 def page_deals(spark, sf_dir):
     return page_widgets(spark, sf_dir).select("part_key", F.explode("deals").alias("d")).select("part_key", "d.discount", "d.min_price", "d.max_price", "d.book_url", "d.time", "d.price")

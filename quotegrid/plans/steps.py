@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..operators import resolve as R
 from ..operators import verify as V
 from ..sources import adapters as A
 from ..sources import catalog as C
+from ..sources.paged import PagedJson
 from ..sources.session import scratch
 from .base import D, EFF, OFFERS, SEEN, SHOWS, query, with_
 from .pipeline import _RECORDS, records
@@ -270,6 +273,19 @@ def failed_pages(spark, sf_dir):
 # --- storage
 
 
+@query("SELECT n_nationkey::VARCHAR AS key, n_nationkey::INT AS pos, n_name AS name FROM nation")
+def paged_listing(spark, sf_dir):
+    """A listing of 25 nations that comes in pages of ten, read until a page brings nothing new."""
+    folder = scratch(spark)
+    rows = [{"id": r[0], "name": r[1]} for r in A.read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # a fixed list
+    for at in range(0, len(rows) + 1, 10):
+        C.write_text(spark, f"{folder}/page-{at}.json", json.dumps(rows[at : at + 10]))
+    C.write_text(spark, f"{folder}/page-{len(rows) + 10}.json", json.dumps(rows[-1:]))
+    spark.dataSource.register(PagedJson)
+    found = spark.read.format("paged_json").option("path", folder).option("limit", "10").load()
+    return found.select("key", "pos", F.get_json_object("body", "$.name").alias("name"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0")
 def runs_kept(spark, sf_dir):
     """Three runs written, the oldest dropped, the last read; one is written twice."""

@@ -35,6 +35,14 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, by Spark's own file system."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 # For each source, the names of a show's fields in its files; a dot leads into a struct.
 SHOW_FIELDS = {
     "olt": {"source_id": "id", "title": "title", "venue": "venue.name", "url": "url", "description": "description", "performances": "performances"},

@@ -32,7 +32,7 @@ class PagedReader(DataSourceReader):
         return [Pages((o,), False) for o in range(0, int(self.total), self.limit)] or [Pages((), False)]
 
     def fetch(self, offset: int) -> list[dict]:
-        store, folder = fs.FileSystem.from_uri(self.path)  # a path of any file system that pyarrow knows, or a plain one
+        store, folder = fs.FileSystem.from_uri(self.path.removeprefix("file:") if self.path.startswith("file:/") else self.path)  # any file system that pyarrow knows, or a plain path
         place = f"{folder}/page-{offset}.json"
         if store.get_file_info(place).type != fs.FileType.File:
             return []

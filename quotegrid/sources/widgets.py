@@ -512,6 +512,13 @@ def seat_request(perf_id: Column, show_id: Column, venue_url: Column, date: Colu
     return F.when(ok, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+def id_by_url(rows: Column) -> Column:
+    """A map from a booking address to the showtime number beside it; rows without one are passed over, of several the first counts."""
+    known = F.filter(rows, lambda r: r["book_url"].isNotNull() & r["showtime_id"].isNotNull())
+    first = F.filter(known, lambda r, i: ~F.exists(F.slice(known, F.lit(1), i), lambda o: o["book_url"] == r["book_url"]))
+    return F.map_from_entries(F.transform(first, lambda r: F.struct(r["book_url"], r["showtime_id"])))
+
+
 def fragment_html(status: Column, content_type: Column, body: Column) -> Column:
     """The page fragment in an answer's ``html``; null unless the answer is good, JSON, an object, and has such a text."""
     ok = (status < 400) & F.lower(content_type).contains("json") & F.ltrim(body).startswith("{") & F.regexp_like(body, F.lit(r'"html"\s*:\s*"'))
