@@ -142,3 +142,164 @@ def url_rule(url):
         if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
             best = (h + p, v)
     return host, path, *(best or (None, None))
+
+
+def shingles(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def set_groups(texts):
+    """Of each text, the first place in its component of links at 0.8."""
+    sets = [shingles(t) for t in texts]
+    up = list(range(len(sets)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(sets):
+        near = Counter(j for x in s for j in holders.get(x, ()))
+        near.update({j: 0 for j in range(i) if not s and not sets[j]})
+        for j, n in near.items():
+            if 5 * n >= 4 * len(s | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    return [root(i) for i in range(len(sets))]
+
+
+def _spark_hash(values, seed=42):
+    """What the engine's xxhash64 gives for longs and texts, one after another; nulls are passed over."""
+    import xxhash
+
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - 2**64 if seed >> 63 else seed
+
+
+def mix_taken(docs, quotas, block, seed):
+    """docs: (doc_id, source, size, shards of the source); quotas: (source, shard) -> (rounds, n, picked, turn).
+    The words that each document gives, by writing every shard's words one after another."""
+    rows = []
+    for doc, source, size, shards in docs:
+        row = _spark_hash([source, size])
+        shard = _spark_hash([doc, row, (seed,)]) % shards
+        rows.append(((source, shard), _spark_hash([doc, row, (seed + 1,)]), doc, row, size))
+    out = Counter()
+    for key in {r[0] for r in rows}:
+        rounds, n, picked, turn = quotas[key]
+        words = [(doc, size) for _, _, doc, _, size in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] is not None, r[2] or 0, r[3], r[4])) for _ in range(size)]
+        for i, (doc, size) in enumerate(words):
+            j = i // block
+            out[doc, size] += rounds + (((j + 1) * picked + turn) // max(n, 1) > (j * picked + turn) // max(n, 1))
+        for _, _, doc, _, size in rows:
+            out[doc, size] += 0
+    return out
+
+
+def quality_kept(stats, rules, rounds=2000):
+    """stats: dicts of a document's counts -> whether each is kept, by a plain EM over the documents themselves."""
+    import math
+
+    def vote(d, rule):
+        _, stat, way, good, bad = rule
+        if not d["n_words"]:
+            return 0
+        value = eval(stat, {"greatest": max}, dict(d))
+        return (1 if value <= good else 2 if value > bad else 0) if way == "<" else (1 if value >= good else 2 if value < bad else 0)
+
+    votes = [[vote(d, r) for r in rules] for d in stats]
+    share, good, bad, weight = 0.9, [0.99] * len(rules), [0.3] * len(rules), max(2.0, 0.002 * len(stats))
+
+    def posterior(v):
+        a = math.log(share) + sum(math.log(g if x == 1 else 1 - g) for x, g in zip(v, good) if x)
+        b = math.log(1 - share) + sum(math.log(1 - h if x == 1 else h) for x, h in zip(v, bad) if x)
+        return 1 / (1 + math.exp(b - a))
+
+    for _ in range(rounds):
+        post = [posterior(v) for v in votes]
+        was = (share, *good, *bad)
+        share = (sum(post) + 9) / (len(post) + 10)
+        for k in range(len(rules)):
+            yes, no = [(v[k], p) for v, p in zip(votes, post) if v[k]], [(v[k], 1 - p) for v, p in zip(votes, post) if v[k]]
+            good[k] = min(0.9999, max(0.55, (sum(p for x, p in yes if x == 1) + 0.99 * weight) / (sum(p for _, p in yes) + weight)))
+            bad[k] = min(0.9999, max(0.001, (sum(p for x, p in no if x == 2) + 0.3 * weight) / (sum(p for _, p in no) + weight)))
+        if max(abs(x - y) for x, y in zip(was, (share, *good, *bad))) < 1e-9:
+            break
+    return [d["n_words"] >= 10 and 100 * d["n_repeat_words"] <= 20 * d["n_words"] and posterior(v) >= 0.5 for d, v in zip(stats, votes)]
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+    return row[-1]
+
+
+def toxicity_score(text, model, edge, context, context_score):
+    """The score of a text by the distance of each word to each term."""
+    import math
+
+    budget = lambda t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2
+    w, sums = words(text), [0.0] * 5
+    for i, raw in enumerate(w):
+        x = raw.lower().strip(edge)
+        fits = [(0, -v) for s, v in model.stems.items() if x.startswith(s)]
+        fits += [(d, -v) for t, v in model.terms.items() if abs(len(t) - len(x)) <= budget(t) and (d := edit_distance(t, x)) <= budget(t)]
+        if not fits:
+            continue
+        edits, weight = min(fits)
+        lo = max(0, i - context)
+        c = context_score(w[lo : i + context + 1], i - lo)
+        if edits:
+            sums[2] += c
+        else:
+            sums[0] = max(sums[0], -weight * min(c, 1.0))
+            sums[1] -= weight * c
+            sums[4] += c
+        sums[3] += c < 0.6
+    sums[4] = max(sums[4] - 1, 0)
+    x = [1.0, sums[0] / 5, *(math.log1p(s) for s in sums[1:])]
+    return 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights))))))
+
+
+def license_spans(text, templates, least_run, most_gap):
+    """(template, start, stop, covered share) by looking each stretch of words up in every template."""
+    lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
+    token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    w, lists = token.findall(lower(text)), [token.findall(lower(t)) for _, t in templates]
+    longest = []
+    inside = lambda a, b: any(w[a:b] == t[i : i + b - a] for t in lists for i in range(len(t) - (b - a) + 1))
+    for i in range(len(w)):
+        n = (longest[-1] if longest else 0) + 1
+        while n and not inside(i + 1 - n, i + 1):
+            n -= 1
+        longest.append(n)
+    chains, open_ = [], {}
+    for i, n in enumerate(longest):
+        if n < least_run or (i + 1 < len(w) and longest[i + 1] > n):
+            continue
+        start = i + 1 - n
+        for k, t in enumerate(lists):
+            places = [a for a in range(len(t) - n + 1) if t[a : a + n] == w[start : i + 1]]
+            if not places:
+                continue
+            c = open_.get(k)
+            fit = [a for a in places if c and start - c[1] <= most_gap and a + n > c[2] and i + 1 > c[1]]
+            if fit:
+                a = min(fit, key=lambda x: (abs(x - c[2]), x))
+                c[3] += min(n, a + n - c[2], i + 1 - c[1])
+                c[1], c[2] = i + 1, a + n
+            else:
+                if c:
+                    chains.append((k, *c))
+                open_[k] = [start, i + 1, places[0] + n, n]
+    chains += [(k, *c) for k, c in open_.items()]
+    return sorted((k, a, b, min(1.0, n / len(lists[k]))) for k, a, b, _, n in chains)
