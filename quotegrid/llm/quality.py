@@ -33,9 +33,7 @@ RULES = (
     ("repeated_words", "n_repeat_words / n_words", "<", 0.08, 0.20),
     ("repeated_lines", "n_dup_lines / n_lines", "<", 0.10, 0.30),
     ("plain_words", "n_plain / n_words", ">", 0.85, 0.65),
-    ("word_length", "word_chars / n_words", ">", 2.5, 1.5),
     ("distinct_words", "n_distinct / n_words", ">", 0.40, 0.20),
-    ("length", "n_words", ">", 20, 10),
 )
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_exclaim long, n_plain long, n_distinct long"
 KEEP_AT = 0.5
@@ -130,30 +128,31 @@ def votes(rules=RULES) -> Column:
 
 
 #: The prior: a rule speaks against a good document this rarely, and against a bad one, which may have another fault, this often.
-FALSE_ALARM, RECALL = 0.01, 0.3
+FALSE_ALARM, RECALL, PRIOR_SHARE = 0.01, 0.3, 0.002
 
 
 def fit(patterns: list[tuple[int, int]], n_rules: int, rounds: int = 300) -> tuple[float, np.ndarray, np.ndarray]:
     """From (votes, count): the share of good documents, and each rule's accuracy
     on good and on bad ones (where it votes). Rules name different faults, so
-    their accuracy on bad documents is free to be low; that on good ones has a
-    prior of half the corpus' weight, which keeps documents of one fault from passing as good."""
+    their accuracy on bad documents may be low. The priors weigh as much as
+    PRIOR_SHARE of the corpus: they decide where the corpus says nothing, as of a
+    rule that never votes, and else the counts do."""
     if not patterns:
         return 0.5, np.full(n_rules, 1 - FALSE_ALARM), np.full(n_rules, RECALL)
     p, n = np.array([x for x, _ in patterns]), np.array([c for _, c in patterns], float)
     vote = p[:, None] // 3 ** np.arange(n_rules) % 3
     share, good, bad = 0.9, np.full(n_rules, 1 - FALSE_ALARM), np.full(n_rules, RECALL)
-    firm, loose = max(10.0, 0.5 * n.sum()), max(2.0, 0.002 * n.sum())
+    weight = max(2.0, PRIOR_SHARE * n.sum())
     for _ in range(rounds):
         post = posterior(vote, share, good, bad)
         yes, no = n * post, n * (1 - post)
         new = (
             (yes.sum() + 9) / (n.sum() + 10),
-            np.array([(yes[v == 1].sum() + (1 - FALSE_ALARM) * firm) / (yes[v > 0].sum() + firm) for v in vote.T]),
-            np.array([(no[v == 2].sum() + RECALL * loose) / (no[v > 0].sum() + loose) for v in vote.T]),
+            np.array([(yes[v == 1].sum() + (1 - FALSE_ALARM) * weight) / (yes[v > 0].sum() + weight) for v in vote.T]),
+            np.array([(no[v == 2].sum() + RECALL * weight) / (no[v > 0].sum() + weight) for v in vote.T]),
         )
         moved = max(abs(new[0] - share), float(np.abs(new[1] - good).max()), float(np.abs(new[2] - bad).max()))
-        share, good, bad = new[0], np.clip(new[1], 0.55, 0.999), np.clip(new[2], 0.05, 0.999)
+        share, good, bad = new[0], np.clip(new[1], 0.55, 0.9999), np.clip(new[2], 0.001, 0.9999)
         if moved < 1e-7:
             break
     return share, good, bad
@@ -170,7 +169,8 @@ def grade(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ru
     """A row for each row of ``docs``: its statistics, base_failed, votes,
     probability (of good), kept.
 
-    A null text counts as one without words: base_failed. Repeated rows are
+    A null text counts as one without words: base_failed. A very long text is
+    counted whole. A probability of just ``keep_at`` keeps. Repeated rows are
     graded alike. An empty table gives an empty result; other columns aren't
     read.
     """
