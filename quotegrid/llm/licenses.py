@@ -50,25 +50,30 @@ def words_of(text: str) -> list[str]:
 
 class SuffixAutomaton:
     """A generalised suffix automaton over word lists. A state knows, for each
-    list that has its stretches, where the last one ends (``at``)."""
+    list that has its stretches, where one of them ends (``at``), and all of these
+    places (``places``: list, end)."""
 
     def __init__(self, lists: Sequence[Sequence]):
         self.next, self.link, self.size = [{}], [-1], [0]
         self.at: list[dict[int, int]] = [{}]
+        self.places: list[set[tuple[int, int]]] = [set()]
         for k, words in enumerate(lists):
             last = 0
             for i, w in enumerate(words):
                 last = self._add(last, w)
                 self.at[last].setdefault(k, i + 1)
+                self.places[last].add((k, i + 1))
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
             for k, end in self.at[s].items():
                 self.at[self.link[s]].setdefault(k, end)
+            self.places[self.link[s]] |= self.places[s]
 
     def _state(self, size: int, nexts: dict, link: int) -> int:
         self.next.append(nexts)
         self.size.append(size)
         self.link.append(link)
         self.at.append({})
+        self.places.append(set())
         return len(self.size) - 1
 
     def _split(self, p: int, w) -> int:
@@ -119,18 +124,22 @@ class Scanner:
         found = list(self.automaton.statistics(words))
         for i, (s, n) in enumerate(found):
             if n >= self.least_run and (i + 1 == len(found) or found[i + 1][1] <= n):
-                for k, end in self.automaton.at[s].items():
+                for k, end in self.automaton.places[s]:
                     yield k, end - n, base + i + 1 - n, n
 
     def spans(self, stretches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(template, start, stop, covered share), chained by place in text and template."""
+        """(template, start, stop, covered share), chained by place in text and
+        template. Of a stretch's places in a template the one nearest to the
+        chain's end goes on with it, and the first begins a new one."""
         out, by = [], {}
-        for k, at, start, n in sorted(stretches, key=lambda x: (x[0], x[2], x[1])):
-            by.setdefault(k, []).append((at, start, n))
+        for k, at, start, n in sorted(stretches, key=lambda x: (x[0], x[2], x[3], x[1])):
+            by.setdefault(k, {}).setdefault((start, n), []).append(at)
         for k, own in by.items():
             chain: list[int] | None = None  # start, stop, end in the template, covered
-            for at, start, n in own:
-                if chain and start - chain[1] <= MOST_GAP and at + n > chain[2] and start + n > chain[1]:
+            for (start, n), places in own.items():
+                fit = [at for at in places if chain and start - chain[1] <= MOST_GAP and at + n > chain[2] and start + n > chain[1]]
+                at = min(fit, key=lambda x: (abs(x - chain[2]), x)) if fit else places[0]  # noqa: B023
+                if fit:
                     fresh = min(n, at + n - chain[2], start + n - chain[1])
                     chain = [chain[0], start + n, at + n, chain[3] + fresh]
                 else:
@@ -195,8 +204,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     labels, score (1 where a base phrase stands, else the largest covered share
     of a template), and the template spans in words.
 
-    A null text counts as empty: no words, no labels, score 0. Repeated rows give
-    equal rows; an empty table gives an empty result; other columns aren't read.
+    A null text counts as empty: no words, no labels, score 0. A very long text is
+    scanned whole, in runs of the templates' words. Of templates that cover alike
+    all give their label, which labels hold once. Repeated rows give equal rows;
+    an empty table gives an empty result; other columns aren't read.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_found(templates, phrases), SCHEMA)
