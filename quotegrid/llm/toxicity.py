@@ -203,7 +203,10 @@ class Scorer:
 def learn_lexicon(texts: Sequence[str], toxic: Sequence[int], least: int = 4, most: int = 400, once: int = 8, odds: float = 2.5) -> tuple[dict[str, float], dict[str, float]]:
     """Whole words and beginnings that stand in toxic documents far more often
     (log odds of occurrences, ``once`` a document at most), one after another by
-    the toxic documents that each adds to those found before. Equal texts count once."""
+    the toxic documents that each adds to those found before. Equal texts count
+    once. No more than ``most`` terms and beginnings are chosen so, which bounds
+    what every worker holds; the frequent words after them are few by their own condition."""
+
     def terms_of(text: str) -> Counter[str]:
         own: Counter[str] = Counter()
         for w, n in Counter(w.lower().strip(EDGE) for w in text.split()).items():
@@ -264,12 +267,14 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 5
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from ``sample_rows`` labelled rows at most. Only labels whose
     crc32(id as text) mod 4 isn't 2 are used; the others are for tests. Rows
-    without an id, label or text are left out. Without labels of both kinds the
-    model scores all texts alike."""
+    without an id, label or text are left out; of rows that share an id the one
+    with the smallest text hash is taken, so no more than ``sample_rows`` texts come
+    to the driver. Without labels of both kinds the model scores all texts alike."""
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("y").alias("y"))
     some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "text", "y").toArrow()  # ``sample_rows`` labels, so as many documents
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("doc_id", "text", "y").toArrow()  # ``sample_rows`` labels, so as many documents
     if not rows.num_rows:
         return Model()
     order = np.lexsort((np.asarray(pc.binary_length(rows.column("text"))), np.asarray(rows.column("doc_id"))))
@@ -299,14 +304,18 @@ def _scores(model: Model):
 
 def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row; a null text is scored as an empty
-    one, which has no hits. Repeated rows are scored alike; an empty table gives
-    an empty result; other columns aren't read."""
+    one, which has no hits; a very long one is scored whole. Of terms that match a
+    word alike the heaviest counts. Repeated rows are scored alike; an empty table
+    gives an empty result; other columns aren't read."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scores(model), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", score_at: float = SCORE_AT) -> DataFrame:
-    """The rows of ``docs``, whole, whose text scores below ``score_at``."""
+    """The rows of ``docs``, whole, whose text scores below ``score_at``: one that
+    scores just that goes. Null and empty texts have the score of a text without
+    hits; repeated rows stay or go together; an empty table stays empty. Other
+    columns, whatever their names, are handed on."""
     small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
