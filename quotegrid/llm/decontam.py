@@ -164,7 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     Null and empty texts and items match nothing. A null item_id is given as -1;
     null doc_ids are carried. Repeated documents give repeated rows; of items with
-    one id the best match counts. Empty tables give an empty result; other columns
+    one id the best match counts, of equally good stretches the one that ends
+    first. A very long text is searched whole. Empty tables give an empty result; other columns
     aren't read.
     """
     small_batches(docs.sparkSession)
@@ -187,7 +188,11 @@ def _clean(items: list[tuple[int, str]], text_col: str):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, whole, that hold no item of the benchmark."""
+    """The rows of ``docs``, whole, that hold no item of the benchmark within its
+    budget. Null and empty texts and items match nothing, so such rows stay;
+    repeated rows stay or go together; a very long text is searched whole; an empty
+    benchmark drops nothing, and an empty table stays empty. Other columns,
+    whatever their names, are handed on."""
     small_batches(docs.sparkSession)
     for own in _blocks_of(benchmark, item_col, item_text_col, block_chars):
         docs = docs.mapInArrow(_clean(own, text_col), docs.schema)
