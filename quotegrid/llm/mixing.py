@@ -2,14 +2,14 @@
 
 Each source's share of the token budget is a target; equal blocks of tokens go
 to sources, and then to the shards of a source, by highest quotients
-(votes / 1, 3, 5, ...). Inside a shard, documents stand in a seeded order and
+(votes / 1, 3, 5, ...), in proportion to their words. Inside a shard, documents stand in a seeded order and
 their words form one stream of blocks; whole rounds of the stream and then a
 seeded choice of blocks fill the shard's quota, so no text is split by the
 driver and no block list is ever made: the words that a document gives follow
 from its place in the stream.
 
 What the driver holds: a row for each source and for each shard
-(``max_shards`` a source at most), never a row for each document.
+(``max_shards`` of all sources together), never a row for each document.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from .common import NULL_ID, WORD_PATTERN, Words, small_batches, written
 
 BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
-MAX_SHARDS = 256
+#: Shards of all sources together: what the driver holds; beyond that shards grow.
+MAX_SHARDS = 100_000
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 
@@ -96,7 +97,8 @@ def _stream(slim: DataFrame, weights: Sequence[float], repeats: int, block: int,
     sizes = [r[1] or 0 for r in sources]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], repeats) if sources else []
     blocks = sainte_lague(targets, round(sum(targets) / block), [-(-repeats * s // block) for s in sizes])
-    plan = spark.createDataFrame([(i, s[0], sizes[i], float(targets[i]), max(1, min(max_shards, -(-sizes[i] // shard_words)))) for i, s in enumerate(sources)], "k int, source string, source_size long, target double, shards int")
+    per_shard = max(shard_words, -(-sum(sizes) // max_shards))
+    plan = spark.createDataFrame([(i, s[0], sizes[i], float(targets[i]), max(1, -(-sizes[i] // per_shard))) for i, s in enumerate(sources)], "k int, source string, source_size long, target double, shards int")
     placed = slim.join(plan, slim["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
     placed = placed.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, row, {seed}), shards) as int)"))
     words: dict[int, list[tuple[int, int]]] = {}
@@ -178,8 +180,13 @@ def _pieces(columns: list[str], text_col: str, chars_col: str, block: int):
 def take(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = 512, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document stands as often as
     it is taken whole, and once more with the words of its picked blocks if some
-    are (``chars_col``, where there is one, then has that text's length). A text
-    without words isn't taken."""
+    are (``chars_col``, where there is one, then has that text's length).
+
+    A null text and one without words isn't taken. A null source is a source of
+    its own; a null id is a document like others. Repeated rows are documents of
+    their own, and may swap their takes, which no result shows. A very long text
+    is cut at blocks of its words. An empty table stays empty; other columns,
+    whatever their names, are handed on."""
     small_batches(docs.sparkSession)
     columns = docs.columns
     doc, row, nth = (f"{x}_of_" + "_".join(columns) for x in ("id", "row", "nth"))  # names that no column has
