@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, licenses, mixing, quality, secret_ledger, simhash, substrings, tokenstore, toxicity
+from . import alignment, chat, decontam, hosts, licenses, mixing, quality, secret_ledger, simhash, substrings, tokenstore, toxicity, whitening
 from .common import table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -67,6 +67,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(pages, hosts.page_outcomes(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.formatted(chat.with_probe(chat.canonical(table(spark, sf_dir, "conversations")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,9 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_alignment": op12_alignment,
+    "op13_chat": op13_chat,
 }
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substrings.SQL,
     "op8_secret_scan": secret_ledger.SQL,
     "op10_url_filter": hosts.SQL,
+    "op13_chat": chat.SQL,
 }
