@@ -77,6 +77,23 @@ def gate_expr(a: Column, b: Column) -> Column:
     return (F.size(shared) >= LEAST_SHARED_TOKENS) | (letters >= LEAST_SHARED_CHARS)
 
 
+def may_score(a: Column, b: Column, least: int) -> Column:
+    """Whether two titles, as arrays of distinct tokens, can score so much at all,
+    from lengths alone: behind the gate, either one's shared tokens are a large
+    enough part of it, or the rests could be alike as far as the shorter one goes."""
+    letters = lambda words: F.aggregate(words, F.lit(0), lambda s, x: s + F.length(x))
+    long = lambda words: letters(words) + F.greatest(F.size(words) - 1, F.lit(0))
+    shared = F.array_intersect(a, b)
+    s, x, y = long(shared), long(a), long(b)
+    passes = (F.size(shared) >= LEAST_SHARED_TOKENS) | (letters(shared) >= LEAST_SHARED_CHARS)
+    part = 200.0 * s >= least * (s + F.least(x, y))
+    alike = 200.0 * F.least(x, y) >= least * (x + y)
+    return passes & (part | alike)
+
+
 @F.pandas_udf(T.IntegerType())
 def score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([score(x, y) for x, y in zip(a, b)])
+    """Each pair of a batch is scored once."""
+    pairs = list(zip(a, b))
+    known = {p: score(*p) for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs])

@@ -1,8 +1,7 @@
 """Text normalisation of titles and venues, and small text helpers.
 
 What needs Unicode normal forms or a callback for each match runs as an Arrow
-function; ``on_distinct`` applies such a function to the distinct values of a
-column only. All else are built-in expressions.
+function, once for each distinct value of a batch. All else are built-in expressions.
 """
 
 from __future__ import annotations
@@ -10,10 +9,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,18 +113,20 @@ def title_key(raw: str | None, venue_norm: str | None = None, known: Mapping[str
     return _bare(s)
 
 
-def on_distinct(df: DataFrame, columns: list[str], name: str, make: Callable[..., Column]) -> DataFrame:
-    """``df`` with a column made from others, computed once for each distinct
-    combination of their values and joined back (null-safe)."""
-    keys = df.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
-    made = keys.withColumn(name, make(*[F.col(f"__{c}") for c in columns]))
-    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
-    return df.join(made, on, "left").drop(*[f"__{c}" for c in columns])
+def _each_once(values: Iterable, make: Callable) -> list:
+    """``make`` of all values, computed once for each distinct one."""
+    values = list(values)
+    known = {v: make(v) for v in set(values)}
+    return [known[v] for v in values]
+
+
+def _text(v: object) -> str | None:
+    return v if isinstance(v, str) else None
 
 
 @F.pandas_udf(T.StringType())
 def mend(s: pd.Series) -> pd.Series:
-    return s.map(mended, na_action="ignore")
+    return pd.Series(_each_once(map(_text, s), lambda x: None if x is None else mended(x)), dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -141,12 +142,12 @@ def strip_accents(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def normalize_title(title: pd.Series, venue_norm: pd.Series) -> pd.Series:
     """The title key; empty for null."""
-    return pd.Series([title_key(t if isinstance(t, str) else None, v if isinstance(v, str) else None) for t, v in zip(title, venue_norm)])
+    return pd.Series(_each_once(zip(map(_text, title), map(_text, venue_norm)), lambda p: title_key(*p)), dtype=object)
 
 
 @F.pandas_udf(T.StructType().add("venue_norm", "string").add("venue_canonical", "string"))
 def normalize_venue(venue: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([venue_key(v if isinstance(v, str) else None) for v in venue], columns=["venue_norm", "venue_canonical"])
+    return pd.DataFrame(_each_once(map(_text, venue), venue_key), columns=["venue_norm", "venue_canonical"])
 
 
 @F.pandas_udf(T.StringType())

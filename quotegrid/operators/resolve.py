@@ -4,10 +4,13 @@ Records: rec_id (their order), source, source_id, title_raw, venue_raw, url,
 description. ``normalized`` adds title_norm, venue_norm, venue_canonical.
 Clusters are a column: cluster_id, the smallest rec_id of the cluster.
 
-Pairs of titles are found through what the gate asks for - a shared token of six
-letters or more, or two shared tokens - inside a venue, so titles without either
-never meet. What is sequential by nature (a merge forbids later ones) runs over
-the scored edges of one venue in one task; edges are few.
+Every step that several others read is a stage: written once, so the plans of the
+steps after it start at its files and don't grow with the chain.
+
+Pairs of titles meet at the rarest token that they share, and only if the gate
+can let them pass (``title_keys``); what can't reach the score by its lengths is
+dropped before any letter is compared. What is sequential by nature (a merge
+forbids later ones) runs over one component of the pairs that may merge.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..functions.registry import FUZZY_AUTO, FUZZY_REVIEW, LEAST_SHARED_CHARS, RESCUE_MARGIN, RESCUE_SCORE, SOURCE_PRIORITY, VENUE_ALIASES
-from .offers import ranked
+from ..sources.session import stage
+from .offers import ranked, top
+from .spread import HOT_ROWS, components, dealt_join, first_shared, hot_keys
 
 c = F.col
 NO_VENUE = "Unknown Venue"
@@ -32,91 +37,127 @@ def priority(source: Column) -> Column:
 
 
 def normalized(records: DataFrame) -> DataFrame:
-    """Mended texts and the keys of title and venue, computed once for each distinct title and venue."""
+    """Mended texts and the keys of title and venue, without moving a row."""
     mended = records.withColumns({k: text.mend(c(k)) for k in ("title_raw", "venue_raw", "description") if k in records.columns})
-    venues = text.on_distinct(mended, ["venue_raw"], "__v", lambda v: text.normalize_venue(v))
-    flat = venues.withColumns({"venue_norm": c("__v.venue_norm"), "venue_canonical": c("__v.venue_canonical")}).drop("__v")
-    return text.on_distinct(flat, ["title_raw", "venue_norm"], "title_norm", lambda t, v: text.normalize_title(t, v))
+    venues = mended.withColumn("__v", text.normalize_venue(c("venue_raw")))
+    return venues.withColumns({"venue_norm": c("__v.venue_norm"), "venue_canonical": c("__v.venue_canonical")}).drop("__v").withColumn("title_norm", text.normalize_title(c("title_raw"), c("venue_norm")))
 
 
 def exact_clusters(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with cluster_id by equal title and venue keys, and the orphans that lack one of them."""
     has = (c("title_norm") != "") & c("venue_norm").isNotNull()
-    named = records.where(has)
+    rows = stage(records)
+    named = rows.where(has)
     ids = named.groupBy("title_norm", "venue_norm").agg(F.min("rec_id").alias("cluster_id"))
-    return named.join(ids, ["title_norm", "venue_norm"]), records.where(~F.coalesce(has, F.lit(False)))
+    return stage(named.join(ids, ["title_norm", "venue_norm"])), rows.where(~F.coalesce(has, F.lit(False)))
+
+
+def _tokens(title: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(title, " "), lambda t: t != ""))
+
+
+def title_tokens(titles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``titles`` (title, and other columns) with ``tokens``, rare ones first: those
+    that many distinct titles have stand last, by their number; the rest by letters."""
+    words = titles.select("title").distinct().select("title", F.explode(_tokens(c("title"))).alias("token"))
+    hot = hot_keys(words, ["token"], hot_rows)
+    if hot is None:
+        return titles.withColumn("tokens", F.array_sort(_tokens(c("title"))))
+    placed = words.join(F.broadcast(hot), "token", "left")
+    ordered = placed.groupBy("title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+    return titles.join(ordered.select("title", F.transform("t", lambda x: x["token"]).alias("tokens")), "title")
+
 
+def title_keys(tokens: Column) -> Column:
+    """The tokens under which a title meets others. The gate wants two shared
+    tokens, or one of six letters: so the rarest shared token is not the last one of
+    either title, or it is long. A common short word is the last of most titles that
+    have it, and there it brings nobody together."""
+    return F.filter(tokens, lambda t, i: (i < F.size(tokens) - 1) | (F.length(t) >= LEAST_SHARED_CHARS))
 
-def _gate_keys(title: Column) -> Column:
-    """Keys that two titles share if and only if the gate lets them pass: long tokens, and pairs of tokens."""
-    tokens = F.array_sort(F.array_distinct(F.filter(F.split(title, " "), lambda t: t != "")))
-    long = F.filter(tokens, lambda t: F.length(t) >= LEAST_SHARED_CHARS)
-    pairs = F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat(a, F.lit(" "), b))))
-    return F.concat(long, pairs)
 
+def candidates(left: DataFrame, right: DataFrame, on: list[str], least: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs (``on``, a_id, a_title, b_id, b_title) of (id, title, tokens) that
+    agree in ``on`` and may score so much, each once: at the rarest token they share."""
+    a, b = (df.select(*on, c("id").alias(f"{x}_id"), c("title").alias(f"{x}_title"), c("tokens").alias(f"{x}_tokens"), F.explode(title_keys(c("tokens"))).alias("key")) for df, x in ((left, "a"), (right, "b")))
+    joined = dealt_join(a, b, [*on, "key"], hot_rows)
+    own = joined.where((c("a_id") != c("b_id")) & (first_shared(c("a_tokens"), c("b_tokens")) == c("key")))
+    return own.where(similarity.may_score(c("a_tokens"), c("b_tokens"), least)).drop("key", "a_tokens", "b_tokens")
 
-def scored_pairs(left: DataFrame, right: DataFrame, on: list[str], least: int) -> DataFrame:
-    """Pairs (a_id, a_title, b_id, b_title, score) of (id, title) that agree in ``on`` and score at least so much."""
-    a = left.select(*on, c("id").alias("a_id"), c("title").alias("a_title"), F.explode(_gate_keys(c("title"))).alias("key"))
-    b = right.select(*on, c("id").alias("b_id"), c("title").alias("b_title"), F.explode(_gate_keys(c("title"))).alias("key"))
-    pairs = a.join(b, [*on, "key"]).where("a_id <> b_id").select(*on, "a_id", "a_title", "b_id", "b_title").distinct()
+
+def scored_pairs(left: DataFrame, right: DataFrame, on: list[str], least: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs (a_id, a_title, b_id, b_title, score) of (id, title) that agree in
+    ``on`` and score at least so much; ids of the two sides that are equal don't meet."""
+    both = stage(title_tokens(left.withColumn("__a", F.lit(True)).unionByName(right.withColumn("__a", F.lit(False))), hot_rows))
+    pairs = candidates(both.where("__a").drop("__a"), both.where("not __a").drop("__a"), on, least, hot_rows)
     return pairs.withColumn("score", similarity.score_udf("a_title", "b_title")).where(c("score") >= least)
 
 
-def fuzzy_edges(clustered: DataFrame, least: int = FUZZY_REVIEW) -> DataFrame:
+def gate_pairs(titles: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Pairs of (id, title) that agree in ``on`` and pass the gate, the smaller id first; nothing is scored."""
+    found = stage(title_tokens(titles, hot_rows))
+    return candidates(found, found, on, 0, hot_rows).where("a_id < b_id")
+
+
+def fuzzy_edges(clustered: DataFrame, least: int = FUZZY_REVIEW, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Scored pairs of a venue's cluster titles, the earlier cluster first."""
     titles = clustered.select("venue_norm", c("cluster_id").alias("id"), c("title_norm").alias("title")).distinct()
-    return scored_pairs(titles, titles, ["venue_norm"], least).where("a_id < b_id")
-
+    found = stage(title_tokens(titles, hot_rows))
+    pairs = candidates(found, found, ["venue_norm"], least, hot_rows).where("a_id < b_id")
+    return pairs.withColumn("score", similarity.score_udf("a_title", "b_title")).where(c("score") >= least)
 
-def _greedy(auto: int):
-    def merge(key: tuple, edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        """Best edges first; two clusters with a source in common never become one."""
-        up: dict[int, int] = {int(i): int(i) for i in members["cluster_id"]}
-        sources = {i: set(s) for i, s in members.groupby("cluster_id")["source"]}
-        rows = []
 
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+def _greedy(key: tuple, edges: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Best edges first; two clusters with a source in common never become one."""
+    up: dict[int, int] = {int(i): int(i) for i in members["cluster_id"]}
+    sources = {i: set(s) for i, s in members.groupby("cluster_id")["source"]}
+    rows = []
 
-        for e in edges.sort_values(["score", "a_id", "b_id"], ascending=[False, True, True]).itertuples():
-            a, b = root(int(e.a_id)), root(int(e.b_id))
-            if a == b:
-                continue
-            if e.score < auto:
-                fate = "review"
-            elif sources[a] & sources[b]:
-                fate = "blocked"
-            else:
-                fate, up[a] = "merged", b
-                sources[b] = sources[b] | sources.pop(a)
-            rows.append((int(e.a_id), int(e.b_id), e.a_title, e.b_title, int(e.score), fate, 0))
-        least: dict[int, int] = {}
-        for i in sorted(up):
-            least.setdefault(root(i), i)
-        rows += [(i, least[root(i)], None, None, None, "cluster", 1) for i in up]
-        return pd.DataFrame(rows, columns=["a_id", "b_id", "a_title", "b_title", "score", "fate", "kind"]).assign(venue_norm=key[0])
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    return merge
+    for e in edges.sort_values(["score", "a_id", "b_id"], ascending=[False, True, True]).itertuples():
+        a, b = root(int(e.a_id)), root(int(e.b_id))
+        if a == b:
+            continue
+        if sources[a] & sources[b]:
+            fate = "blocked"
+        else:
+            fate, up[a] = "merged", b
+            sources[b] = sources[b] | sources.pop(a)
+        rows.append((int(e.a_id), int(e.b_id), e.venue_norm, e.a_title, e.b_title, int(e.score), fate))
+    least: dict[int, int] = {}
+    for i in sorted(up):
+        least.setdefault(root(i), i)
+    rows += [(i, least[root(i)], None, None, None, None, None) for i in up]
+    return pd.DataFrame(rows, columns=["a_id", "b_id", "venue_norm", "a_title", "b_title", "score", "fate"])
 
 
-MERGE_SCHEMA = "a_id long, b_id long, a_title string, b_title string, score int, fate string, kind int, venue_norm string"
+MERGE_SCHEMA = "a_id long, b_id long, venue_norm string, a_title string, b_title string, score int, fate string"
 
 
 def fuzzy_merge(clustered: DataFrame, auto: int = FUZZY_AUTO, review: int = FUZZY_REVIEW) -> tuple[DataFrame, DataFrame]:
     """Records with merged cluster_ids, and the log of pairs (merged, blocked, review).
-    Only clusters with an edge go through the sequential step, the sources of each once."""
-    edges = fuzzy_edges(clustered, review)
-    touched = edges.select("venue_norm", F.explode(F.array("a_id", "b_id")).alias("cluster_id")).distinct()
-    members = clustered.select("venue_norm", "cluster_id", "source").distinct().join(touched, ["venue_norm", "cluster_id"], "left_semi")
-    own = members.select(c("venue_norm").alias("venue"), "cluster_id", "source")
-    out = edges.groupBy("venue_norm").cogroup(own.groupBy("venue")).applyInPandas(_greedy(auto), MERGE_SCHEMA)
-    moved = out.where("kind = 1 and a_id <> b_id").select(c("a_id").alias("cluster_id"), c("b_id").alias("__to"))
-    merged = clustered.join(moved, "cluster_id", "left").withColumn("cluster_id", F.coalesce("__to", "cluster_id")).drop("__to")
-    return merged, out.where("kind = 0").select("venue_norm", c("a_title").alias("title_a"), c("b_title").alias("title_b"), "score", "fate")
+
+    Only pairs from ``auto`` on merge, so their components are decided apart, best
+    pair first, with each cluster's sources once. Pairs below come after all merges:
+    they are for review unless both sides are one cluster by then.
+    """
+    edges = stage(fuzzy_edges(clustered, review))
+    strong = edges.where(c("score") >= auto)
+    place = components(strong.select(c("a_id").alias("a"), c("b_id").alias("b")))
+    own = strong.join(place.select(c("node").alias("a_id"), "label"), "a_id")
+    members = clustered.select("cluster_id", "source").distinct().join(place.select(c("node").alias("cluster_id"), c("label").alias("part")), "cluster_id")
+    out = stage(own.groupBy("label").cogroup(members.groupBy("part")).applyInPandas(_greedy, MERGE_SCHEMA))
+    moved = out.where("fate is null and a_id <> b_id")
+    to = lambda x: moved.select(c("a_id").alias(x), c("b_id").alias(f"__{x}"))
+    weak = edges.where(c("score") < auto).join(to("a_id"), "a_id", "left").join(to("b_id"), "b_id", "left").where(F.coalesce("__a_id", "a_id") != F.coalesce("__b_id", "b_id"))
+    merged = clustered.join(to("cluster_id"), "cluster_id", "left").withColumn("cluster_id", F.coalesce("__cluster_id", "cluster_id")).drop("__cluster_id")
+    names = ["venue_norm", c("a_title").alias("title_a"), c("b_title").alias("title_b"), "score"]
+    return stage(merged), out.where("fate is not null").select(*names, "fate").unionByName(weak.select(*names, F.lit("review").alias("fate")))
 
 
 def rescue(clustered: DataFrame, orphans: DataFrame, least: int = RESCUE_SCORE, margin: int = RESCUE_MARGIN) -> tuple[DataFrame, DataFrame]:
@@ -125,22 +166,27 @@ def rescue(clustered: DataFrame, orphans: DataFrame, least: int = RESCUE_SCORE,
     An orphan goes to its best cluster unless another scores within the margin,
     the cluster has a record of its source, or an earlier orphan of its source took the place.
     """
-    # each merged-in title names its cluster
-    titles = clustered.select(c("cluster_id").alias("id"), c("title_norm").alias("title")).distinct()
     wanted = orphans.where("title_norm <> ''")
-    pairs = scored_pairs(wanted.select((-c("rec_id") - 1).alias("id"), c("title_norm").alias("title")), titles, [], least).groupBy((-c("a_id") - 1).alias("rec_id"), c("b_id").alias("cluster_id")).agg(F.max("score").alias("score"))
+    names = [x.select(c("title_norm").alias("title")).distinct() for x in (wanted, clustered)]
+    pairs = scored_pairs(*(x.select("title", F.concat(F.lit(side), "title").alias("id")) for x, side in zip(names, "oc")), [], least)
+    # each merged-in title names its cluster; what is best depends on an orphan's title only
+    clusters = clustered.groupBy("cluster_id", c("title_norm").alias("b_title")).agg(F.count("*").alias("n"))
     sizes = clustered.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    best = Window.partitionBy("rec_id").orderBy(F.desc("score"), F.desc("size"), "cluster_id")
-    ranked = pairs.join(sizes, "cluster_id").withColumns({"n": F.row_number().over(best), "next": F.lead("score").over(best)}).where("n = 1")
-    decided = wanted.select("rec_id", "source").join(ranked, "rec_id", "left").join(clustered.select("cluster_id", "source").distinct().withColumn("held", F.lit(True)), ["cluster_id", "source"], "left")
+    found = pairs.select("a_title", "b_title", "score").join(clusters.drop("n"), "b_title").groupBy(c("a_title").alias("title_norm"), "cluster_id").agg(F.max("score").alias("score")).join(sizes, "cluster_id")
+    order = [F.desc("score"), F.desc("size"), c("cluster_id")]
+    two = top(found, ["title_norm"], order, 2, "n").withColumn("next", F.when(c("n") == 2, c("score")))
+    best = two.groupBy("title_norm").agg(F.min_by("cluster_id", "n").alias("cluster_id"), F.min_by("score", "n").alias("score"), F.max("next").alias("next"))
+    held = clustered.select("cluster_id", "source").distinct().withColumn("held", F.lit(True))
+    decided = wanted.select("rec_id", "source", "title_norm").join(best, "title_norm", "left").join(held, ["cluster_id", "source"], "left")
     status = F.when(c("score").isNull(), "no_match_above_threshold").when(c("next") >= c("score") - margin, "blocked_ambiguous_match").when(c("held"), "blocked_within_source_duplicate").otherwise("attached")
-    first = F.row_number().over(Window.partitionBy("cluster_id", "source", "status").orderBy("rec_id"))
-    log = decided.withColumn("status", status).withColumn("turn", first).withColumn("status", F.when((c("status") == "attached") & (c("turn") > 1), "blocked_within_source_duplicate").otherwise(c("status")))
+    judged = stage(decided.withColumn("status", status).select("rec_id", "source", "cluster_id", "score", "status"))
+    first = judged.where("status = 'attached'").groupBy("cluster_id", "source", "status").agg(F.min("rec_id").alias("first"))
+    log = judged.join(first, ["cluster_id", "source", "status"], "left").withColumn("status", F.when(c("first") < c("rec_id"), "blocked_within_source_duplicate").otherwise(c("status")))
     log = log.select("rec_id", "cluster_id", "score", "status").unionByName(orphans.where("coalesce(title_norm, '') = ''").select("rec_id", F.lit(None).cast("long").alias("cluster_id"), F.lit(None).cast("int").alias("score"), F.lit("no_title_norm").alias("status")))
     donor = clustered.groupBy("cluster_id").agg(F.min_by(F.struct("venue_norm", "venue_canonical"), "rec_id").alias("d"))
     taken = log.where("status = 'attached'").join(donor, "cluster_id").select("rec_id", "cluster_id", c("d.venue_norm").alias("__vn"), c("d.venue_canonical").alias("__vc"))
     attached = orphans.join(taken, "rec_id").withColumns({"venue_norm": c("__vn"), "venue_canonical": c("__vc")}).select(*clustered.columns)
-    return clustered.unionByName(attached), log
+    return stage(clustered.unionByName(attached)), log
 
 
 def override(clustered: DataFrame, rules: Mapping) -> tuple[DataFrame, list[dict]]:
@@ -228,29 +274,45 @@ def picked_titles(members: DataFrame) -> DataFrame:
     return votes.groupBy("cluster_id").agg(F.min_by(F.struct("title", c("s.source").alias("source")), order).alias("x")).select("cluster_id", "x.title", c("x.source").alias("title_source"))
 
 
+def _longest(column: str) -> Column:
+    """Of a group, the longest text that isn't blank with its source; of equals the preferred source's."""
+    key = F.struct(F.length(column), -priority(c("source")), -c("rec_id"))
+    return F.max_by(F.struct(column, "source"), F.when(F.trim(c(column)) != "", key))
+
+
 def longest_texts(members: DataFrame, column: str = "description", by: str = "cluster_id") -> DataFrame:
     """For each cluster the longest text that isn't blank; of equals the preferred source's."""
     ok = members.where(F.trim(c(column)) != "")
-    return ok.groupBy(by).agg(F.max_by(F.struct(column, "source"), F.struct(F.length(column), -priority(c("source")), -c("rec_id"))).alias("x")).select(by, c(f"x.{column}").alias(column), c("x.source").alias(f"{column}_source"))
+    return ok.groupBy(by).agg(_longest(column).alias("x")).select(by, c(f"x.{column}").alias(column), c("x.source").alias(f"{column}_source"))
+
+
+def _venue_names() -> list[Column]:
+    """Of a group, the first venue of the registry (k), and the first of all (f)."""
+    known = c("venue_canonical").isin(*VENUE_ALIASES)
+    return [F.min_by("venue_canonical", F.when(known, c("rec_id"))).alias("k"), F.min_by("venue_canonical", F.when(c("venue_canonical").isNotNull(), c("rec_id"))).alias("v")]
+
+
+def _shown_venue() -> dict[str, Column]:
+    return {"venue": F.coalesce("k", "v", F.lit(NO_VENUE)), "venue_source": F.when(c("k").isNotNull(), "registry").otherwise("first_source")}
 
 
 def display_venues(members: DataFrame) -> DataFrame:
     """The first name of the registry, else the first name, else a fixed one."""
-    known = c("venue_canonical").isin(*VENUE_ALIASES)
-    got = members.groupBy("cluster_id").agg(F.min_by("venue_canonical", F.when(known, c("rec_id"))).alias("k"), F.min_by("venue_canonical", F.when(c("venue_canonical").isNotNull(), c("rec_id"))).alias("f"))
-    return got.select("cluster_id", F.coalesce("k", "f", F.lit(NO_VENUE)).alias("venue"), F.when(c("k").isNotNull(), "registry").otherwise("first_source").alias("venue_source"))
+    return members.groupBy("cluster_id").agg(*_venue_names()).withColumns(_shown_venue()).drop("k", "v")
 
 
 def build_shows(members: DataFrame, perfs: DataFrame, least_performances: int = 0) -> DataFrame:
     """One row for each cluster, in the final order (``show_ord``): more records
     first, then by title. ``perfs`` are unified performances by cluster_id."""
-    first = members.groupBy("cluster_id").agg(F.min_by(F.struct("title_norm", "venue_norm"), "rec_id").alias("f"), F.count("*").alias("record_count"), F.countDistinct("source").alias("source_count"))
+    first = members.groupBy("cluster_id").agg(
+        F.min_by(F.struct("title_norm", "venue_norm"), "rec_id").alias("f"), F.count("*").alias("record_count"), F.size(F.collect_set("source")).cast("long").alias("source_count"), _longest("description").alias("t"), *_venue_names()
+    )
     sums = perfs.groupBy("cluster_id").agg(F.min("min_price").alias("min_price"), F.max("max_price").alias("max_price"), F.count("*").alias("performance_count"))
-    joined = first.join(picked_titles(members), "cluster_id", "left").join(longest_texts(members), "cluster_id", "left").join(display_venues(members), "cluster_id").join(sums, "cluster_id", "left").withColumn("performance_count", F.coalesce("performance_count", F.lit(0))).where(c("performance_count") >= least_performances)
+    joined = first.join(picked_titles(members), "cluster_id", "left").join(sums, "cluster_id", "left").withColumns({"performance_count": F.coalesce("performance_count", F.lit(0)), "description": c("t.description"), "description_source": c("t.source"), **_shown_venue()}).where(c("performance_count") >= least_performances)
     ids = text.show_id(F.coalesce(c("f.title_norm"), F.lit("")), F.coalesce(c("f.venue_norm"), F.lit("")))
     split = F.when(c("cluster_id") < 0, F.concat(ids, F.lit("-split-"), (-c("cluster_id") - 1).cast("string"))).otherwise(ids)  # split records keep their keys, so their ids need more
     title = F.lower(F.coalesce("title", F.lit("")))
-    placed = ranked(joined, [-c("record_count"), F.substring(title, 1, 3)], [title, c("cluster_id")], "show_ord")
+    placed = ranked(stage(joined), [-c("record_count"), F.substring(title, 1, 3)], [title, c("cluster_id")], "show_ord")
     return placed.select("show_ord", split.alias("show_id"), "cluster_id", F.coalesce("title", F.lit("")).alias("title"), "venue", c("f.title_norm").alias("title_norm"), c("f.venue_norm").alias("venue_norm"), "record_count", "source_count", "description", "min_price", "max_price", "performance_count", F.create_map(F.lit("title"), c("title_source"), F.lit("description"), c("description_source"), F.lit("venue"), c("venue_source")).alias("field_provenance"), F.lit(100).alias("match_confidence"))
 
 

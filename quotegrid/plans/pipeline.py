@@ -312,7 +312,7 @@ def longest_text(spark, sf_dir):
 def token_gate_pairs(spark, sf_dir):
     clustered = R.exact_clusters(R.normalized(records(spark, sf_dir)))[0]
     titles = clustered.select("venue_norm", c("title_norm").alias("id"), c("title_norm").alias("title")).distinct()
-    return R.scored_pairs(titles, titles, ["venue_norm"], 0).where("a_id < b_id").select("venue_norm", c("a_title").alias("title_a"), c("b_title").alias("title_b"))
+    return R.gate_pairs(titles, ["venue_norm"]).select("venue_norm", c("a_title").alias("title_a"), c("b_title").alias("title_b"))
 
 
 _WORDS = "list_filter(list_distinct(string_split({0}, ' ')), lambda w: w <> '')"

@@ -82,7 +82,7 @@ def test_text_keys():
 
 def test_text_columns(spark):
     df = spark.createDataFrame([("La bohème", None), (None, "old vic"), ("La bohème", None)], "title string, venue string")
-    got = text.on_distinct(df, ["title", "venue"], "key", lambda t, v: text.normalize_title(t, v)).collect()
+    got = df.withColumn("key", text.normalize_title(F.col("title"), F.col("venue"))).collect()
     assert sorted((r.title or "", r.key) for r in got) == [("", ""), ("La bohème", "la boheme"), ("La bohème", "la boheme")]
     assert one(spark, "Old Vic", "string", text.normalize_venue).asDict() == {"venue_norm": "old vic", "venue_canonical": "The Old Vic"}
     many(spark, [("&amp;amp; x &#163;5 ", "& x £5"), ("  ", None), (None, None)], "string", text.unescape_html)
