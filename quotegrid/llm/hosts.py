@@ -10,10 +10,11 @@ with few labels is judged by its domain and one without any by the nearest level
 that has some.
 
 Outcomes are an input (host, labelled pages, bad ones). The tables have no page
-labels, so the query makes weak ones (``page_outcomes``): a page is bad if its own
-text is junk (a symbol for each ten words or more) or if a part of its host's name
-is a listed term. Pages of one host thus differ, and the posterior has to find
-out whether a host is bad or has some bad pages.
+labels, so the query makes weak ones from what stands in the pages alone
+(``page_outcomes``): a page is bad if its text is junk (a symbol for each ten
+words or more), has hardly any words, or says the same few words again. Nothing
+in a host's name counts, so it is for the posterior to find out whether a host
+has more bad pages than chance gives it.
 
 DataFrame operations only. The driver holds one row of sums for each level.
 """
@@ -37,10 +38,10 @@ RULES = (
 )
 # Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
-# Host name parts that label a page as bad in the query.
-BAD_TERMS = ("adult", "ads", "bets", "casino", "pills", "spam")
-# Symbols of junk text, and how many for each word a clean page has at most.
-SYMBOLS, MOST_SYMBOLS = "[#*$%|]", 0.1
+# Symbols of junk text.
+SYMBOLS = "[#*$%|]"
+#: Of a clean page: symbols for each word at most, words at least, and distinct words for each word at least.
+MOST_SYMBOLS, LEAST_WORDS, LEAST_DISTINCT = 0.1, 50, 0.3
 Z, THRESHOLD = 1.645, 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 0.5, 1000.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,21 +128,19 @@ def judge(pages: DataFrame, outcomes: DataFrame, *, id_col: str = "page_id", url
     return joined.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("bound") > threshold, "block").otherwise("allow")).alias("verdict"), "bound")
 
 
-def page_outcomes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", terms: Sequence[str] = BAD_TERMS, most_symbols: float = MOST_SYMBOLS) -> DataFrame:
-    """Outcomes (host, n, bad) of the pages of each host: a page whose text, tags
-    aside, has more symbols to a word is bad, and so is any page of a host with a
-    listed term between the dots and hyphens of its name. A page without words,
-    or without html, has no outcome of its own."""
+def page_outcomes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", most_symbols: float = MOST_SYMBOLS, least_words: int = LEAST_WORDS, least_distinct: float = LEAST_DISTINCT) -> DataFrame:
+    """Outcomes (host, n, bad) of the pages of each host, from their text, tags
+    aside: a page with too many symbols, too few words or too few distinct ones is
+    bad. A page without words (null or empty html among them) has no outcome, and
+    one without a host isn't counted; a measure at its limit is clean; repeated
+    rows are pages of their own; a very long page counts whole; an empty table
+    gives no row."""
     host, _ = host_and_path(F.col(url_col))
     text = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "<[^>]*>", " ")
-    rows = pages.select(host.alias("host"), F.regexp_count(text, F.lit(SYMBOLS)).alias("symbols"), F.regexp_count(text, F.lit(WORD_PATTERN)).alias("words")).where("host <> ''")
-    named = F.regexp_like(F.col("host"), F.lit(_terms(terms)))
-    bad = named | (F.col("symbols") > most_symbols * F.col("words"))
-    return rows.groupBy("host").agg(F.count_if(named | (F.col("words") > 0)).alias("n"), F.count_if(bad).alias("bad"))
-
-
-def _terms(terms: Sequence[str]) -> str:
-    return rf"(^|[.-])({'|'.join(terms)})([.-]|$)"
+    rows = pages.select(host.alias("host"), F.regexp_count(text, F.lit(SYMBOLS)).alias("symbols"), F.regexp_extract_all(text, F.lit(f"({WORD_PATTERN})")).alias("w")).where("host <> '' and size(w) > 0")
+    words = F.size("w")
+    bad = (F.col("symbols") > most_symbols * words) | (words < least_words) | (F.size(F.array_distinct("w")) < least_distinct * words)
+    return rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
 
 
 def _sql() -> str:
@@ -157,13 +156,13 @@ def _sql() -> str:
               FROM {level}, share WHERE n > 0)))) END::DOUBLE AS c FROM {level}"""
     return f"""
 WITH cut AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS text, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
-named AS (SELECT page_id, len(regexp_extract_all(text, '{SYMBOLS}')) AS symbols, len(regexp_extract_all(text, '{WORD_PATTERN}')) AS words, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+named AS (SELECT page_id, len(regexp_extract_all(text, '{SYMBOLS}')) AS symbols, regexp_extract_all(text, '{WORD_PATTERN}') AS w, translate(regexp_extract(after, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(substr(after, length(regexp_extract(after, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 ruled AS (SELECT *, CASE {' '.join(f"WHEN {fits(h, p)} THEN '{h + p}'" for h, p, _ in longest)} END AS rule,
   CASE {' '.join(f"WHEN {fits(h, p)} THEN '{v}'" for h, p, v in longest)} END AS said FROM named),
-hosts AS (SELECT host, count(*) FILTER (listed OR words > 0)::DOUBLE AS n, count(*) FILTER (listed OR symbols > {MOST_SYMBOLS}::DOUBLE * words)::DOUBLE AS bad,
+hosts AS (SELECT host, count(*) FILTER (len(w) > 0)::DOUBLE AS n, count(*) FILTER (len(w) > 0 AND (symbols > {MOST_SYMBOLS}::DOUBLE * len(w) OR len(w) < {LEAST_WORDS} OR len(list_distinct(w)) < {LEAST_DISTINCT}::DOUBLE * len(w)))::DOUBLE AS bad,
   CASE WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain, CASE WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix
-  FROM (SELECT *, regexp_matches(host, '{_terms(BAD_TERMS)}') AS listed FROM named) WHERE host <> '' GROUP BY host),
+  FROM named WHERE host <> '' GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 share AS (SELECT sum(bad) / sum(n) AS g FROM suffixes),

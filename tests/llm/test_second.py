@@ -298,9 +298,11 @@ def test_shrinkage(spark):
 
 
 def test_page_outcomes(spark):
-    rows = [("http://a.com/1", "<p>ten plain words stand here and none is any junk</p>"), ("http://a.com/2", "<b>so### many%%% marks*** here</b>"), ("http://a.com/3", "<br><i></i>"), ("http://a.com/4", None), ("http://my-casino.a.com/x", None), ("nowhere", "###"), (None, "###"), ("http://CASINOS.a.com", "fine words")]
+    many = " ".join(f"w{i}" for i in range(60))
+    rows = [("http://a.com/1", f"<p>{many}</p>"), ("http://a.com/2", f"<b>{many} {'### ' * 6}</b>"), ("http://a.com/3", "<br><i></i>"), ("http://a.com/4", None), ("http://my-casino.a.com/x", f"<i>{many}</i>"), ("nowhere", "###"), (None, "###"), ("http://SHORT.a.com", "fine words"), ("http://again.a.com", "one two " * 40), ("http://again.a.com", "one two " * 40)]
     out = hosts.page_outcomes(spark.createDataFrame(rows, "url string, html string"))
-    assert {tuple(r) for r in out.collect()} == {("a.com", 2, 1), ("my-casino.a.com", 1, 1), ("casinos.a.com", 1, 0)}
+    assert {tuple(r) for r in out.collect()} == {("a.com", 2, 1), ("my-casino.a.com", 1, 0), ("short.a.com", 1, 1), ("again.a.com", 2, 2)}
+    assert hosts.page_outcomes(spark.createDataFrame([], "url string, html string")).collect() == []
 
 
 def test_hosts_without_labels(spark):
@@ -314,21 +316,24 @@ def test_hosts_without_labels(spark):
     assert got["unknown.zz"].bound is not None and got["unknown.zz"].bound == got["y.mid.net"].bound
 
 
-@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
-def test_hosts_sql(spark, scale):
-    """The query's SQL where the posterior decides: hosts are blocked by it, and a host with bad pages is allowed."""
+def test_hosts_sql(spark, tmp_path):
+    """The query's SQL where the posterior decides: hosts go by what stands in their pages, whatever they are called."""
     import duckdb
 
+    junk, fine = "#* %$ || x " * 30, " ".join(f"word{i}" for i in range(80))
+    planted = [(10**6 + i, f"http://quiet-garden.example.com/de/{i}", f"<p>{junk}</p>") for i in range(60)] + [(2 * 10**6 + i, f"http://best-casino.example.com/de/{i}", f"<p>{fine}</p>") for i in range(60)]
+    planted += [(3 * 10**6 + i, f"http://half.example.com/de/{i}", f"<p>{junk if i % 4 == 0 else fine}</p>") for i in range(60)] + [(4 * 10**6, "http://one.example.com/de/" + "x" * 100_000, f"<p>{junk}</p>")]
+    real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    real.unionByName(spark.createDataFrame(planted, "page_id long, url string, html string")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/{scale}/pages.parquet')")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = con.execute(hosts.SQL)
     columns = [d[0] for d in want.description]
-    pages = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
-    got = QUERIES["op10_url_filter"](spark, f"/root/testdata/{scale}").select(*columns).collect()
+    got = QUERIES["op10_url_filter"](spark, str(tmp_path)).select(*columns).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want.fetchall()))
     free = {r.host: r.verdict for r in got if r.rule is None}
-    bad = {r.host for r in hosts.page_outcomes(pages).where("bad > 0").collect()}
-    assert "block" in free.values() and any(free.get(h) == "allow" for h in bad)
+    assert free["quiet-garden.example.com"] == "block"
+    assert all(free[f"{h}.example.com"] == "allow" for h in ("best-casino", "half", "one"))  # clean, not surely bad, and too little to tell
 
 
 # --- DuckDB
