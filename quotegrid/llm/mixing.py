@@ -99,7 +99,7 @@ def _stream(slim: DataFrame, weights: Sequence[float], repeats: int, block: int,
     blocks = sainte_lague(targets, round(sum(targets) / block), [-(-repeats * s // block) for s in sizes])
     per_shard = max(shard_words, -(-sum(sizes) // max_shards))
     plan = spark.createDataFrame([(i, s[0], sizes[i], float(targets[i]), max(1, -(-sizes[i] // per_shard))) for i, s in enumerate(sources)], "k int, source string, source_size long, target double, shards int")
-    placed = slim.join(plan, slim["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
+    placed = slim.join(F.broadcast(plan), slim["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
     placed = placed.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, row, {seed}), shards) as int)"))
     words: dict[int, list[tuple[int, int]]] = {}
     for k, shard, w in sorted(tuple(r) for r in placed.groupBy("k", "shard").agg(F.sum("size")).collect()):
@@ -110,10 +110,10 @@ def _stream(slim: DataFrame, weights: Sequence[float], repeats: int, block: int,
         for (shard, w), b in zip(shards, given):
             rounds, rest = divmod(min(b * block, repeats * w), w) if w else (0, 0)
             n = -(-w // block)
-            quotas.append((k, shard, rounds, n, min(n, round(rest / block)), (seed * 2654435761 + shard * 40503) % max(n, 1)))
+            quotas.append((k, shard, rounds, n, min(n, round(rest / block)), (seed * 2654435761 + (k * max_shards + shard) * 40503) % max(n, 1)))
     quota = spark.createDataFrame(quotas, "k int, shard int, rounds long, n long, picked long, turn long")
     order = Window.partitionBy("k", "shard").orderBy("mixed", "doc_id", "row", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("mixed", F.xxhash64("doc_id", "row", F.lit(seed + 1))).withColumn("stop", F.sum("size").over(order)).join(quota, ["k", "shard"])
+    return placed.withColumn("mixed", F.xxhash64("doc_id", "row", F.lit(seed + 1))).withColumn("stop", F.sum("size").over(order)).join(F.broadcast(quota), ["k", "shard"])
 
 
 def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, repeats: int = MAX_REPEATS, block: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: int = 17) -> DataFrame:
