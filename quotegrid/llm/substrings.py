@@ -27,12 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_HOT_KEYS, NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, spread_join, text_chunks, window_hashes, written
+from .common import NULL_ID, U64, Words, binary_array, mix64, ragged, small_batches, spread_join, text_chunks, window_hashes, written
 
 WIDTH = 50
 HASH_BYTES = 6
-#: One document in so many is looked at for frequent anchors, which have this many documents of the sample.
-SAMPLE_ONE_IN, HOT_IN_SAMPLE = 64, 32
+#: One document in so many is looked at for frequent anchors, which have at least this many documents of the
+#: sample, and one part in MOST_HOT of all that it holds: so there are never more, and a million longs can be broadcast.
+SAMPLE_ONE_IN, HOT_IN_SAMPLE, MOST_HOT = 64, 32, 1_000_000
 WINDOW_SCHEMA = "anchor long, doc long, print long, start int, hashes binary"
 REPEAT_SCHEMA = "doc long, print long, start int, stop int"
 
@@ -177,11 +178,12 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("doc"), F.xxhash64(F.col(text_col)).alias("print"), F.col(text_col).alias("text"))
     if hot is None:
         some = texts.where(F.expr(f"pmod(xxhash64(doc, print), {SAMPLE_ONE_IN}) = 0")).select("text")
-        often = written(some.mapInArrow(_sample_anchors(width), "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT_IN_SAMPLE).select("anchor"))
+        counts = written(some.mapInArrow(_sample_anchors(width), "anchor long").groupBy("anchor").count())
+        least = max(HOT_IN_SAMPLE, (counts.agg(F.sum("count")).first()[0] or 0) // MOST_HOT + 1)
+        often = counts.where(F.col("count") >= least).select("anchor")
     else:
         often = spark.createDataFrame([(a,) for a in hot], "anchor long")
-    n = often.count()
-    often = F.broadcast(often) if n <= MOST_HOT_KEYS else often
+    n, often = often.count(), F.broadcast(often)
     groups = texts.mapInArrow(_emit(width), WINDOW_SCHEMA)
     rare = groups.join(often, "anchor", "left_anti") if n else groups
     found = rare.repartition("anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_match(width), REPEAT_SCHEMA)
