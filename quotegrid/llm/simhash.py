@@ -196,7 +196,7 @@ def links(prints: DataFrame, *, budget: int = BUDGET, large: int = LARGE_BUCKET)
     reachable over ``budget`` differing bits or fewer.
 
     A bucket is named by the bits that it fixes (mask) and their values. Buckets
-    above ``large`` are dealt again by blocks of their free bits, up to DEALS
+    above ``large`` (or, if that is more, one part in MOST_HOT_KEYS of all rows) are dealt again by blocks of their free bits, up to DEALS
     times: what agrees but for the budget shares one of these blocks too.
     """
     spark = prints.sparkSession
@@ -206,11 +206,11 @@ def links(prints: DataFrame, *, budget: int = BUDGET, large: int = LARGE_BUCKET)
     dealt = prints.select("print", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select("print", "mask", F.col("print").bitwiseAND(F.col("mask")).alias("bucket"))
     done = None
     for _ in range(DEALS - 1):
-        full = written(dealt.groupBy(*key).count().where(F.col("count") > large).select(*key))
-        n = full.count()
-        if not n:
+        most = max(large, dealt.count() // MOST_HOT_KEYS + 1)  # so there are never more large buckets than can be broadcast
+        full = written(dealt.groupBy(*key).count().where(F.col("count") > most).select(*key))
+        if full.isEmpty():
             break
-        known = F.broadcast(full) if n <= MOST_HOT_KEYS else full
+        known = F.broadcast(full)
         parts = F.broadcast(spark.createDataFrame([(m, _masks(m & (1 << BITS) - 1, budget)) for m in masks], "mask long, parts array<long>"))  # (budget + 1) ** DEALS masks at most
         rest = dealt.join(known, key, "left_anti").select("print", *key)
         done = rest if done is None else done.union(rest)
