@@ -18,7 +18,8 @@ from ..operators import resolve as R
 from ..operators import verify as V
 from ..sources import adapters as A
 from ..sources import catalog as C
-from ..sources.paged import PagedJson
+from ..sources.documents import write_document
+from ..sources.paged import PagedJson, listing, write_pages
 from ..sources.session import scratch
 from .base import D, EFF, OFFERS, SEEN, SHOWS, query, with_
 from .pipeline import _RECORDS, records
@@ -163,32 +164,54 @@ def history_lookup(spark, sf_dir):
 # --- resolution
 
 
-_PAYLOADS = """n AS (SELECT n_nationkey AS id, 'Show ' || n_name AS title, n_name AS venue, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation), r AS (SELECT r_regionkey AS id, r_name AS title, row_number() OVER (ORDER BY r_regionkey) - 1 AS pos FROM region)"""
+_SHOWS = f"s AS (SELECT p_partkey, p_partkey % 5 AS k, p_name, p_brand, p_type, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS pos FROM part), src AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{s}')" for i, s in enumerate(SOURCE_PRIORITY))}) v(k, source))"
 _EXTRACTED = (
-    with_(_PAYLOADS)
-    + "SELECT pos::BIGINT AS rec_id, 'olt' AS source, id::VARCHAR AS source_id, title AS title_raw, venue AS venue_raw, 'u' || id AS url, NULL::VARCHAR AS description FROM n UNION ALL SELECT 4000000000 + pos, 'ttd', id::VARCHAR, title, 'House ' || id, NULL, 'About ' || title FROM r"
+    with_(_SHOWS)
+    + "SELECT k * 1000000000 + pos AS rec_id, source, CASE k WHEN 3 THEN 'slug-' ELSE '' END || p_partkey AS source_id, p_name AS title_raw, p_brand AS venue_raw, CASE WHEN p_partkey % 3 <> 0 THEN 'u' || p_partkey END AS url, CASE WHEN k > 0 THEN '\"' || p_type || '\" }, {' END AS description FROM s JOIN src USING (k)"
 )
 
 
-def _payloads(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Two sources' documents from the fixed lists of nations and regions: one names venues by structs, the other by texts."""
-    one = A.read(spark, sf_dir, "nation").select(c("n_nationkey").alias("id"), F.concat(F.lit("Show "), "n_name").alias("title"), F.struct(c("n_name").alias("name")).alias("venue"), F.concat(F.lit("u"), "n_nationkey").alias("url"))
-    two = A.read(spark, sf_dir, "region").select(c("r_regionkey").alias("id"), c("r_name").alias("title"), F.concat(F.lit("House "), "r_regionkey").alias("venue_name"), F.concat(F.lit("About "), "r_name").alias("description"))
-    return {s: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias("shows")) for s, df in (("olt", one), ("ttd", two))}
+def _documents(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Parts as the shows of five sources, each with its own names of fields: one has venues as structs, one leaves out descriptions."""
+    part, k = A.read(spark, sf_dir, "part"), c("p_partkey")
+    url, text = F.when(k % 3 != 0, F.concat(F.lit("u"), k)), F.concat(F.lit('"'), "p_type", F.lit('" }, {'))
+    perfs = F.array(F.struct(F.lit("2024-01-10").alias("date"), c("p_retailprice").alias("price")), F.struct(F.lit("2024-01-11").alias("date"), F.lit(None).cast("double").alias("price")))
+    out = {}
+    for i, (source, names) in enumerate((s, C.SHOW_FIELDS[s]) for s in SOURCE_PRIORITY):
+        number = F.concat(F.lit("slug-"), k) if names["source_id"] == "slug" else k
+        venue = F.struct(c("p_brand").alias("name")).alias("venue") if "." in names["venue"] else c("p_brand").alias(names["venue"])
+        rest = [text.alias(names["description"])] if i else []
+        out[source] = part.where(k % 5 == i).select(k.alias("__order"), number.alias(names["source_id"]), c("p_name").alias(names["title"]), venue, url.alias(names["url"]), *rest, perfs.alias(names["performances"]))
+    return out
 
 
-@query(_EXTRACTED.replace("4000000000", "1000000000"))
-def records_extracted(spark, sf_dir):
-    return C.extract_records(_payloads(spark, sf_dir))
+def _written_documents(spark: SparkSession, sf_dir: str) -> str:
+    folder = scratch(spark)
+    for source, rows in _documents(spark, sf_dir).items():
+        write_document(rows, f"{folder}/{source}.json", "__order")
+    A.read(spark, sf_dir, "region").write.json(f"{folder}/other.json")
+    return folder
 
 
-@query(_EXTRACTED.replace("4000000000", "1000000000"))
+@query(_EXTRACTED)
 def sources_loaded(spark, sf_dir):
-    """The same documents written as files of a folder and loaded again; another file there is passed over."""
+    """Five documents, written by many tasks and cut by byte ranges when they are loaded; another file there is passed over."""
+    return C.extract_shows(C.load_shows(spark, _written_documents(spark, sf_dir)))
+
+
+@query(_EXTRACTED)
+def records_extracted(spark, sf_dir):
+    """The same records from shows that are rows already, placed without bringing them into one task."""
+    shows = {s: O.ranked(rows.select("__order", F.to_json(F.struct(*[x for x in rows.columns if x != "__order"])).alias("body")), [F.floor(c("__order") / 1000)], [c("__order")], "n").select((c("n") - 1).cast("long").alias("pos"), "body") for s, rows in _documents(spark, sf_dir).items()}
+    return C.extract_shows(shows)
+
+
+@query(with_(_SHOWS) + "SELECT 4000000000 + pos AS rec_id, i AS raw_ord, '2024-01-1' || i AS date, CASE WHEN i = 0 THEN p_retailprice END AS price FROM s JOIN part USING (p_partkey), (VALUES (0), (1)) v(i) WHERE k = 4")
+def performances_loaded(spark, sf_dir):
+    """What is nested in the members of one document."""
     folder = scratch(spark)
-    for name, df in {**_payloads(spark, sf_dir), "other": spark.range(1)}.items():
-        df.coalesce(1).write.json(f"{folder}/{name}.json")
-    return C.extract_records(C.load_sources(spark, folder))
+    write_document(_documents(spark, sf_dir)["ttd"], f"{folder}/ttd.json", "__order")
+    return C.extract_show_performances(C.load_shows(spark, folder)["ttd"], "ttd", 4, "date string, price double")
 
 
 _EXACT = "k AS (SELECT *, min(rec_id) OVER (PARTITION BY title_norm, venue_norm) AS cluster_id FROM rec)"
@@ -273,17 +296,31 @@ def failed_pages(spark, sf_dir):
 # --- storage
 
 
-@query("SELECT n_nationkey::VARCHAR AS key, n_nationkey::INT AS pos, n_name AS name FROM nation")
+def _paged(spark: SparkSession, sf_dir: str, limit: int) -> str:
+    """Customers as the pages of a listing that tells no total; after its end it says the last row again."""
+    folder, rows = scratch(spark), A.read(spark, sf_dir, "customer").select(c("c_custkey").alias("id"), c("c_name").alias("name"))
+    write_pages(O.ranked(rows, [F.floor(c("id") / 1000)], [c("id")], "n").select((c("n") - 1).alias("pos"), "id", "name"), folder, limit)
+    return folder
+
+
+_PAGED = "SELECT c_custkey::VARCHAR AS key, (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS pos, c_name AS name FROM customer"
+
+
+@query(_PAGED)
 def paged_listing(spark, sf_dir):
-    """A listing of 25 nations that comes in pages of ten, read until a page brings nothing new."""
-    folder = scratch(spark)
-    rows = [{"id": r[0], "name": r[1]} for r in A.read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # a fixed list
-    for at in range(0, len(rows) + 1, 10):
-        C.write_text(spark, f"{folder}/page-{at}.json", json.dumps(rows[at : at + 10]))
-    C.write_text(spark, f"{folder}/page-{len(rows) + 10}.json", json.dumps(rows[-1:]))
+    """A listing whose end is found by doubling and halving, read by many tasks."""
+    folder = _paged(spark, sf_dir, 20)
+    return listing(spark, folder, limit="20").select("key", "pos", F.get_json_object("body", "$.name").alias("name"))
+
+
+@query(_PAGED)
+def paged_stream(spark, sf_dir):
+    """The same listing as a stream that reads what has been added since."""
+    folder, out = _paged(spark, sf_dir, 20), scratch(spark)
     spark.dataSource.register(PagedJson)
-    found = spark.read.format("paged_json").option("path", folder).option("limit", "10").load()
-    return found.select("key", "pos", F.get_json_object("body", "$.name").alias("name"))
+    rows = spark.readStream.format("paged_json").option("path", folder).option("limit", "20").load()
+    rows.select("key", "pos", F.get_json_object("body", "$.name").alias("name")).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema("key string, pos int, name string").parquet(f"{out}/rows")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 3 = 0")

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.registry import SOURCE_PRIORITY
 from ..operators.history import SCHEMA as HISTORY_SCHEMA
+from .documents import read_members
 
 c = F.col
 log = logging.getLogger(__name__)
@@ -53,6 +54,12 @@ SHOW_FIELDS = {
 }
 
 
+#: A record's columns and the fields that they come from.
+RECORD_FIELDS = (("source_id", "source_id"), ("title", "title_raw"), ("venue", "venue_raw"), ("url", "url"), ("description", "description"))
+#: Record numbers of one source; the next source's begin after them.
+SOURCE_ROWS = 1_000_000_000
+
+
 def load_sources(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The payload of each known source from ``<source>.json`` in a folder or a
     zip, in the order of preference. Other files are passed over, missing ones left out; a path that isn't there is an error."""
@@ -97,6 +104,46 @@ def extract_records(sources: dict[str, DataFrame], fields=SHOW_FIELDS) -> DataFr
     return out
 
 
+def load_shows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The shows (pos, body) of each known source from ``<source>.json`` in a
+    folder, in the order of preference; each document is cut by byte ranges, so it
+    may be of any size. Other files are passed over, missing ones left out."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return {s: read_members(spark, f"{path}/{s}.json") for s in SOURCE_PRIORITY if _exists(spark, f"{path}/{s}.json")}
+
+
+def _at(field: str) -> str:
+    return "$." + ".".join(f"['{x}']" if not x.isidentifier() else x for x in field.split("."))
+
+
+def extract_shows(shows: dict[str, DataFrame], fields=SHOW_FIELDS) -> DataFrame:
+    """The same records as ``extract_records`` from shows (pos, body), a row each.
+    Where a field leads into a struct and a source gives a plain value, that is it."""
+    out = None
+    for rank, (source, own) in enumerate(shows.items()):
+        names = fields[source]
+        rows = own.select((F.lit(rank * SOURCE_ROWS) + c("pos")).cast("long").alias("rec_id"), F.lit(source).alias("source"), *[_value(names[k]).alias(as_) for k, as_ in RECORD_FIELDS])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def extract_show_performances(shows: DataFrame, source: str, rank: int, schema: str, fields=SHOW_FIELDS) -> DataFrame:
+    """The performances (of a ``schema``) of one source's shows, with rec_id and raw_ord (their place in the show)."""
+    own = F.from_json(F.get_json_object("body", _at(fields[source]["performances"])), f"array<struct<{schema}>>")
+    rows = shows.select((F.lit(rank * SOURCE_ROWS) + c("pos")).cast("long").alias("rec_id"), F.posexplode(own).alias("raw_ord", "p"))
+    return rows.select("rec_id", "raw_ord", "p.*")
+
+
+def _value(field: str):
+    """A field of a show's body; of one inside a struct also the plain value that stands in the struct's place."""
+    found, outer = F.get_json_object("body", _at(field)), field.split(".")[0]
+    if outer == field:
+        return found
+    whole = F.get_json_object("body", _at(outer))
+    return F.coalesce(found, F.when(~F.startswith(whole, F.lit("{")), whole))
+
+
 def _field(column, kind: T.DataType, path: str):
     """A nested field, or null; a struct's field is the value itself where the source gives a plain text."""
     for name in path.split("."):
