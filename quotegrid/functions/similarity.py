@@ -97,3 +97,11 @@ def score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = list(zip(a, b))
     known = {p: score(*p) for p in set(pairs)}
     return pd.Series([known[p] for p in pairs])
+
+
+@F.pandas_udf(T.IntegerType())
+def block_score_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The other scorer, behind the same gate; each pair of a batch once."""
+    pairs = list(zip(a, b))
+    known = {p: difflib_token_set_ratio(*p) if all(p) and gate(*p) else 0 for p in set(pairs)}
+    return pd.Series([known[p] for p in pairs])

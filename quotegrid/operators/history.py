@@ -60,6 +60,37 @@ def stats(history: DataFrame, snap: DataFrame, live: DataFrame, as_of: datetime.
     return fate.join(F.broadcast(all_)).join(F.broadcast(kept)).select("appended", "suppressed", (c("rows") - c("kept")).alias("pruned"))  # single rows
 
 
+def save_by_performance(history: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """The history as a table (in a folder of its own, or in the warehouse) that is
+    dealt by performance once, when it is written: appends, lookups and ``as_of``
+    join it without moving its rows."""
+    writer = history.write.bucketBy(buckets, *KEY).sortBy(*KEY).mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return history.sparkSession.table(table)
+
+
+def append_to(table: str, snap: DataFrame, buckets: int = 64) -> DataFrame:
+    """Appends the changed rows of a snapshot to such a table. Only the snapshot is shuffled."""
+    spark = snap.sparkSession
+    history = spark.table(table)
+    decide(history, snap).where("fate = 'append'").select(*history.columns).write.bucketBy(buckets, *KEY).sortBy(*KEY).mode("append").saveAsTable(table)
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def as_of(history: DataFrame, asks: DataFrame, at: str = "at") -> DataFrame:
+    """Each ask (a performance and a place ``at`` in the order of ``seq``, with other
+    columns) and what the history said then: its row with the largest seq up to
+    ``at``, or nulls. A row holds until the next one of its performance, so an ask
+    meets one row; a performance's rows are the times that its price changed."""
+    rest = [x for x in history.columns if x not in KEY]
+    until = F.lead("seq").over(Window.partitionBy(*KEY).orderBy("seq"))
+    spans = history.select(*[c(k).alias(f"__{k}") for k in KEY], *rest, until.alias("__until"))
+    same = [asks[k] == spans[f"__{k}"] for k in KEY]
+    holds = (asks[at] >= spans["seq"]) & (spans["__until"].isNull() | (asks[at] < spans["__until"]))
+    return asks.join(spans, [*same, holds], "left").drop("__until", *[f"__{k}" for k in KEY])
+
+
 def price_change(history: DataFrame, key: list[str] = KEY, price: str = "min", order: str = "seq") -> DataFrame:
     """For each performance the newest valid price against the nearest earlier one that differs: delta and percent, null without one."""
     valid = history.where(f"{price} > 0 and not isnan({price}) and {price} < double('inf')")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text, times
+from ..functions import similarity, text, times
 from ..functions.registry import SOURCE_PRIORITY
 from ..operators import checks as Q
 from ..operators import display as L
@@ -20,9 +21,9 @@ from ..sources import adapters as A
 from ..sources import catalog as C
 from ..sources.documents import write_document
 from ..sources.paged import PagedJson, listing, write_pages
-from ..sources.session import scratch
-from .base import D, EFF, OFFERS, SEEN, SHOWS, query, with_
-from .pipeline import _RECORDS, records
+from ..sources.session import scratch, stage
+from .base import D, EFF, OFFERS, SEEN, SHOWS, SQL, query, with_
+from .pipeline import _RECORDS, _RECURSIVE, records
 
 c = F.col
 
@@ -243,15 +244,112 @@ def _source_of(rec: int) -> str:
     return SOURCE_PRIORITY[rec % 5]
 
 
+def _ref(rec: int) -> dict[str, str]:
+    return {"source": _source_of(rec), "source_id": str(rec)}
+
+
+_RULES = {"force_split": [{"record": _ref(5)}, {"record": {"source": "olt", "source_id": "none"}}], "force_merge": [{"records": [_ref(2), _ref(3)]}, {"records": []}, {"records": [{"source": "x", "source_id": "9"}]}]}
+
+
 @query(
     with_(_RECORDS, _EXACT, "x AS (SELECT rec_id, CASE WHEN rec_id = 5 THEN -6 ELSE cluster_id END AS c FROM k)", "z AS (SELECT c, count(*) AS n FROM x GROUP BY c)", "d AS (SELECT arg_max(c, row(n, -rec_id)) AS c FROM x JOIN z USING (c) WHERE rec_id IN (2, 3))")
     + "SELECT rec_id, CASE WHEN rec_id IN (2, 3) THEN (SELECT c FROM d) ELSE x.c END AS cluster_id FROM x"
 )
 def overrides_applied(spark, sf_dir):
     """A record split off, two records brought together in the larger cluster, and rules that change nothing."""
-    ref = lambda i: {"source": _source_of(i), "source_id": str(i)}
-    rules = {"force_split": [{"record": ref(5)}, {"record": {"source": "olt", "source_id": "none"}}], "force_merge": [{"records": [ref(2), ref(3)]}, {"records": []}, {"records": [{"source": "x", "source_id": "9"}]}]}
-    return R.override(R.exact_clusters(R.normalized(records(spark, sf_dir)))[0], rules)[0].select("rec_id", "cluster_id")
+    return R.override(R.exact_clusters(R.normalized(records(spark, sf_dir)))[0], _RULES)[0].select("rec_id", "cluster_id")
+
+
+@query(SQL["overrides_applied"])
+def overrides_loaded(spark, sf_dir):
+    """The same rules from a file; a section that is null is empty, and a file that isn't there has no rules."""
+    path = f"{scratch(spark)}/rules.json"
+    C.write_text(spark, path, json.dumps(_RULES))
+    clustered = R.exact_clusters(R.normalized(records(spark, sf_dir)))[0]
+    split, rest = C.load_overrides(spark, path), C.load_overrides(spark, f"{path}-none")
+    return R.override(R.override(clustered, split)[0], rest)[0].select("rec_id", "cluster_id")
+
+
+@query(_RECURSIVE + " SELECT venue_norm, title_a, title_b, score, fate FROM st WHERE fate IN ('review', 'blocked')")
+def review_pairs(spark, sf_dir):
+    """Pairs that people should look at: close ones, and those that a common source keeps apart."""
+    clustered, orphans = R.exact_clusters(R.normalized(records(spark, sf_dir)))
+    return R.review(clustered, orphans, R.fuzzy_merge(clustered)[1])["pairs"]
+
+
+@query()
+def title_scores(spark, sf_dir):
+    """Pairs behind the gate with both scores: by subsequences, and by matching blocks (compared with a plain version in the tests)."""
+    clustered = R.exact_clusters(R.normalized(records(spark, sf_dir)))[0]
+    titles = clustered.select("venue_norm", c("title_norm").alias("id"), c("title_norm").alias("title")).distinct()
+    pairs = R.gate_pairs(titles, ["venue_norm"]).select(c("a_title").alias("title_a"), c("b_title").alias("title_b")).distinct()
+    return pairs.withColumns({"score": similarity.score_udf("title_a", "title_b"), "other": similarity.block_score_udf("title_a", "title_b")})
+
+
+# --- history by performance
+
+
+_CHANGES = f"""h AS (SELECT show_id, (DATE '2024-01-05' + source_ord * 2)::DATE::VARCHAR AS date, time, seq, (k % 4)::DOUBLE AS min FROM seen WHERE k % 2 = 0),
+a AS (SELECT show_id, (DATE '2024-01-05' + source_ord * 2)::DATE::VARCHAR AS date, time, seq AS asked FROM seen WHERE k % 2 = 1)"""
+
+
+def _by_performance(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Half of the observations as a history in a table of its own (its name), and the others as questions about it."""
+    seen = _seen(spark, sf_dir).select(c("show_id").cast("string").alias("show_id"), F.date_add(F.lit("2024-01-05").cast("date"), c("source_ord") * 2).cast("string").alias("date"), "time", "seq", (c("k") % 4).cast("double").alias("min"), "k")
+    history = seen.where("k % 2 = 0").select(*H.KEY, F.lit("run1").alias("t"), "seq", "min")
+    name = f"history_{uuid.uuid4().hex}"
+    H.save_by_performance(history, name, 8, scratch(spark))
+    return name, seen.where("k % 2 = 1").select(*H.KEY, c("seq").alias("asked"))
+
+
+@query(with_(SEEN, _CHANGES) + "SELECT asked, h.seq AS seq, h.min AS min FROM a ASOF LEFT JOIN h ON a.show_id = h.show_id AND a.date = h.date AND a.time = h.time AND a.asked >= h.seq")
+def history_as_of(spark, sf_dir):
+    """What the history said at the time of every other observation, for all performances at once."""
+    name, asks = _by_performance(spark, sf_dir)
+    return H.as_of(spark.table(name), asks, "asked").select("asked", "seq", "min")
+
+
+@query(
+    with_(SEEN, _CHANGES, "l AS (SELECT show_id, date, time, max(seq) AS seq, arg_max(min, seq) AS min FROM h GROUP BY ALL)", "n AS (SELECT show_id, date, time, max(asked) % 4 AS min FROM a GROUP BY ALL)")
+    + "SELECT show_id::VARCHAR AS show_id, date, time, seq, min FROM h UNION ALL SELECT n.show_id::VARCHAR, n.date, n.time, coalesce(l.seq, 0) + 1, n.min FROM n LEFT JOIN l ON n.show_id = l.show_id AND n.date = l.date AND n.time = l.time WHERE l.min IS DISTINCT FROM n.min"
+)
+def history_appended(spark, sf_dir):
+    """A snapshot appended to the table of a history, and the table read."""
+    name, asks = _by_performance(spark, sf_dir)
+    snap = asks.groupBy(*H.KEY).agg((F.max("asked") % 4).cast("double").alias("min")).withColumn("t", F.lit("run2"))
+    return H.append_to(name, snap, 8).select(*H.KEY, "seq", "min")
+
+
+_ENTRIES = "last AS (SELECT show_id, source, arg_max(k, seq) AS k, max(seen_at) AS seen_at FROM seen GROUP BY ALL), e AS (SELECT show_id || '|' || source AS key, k, seen_at FROM last)"
+_MERGED = "m AS (SELECT key, CASE WHEN k % 5 = 0 THEN k + 100 ELSE k END AS value, seen_at AS stored_at FROM e WHERE k % 7 <> 3 OR k % 5 = 0)"
+_CACHE = "key string, value long, stored_at timestamp_ntz"
+
+
+def _changed_cache(spark: SparkSession, sf_dir: str) -> str:
+    """A cache of three saves: all entries; those that are told otherwise, of which only these are written; and removals."""
+    path = f"{scratch(spark)}/cache"
+    seen = _seen(spark, sf_dir).groupBy("show_id", "source").agg(F.max_by("k", "seq").cast("long").alias("k"), F.max("seen_at").alias("stored_at"))
+    entries = stage(seen.select(F.concat_ws("|", "show_id", "source").alias("key"), c("k").alias("value"), "stored_at"))
+    C.save_changes(entries, path)
+    gone = entries.where("value % 7 = 3").select("key")
+    fresh = entries.withColumn("value", F.when(c("value") % 5 == 0, c("value") + 100).otherwise(c("value")))
+    C.save_changes(entries.limit(0), path, gone)
+    C.save_changes(C.changed_entries(C.load_changes(spark, path, _CACHE), fresh.where("value >= 100"), "key"), path)
+    return path
+
+
+@query(with_(SEEN, _ENTRIES, _MERGED) + "SELECT * FROM m")
+def cache_changes(spark, sf_dir):
+    """A cache as its runs give it: base, tombstones, replaced entries."""
+    return C.load_changes(spark, _changed_cache(spark, sf_dir), _CACHE)
+
+
+@query(with_(SEEN, _ENTRIES, _MERGED) + "SELECT * FROM m WHERE stored_at >= TIMESTAMP '2024-01-20 00:00:00'")
+def cache_compacted(spark, sf_dir):
+    """The same cache after a compaction that leaves out what is too old."""
+    path = _changed_cache(spark, sf_dir)
+    C.compact_changes(spark, path, _CACHE, c("stored_at") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return C.load_changes(spark, path, _CACHE)
 
 
 # --- quality

@@ -298,6 +298,53 @@ def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return empty
 
 
+#: The runs of a cache that hold all of it, not only changes.
+WHOLE_CACHE = "-whole"
+
+
+def _stamp() -> str:
+    return datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+
+
+def changed_entries(cache: DataFrame, fresh: DataFrame, key: str = "key") -> DataFrame:
+    """Those of the fresh entries that the cache hasn't, or has otherwise."""
+    rest = [x for x in fresh.columns if x != key]
+    known = cache.select(key, F.struct(*rest).alias("__known"))
+    return fresh.join(known, key, "left").where(~F.struct(*rest).eqNullSafe(c("__known"))).select(*fresh.columns)
+
+
+def save_changes(changed: DataFrame, path: str, removed: DataFrame | None = None, key: str = "key") -> list[str]:
+    """Writes new and replaced entries, and tombstones for the removed keys, as a
+    run beside the earlier ones; nothing else is written again."""
+    rows = changed.withColumn("gone", F.lit(False))
+    if removed is not None:
+        rows = rows.unionByName(removed.select(key).distinct().withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    return write_run(rows, path, _stamp(), keep=None)
+
+
+def load_changes(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
+    """The cache as all its runs give it: of each key the entry of the last run, unless that removed it."""
+    empty = spark.createDataFrame([], schema)
+    runs = run_ids(spark, path)
+    whole = [i for i, r in enumerate(runs) if r.endswith(WHOLE_CACHE)]
+    runs = runs[whole[-1] :] if whole else runs
+    if not runs:
+        return empty
+    rows = spark.read.schema(f"{schema}, gone boolean, run_id string").option("basePath", path).parquet(*[f"{path}/run_id={r}" for r in runs])
+    rest = [x for x in empty.columns if x != key]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest, "gone"), "run_id").alias("x")).where("not x.gone")
+    return last.select(*[c(key) if x == key else c(f"x.{x}").alias(x) for x in empty.columns])
+
+
+def compact_changes(spark: SparkSession, path: str, schema: str, live=None, key: str = "key") -> None:
+    """Writes the cache as one run without what was replaced or removed, nor what
+    isn't ``live`` (a condition, such as an age) any more, and drops the runs before it. Readers see either."""
+    before = run_ids(spark, path)
+    rows = load_changes(spark, path, schema, key)
+    write_run((rows if live is None else rows.where(live)).withColumn("gone", F.lit(False)), path, _stamp() + WHOLE_CACHE, keep=None)
+    drop_runs(spark, path, before)
+
+
 def failures(expected: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     """Pages that were to be parsed and weren't, as rows."""
     return expected.join(parsed.select(key), key, "left_anti").withColumn("failure", F.lit("missing: no parsed page"))
