@@ -85,9 +85,11 @@ PAGE = """<!DOCTYPE html><html lang="en"><head><title>x</title><script>var t = "
 SPEC = W.Spec(suffix=" as")
 
 
-def page_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The widgets of a page made for each part."""
-    return W.widgets(_part(spark, sf_dir).select(c("p_partkey").alias("part_key"), made(PAGE).alias("html")), "part_key", SPEC)
+def page_widgets(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The widgets asked for of a page made for each part. Parsing costs far more
+    than moving the few columns that a page is made of, so these are dealt to all cores first."""
+    parts = _part(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    return W.widgets(parts.select(c("p_partkey").alias("part_key"), made(PAGE).alias("html")), "part_key", SPEC, only=only)
 
 
 def _pairs(rows: Column, *names: str) -> Column:
@@ -102,22 +104,22 @@ def _expect(**columns: str) -> str:
 
 @query(_expect(title="{name}", running="{size} min", closing_label="=CASE WHEN p_partkey % 3 = 0 THEN 'Closing date' ELSE 'Booking until' END", closing="=CASE WHEN p_partkey % 3 = 0 THEN concat('End ', p_partkey) ELSE concat('Day ', p_partkey) END"))
 def page_titles(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", "title", W.any_case(c("labels"), "RUNNING TIME").alias("running"), "closing_label", "closing")
+    return page_widgets(spark, sf_dir, "title", "labels", "closing_label", "closing").select("part_key", "title", W.any_case(c("labels"), "RUNNING TIME").alias("running"), "closing_label", "closing")
 
 
 @query(_expect(people="=CASE WHEN p_partkey % 4 = 0 THEN concat('Writer|Cy ', p_partkey) ELSE concat('Lead|Ann ', p_partkey, ';Fool|Bob') END", cast_list="King|Dee {k};Queen|Eve"))
 def page_people(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", _pairs(c("people"), "role", "name").alias("people"), _pairs(c("cast"), "role", "name").alias("cast_list"))
+    return page_widgets(spark, sf_dir, "people", "cast").select("part_key", _pairs(c("people"), "role", "name").alias("people"), _pairs(c("cast"), "role", "name").alias("cast_list"))
 
 
 @query(_expect(hero="http://img.example/({k}).jpg", gallery="b{k}.jpg,c.jpg", thumbnail="thumb{k}.jpg", duration="{size} minutes", venue="{brand} Hall", venue_url="/venue/{k}/", badge="Musical"))
 def page_media(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", "hero", F.array_join("gallery", ",").alias("gallery"), "thumbnail", "duration", "venue", "venue_url", "badge")
+    return page_widgets(spark, sf_dir, "hero", "gallery", "thumbnail", "duration", "venue", "venue_url", "badge").select("part_key", "hero", F.array_join("gallery", ",").alias("gallery"), "thumbnail", "duration", "venue", "venue_url", "badge")
 
 
 @query(_expect(description="First of {k}.\n\nSecond of {name}.", access="Wheelchair spaces: {size}", offer_title="Offer {k}", offer="Two for {cents}", running_time="{size} minutes", matinee_text="=NULL::VARCHAR", evening_text="at {k}"))
 def page_texts(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", "description", F.array_join("access", ";").alias("access"), "offer_title", "offer", "running_time", "matinee_text", "evening_text")
+    return page_widgets(spark, sf_dir, "description", "access", "offer_title", "offer", "running_time", "matinee_text", "evening_text").select("part_key", "description", F.array_join("access", ";").alias("access"), "offer_title", "offer", "running_time", "matinee_text", "evening_text")
 
 
 @query(
@@ -130,7 +132,7 @@ def page_texts(spark, sf_dir):
     )
 )
 def page_schedule(spark, sf_dir):
-    w = page_widgets(spark, sf_dir)
+    w = page_widgets(spark, sf_dir, "weekly", "last_minute", "next_rows", "months", "calendar")
     whole = lambda x: F.transform(x, lambda r: F.struct(r["date"].alias("date"), r["time"].alias("time"), r["min_price"].cast("int").alias("lo"), r["max_price"].cast("int").alias("hi"), r["available"].alias("ok"), F.replace(r["book_url"], F.lit("&amp;"), F.lit("&")).alias("url")))
     return w.select(
         "part_key",
@@ -146,7 +148,7 @@ def page_schedule(spark, sf_dir):
 def showtime_ids(spark, sf_dir):
     """Numbers from the last-minute table for performances that lack theirs, by address."""
     k = c("part_key")
-    w = page_widgets(spark, sf_dir).select("part_key", W.id_by_url(c("last_minute")).alias("ids"))
+    w = page_widgets(spark, sf_dir, "last_minute").select("part_key", W.id_by_url(c("last_minute")).alias("ids"))
     url = F.when(k % 3 == 0, F.concat(F.lit("/p/"), k)).otherwise(F.concat(F.lit("/q/"), k))
     own = F.when(k % 3 == 2, F.concat(F.lit("own"), k))
     return w.select("part_key", F.coalesce(own, F.try_element_at("ids", url)).alias("showtime_id"))
@@ -154,7 +156,7 @@ def showtime_ids(spark, sf_dir):
 
 @query("SELECT p_partkey AS part_key, nullif(p_partkey % 3, 0)::DOUBLE AS discount, p_partkey::DOUBLE AS min_price, NULL::DOUBLE AS max_price, concat('/book/', p_partkey) AS book_url, '7:30pm' AS time, (10 + p_partkey % 90 + 0.5)::DOUBLE AS price FROM part")
 def page_deals(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", F.explode("deals").alias("d")).select("part_key", "d.discount", "d.min_price", "d.max_price", "d.book_url", "d.time", "d.price")
+    return page_widgets(spark, sf_dir, "deals").select("part_key", F.explode("deals").alias("d")).select("part_key", "d.discount", "d.min_price", "d.max_price", "d.book_url", "d.time", "d.price")
 
 
 @query(
@@ -164,12 +166,12 @@ def page_deals(spark, sf_dir):
     )
 )
 def page_booking(spark, sf_dir):
-    return page_widgets(spark, sf_dir).select("part_key", "price", "on_offer", "booking_period", "address", "book_url", "calendar_id", "calendar_start", "group_info")
+    return page_widgets(spark, sf_dir, "price", "on_offer", "booking_period", "address", "book_url", "calendar_id", "calendar_start", "group_info").select("part_key", "price", "on_offer", "booking_period", "address", "book_url", "calendar_id", "calendar_start", "group_info")
 
 
 @query(_expect(cards="0|{k}|{name}|/s/{k};2|z|Zed|/z", genres="play,drama", tags="Tag {k}|/tags/slug-{k}/|slug-{k}", category="{brand}"))
 def page_cards(spark, sf_dir):
-    w = page_widgets(spark, sf_dir)
+    w = page_widgets(spark, sf_dir, "cards", "tags", "category")
     return w.select("part_key", _pairs(c("cards"), "pos", "key", "title", "url").alias("cards"), F.array_join(c("cards")[0]["genres"], ",").alias("genres"), _pairs(c("tags"), "name", "url", "slug").alias("tags"), "category")
 
 
@@ -356,7 +358,7 @@ def fragments(spark, sf_dir):
     venues = F.when(c("p_partkey") % 3 == 0, F.array(F.lit(" , a"), F.lit(""))).otherwise(F.array(F.lit(","), made("{brand} Hall, London"), F.lit("Other")))
     age = F.expr("case p_partkey % 3 when 0 then 'Ages 12+ only' when 1 then 'For ALL AGES' else 'Not for Under 5s' end")
     rest = _part(spark, sf_dir).select(c("p_partkey").alias("part_key"), W.first_venue(venues).alias("venue"), H.age_label(age).alias("age"))
-    return W.widgets(pages, "part_key", SPEC).select("part_key", F.size("cards").alias("cards")).join(rest, "part_key")
+    return W.widgets(pages, "part_key", SPEC, only=("cards",)).select("part_key", F.size("cards").alias("cards")).join(rest, "part_key")
 
 
 @query("SELECT conv_id, i::INT AS i, r[i] AS role, t[i + 1] AS next_role FROM (SELECT conv_id, list(role ORDER BY turn) AS r, list(role ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY conv_id), unnest(range(1, n + 1)) x(i)")

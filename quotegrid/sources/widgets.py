@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .html import VOID
 
@@ -458,31 +459,46 @@ WIDGETS = (
 )
 
 
-def page_widgets(html: str | None, spec: Spec = Spec()) -> dict:
-    root = tree(html)
-    labels = label_map(root, spec)
-    label, value = closing(labels, spec)
-    price, on_offer = button_price(root, spec)
-    offer_title, offer = offer_card(root, spec)
-    return {
-        "title": heading(root, spec), "labels": labels, "people": people(root, spec), "description": description(root, spec), "hero": background(root, spec), "gallery": gallery(root, spec), "closing_label": label, "closing": value,
-        "weekly": weekly(root, spec), "last_minute": last_minute(root, spec), "deals": deals(root, spec), "calendar": data_calendar(root, spec), "price": price, "on_offer": on_offer, "offer_title": offer_title, "offer": offer,
-        "cards": card_list(root, spec), "tags": tag_links(root, spec), "category": crumb(root, spec), "access": access_texts(root, spec), "next_rows": next_rows(root, spec), "months": month_rows(root, spec),
-        "cast": cast_list(root, spec), **header(root, spec), **booking(root, spec), **features(root, spec),
-    }
+def _one(name: str, make: Callable) -> tuple[tuple[str, ...], Callable[[Node, Spec], dict]]:
+    return (name,), lambda root, spec: {name: make(root, spec)}
+
+
+#: What makes which columns; functions that give several columns are called once for all of them.
+MAKERS: tuple[tuple[tuple[str, ...], Callable[[Node, Spec], dict]], ...] = (
+    _one("title", heading), _one("labels", label_map), _one("people", people), _one("description", description), _one("hero", background), _one("gallery", gallery),
+    (("closing_label", "closing"), lambda root, spec: dict(zip(("closing_label", "closing"), closing(label_map(root, spec), spec)))),
+    _one("weekly", weekly), _one("last_minute", last_minute), _one("deals", deals), _one("calendar", data_calendar),
+    (("price", "on_offer"), lambda root, spec: dict(zip(("price", "on_offer"), button_price(root, spec)))),
+    (("offer_title", "offer"), lambda root, spec: dict(zip(("offer_title", "offer"), offer_card(root, spec)))),
+    _one("cards", card_list), _one("tags", tag_links), _one("category", crumb), _one("access", access_texts), _one("next_rows", next_rows), _one("months", month_rows), _one("cast", cast_list),
+    (("thumbnail", "duration", "venue", "venue_url", "badge"), header),
+    (("booking_period", "address", "book_url", "calendar_id", "calendar_start", "group_info"), booking),
+    (("running_time", "matinee_text", "evening_text"), features),
+)
+
+
+def page_widgets(html: str | None, spec: Spec = Spec(), only: Collection[str] = ()) -> dict:
+    """All widgets of a page, or those asked for."""
+    root, out = tree(html), {}
+    for names, make in MAKERS:
+        if not only or any(n in only for n in names):
+            out.update(make(root, spec))
+    return {k: v for k, v in out.items() if not only or k in only}
 
 
-def widgets(pages: DataFrame, key: str, spec: Spec = Spec(), html: str = "html") -> DataFrame:
-    """The widgets of each page under its key; what a page lacks is null or empty."""
-    kind = pages.schema[key].dataType.simpleString()
+def widgets(pages: DataFrame, key: str, spec: Spec = Spec(), html: str = "html", only: Collection[str] = ()) -> DataFrame:
+    """The widgets of each page under its key (those asked for, or all); what a page lacks is null or empty."""
+    fields = [f for f in T._parse_datatype_string(WIDGETS).fields if not only or f.name in only]
+    schema = T.StructType([T.StructField(key, pages.schema[key].dataType), *fields])
+    names = [f.name for f in fields]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([page_widgets(x if isinstance(x, str) else None, spec) for x in batch[html]])
+            out = pd.DataFrame([page_widgets(x if isinstance(x, str) else None, spec, only) for x in batch[html]], columns=names)
             out.insert(0, key, batch[key].to_numpy())
             yield out
 
-    return pages.select(key, html).mapInPandas(rows, f"{key} {kind}, {WIDGETS}")
+    return pages.select(key, html).mapInPandas(rows, schema)
 
 
 # --- what needs no parser
