@@ -159,6 +159,31 @@ def page_deals(spark, sf_dir):
     return page_widgets(spark, sf_dir, "deals").select("part_key", F.explode("deals").alias("d")).select("part_key", "d.discount", "d.min_price", "d.max_price", "d.book_url", "d.time", "d.price")
 
 
+# Pages of four kinds: a description under a heading with an element left open, one without such a heading, none at all, and a heading with nothing under it.
+_DESCRIBED = (
+    '<h1>x</h1><h2>More ABOUT {name}</h2><p>One {k}.</p><div><p>Two <b>{brand}</p></div><h3>Next</h3><p>not</p><div class="description">Whole  {k} <i>text</i></div>',
+    '<p>Only {k}</p><div class="description"><p>A{k}</p><p>Read more</p><p>B</p></div>',
+    "<h1>{name}</h1>",
+    '<div class="description">D{k}</div><h2>more about</h2><h2>Else</h2><p>P{k}',
+)
+
+
+@query(
+    _expect(
+        under="=CASE p_partkey % 4 WHEN 0 THEN concat('One ', p_partkey, '.', chr(10), chr(10), 'Two ', p_brand) WHEN 1 THEN concat('Only ', p_partkey, chr(10), chr(10), 'A', p_partkey, chr(10), chr(10), 'B') WHEN 3 THEN concat('P', p_partkey) END",
+        whole="=CASE p_partkey % 4 WHEN 0 THEN concat('Whole ', p_partkey, ' text') WHEN 1 THEN concat('A', p_partkey, ' Read more B') WHEN 3 THEN concat('D', p_partkey) END",
+    )
+)
+def page_descriptions(spark, sf_dir):
+    """The other two ways to find a description, over pages that lack it or hold broken markup."""
+    page = F.lit(None)
+    for i, template in enumerate(_DESCRIBED):
+        page = F.when(c("p_partkey") % 4 == i, made(template)).otherwise(page)
+    pages = _part(spark, sf_dir).select(c("p_partkey").alias("part_key"), page.alias("html"))
+    each = lambda mode, name: W.widgets(pages, "part_key", W.Spec(description_mode=mode), only=("description",)).withColumnRenamed("description", name)
+    return each("after", "under").join(each("whole", "whole"), "part_key")
+
+
 @query(
     _expect(
         price="=(10 + p_partkey % 90 + 0.25)::DOUBLE", on_offer="=true", booking_period="1 Jan - {day}", address="=CASE WHEN p_partkey % 3 = 0 THEN concat(p_partkey, ' Side Street') ELSE concat(p_partkey, ' Panel Street') END",
