@@ -121,8 +121,10 @@ def mix(docs: DataFrame, size: Column | None = None, *, id_col: str = "doc_id",
 
     A null source is a source of its own, last in order. A null text or one
     without words has size 0 and gives 0. Rows that repeat are documents of
-    their own; equal rows may swap places, which no result shows. An empty table
-    gives an empty result. Other columns aren't read.
+    their own; equal rows may swap places, which no result shows. A very long text
+    counts whole, and its words may fill many blocks; equal quotients go to the
+    first source or shard. An empty table gives an empty result. Other columns
+    aren't read.
     """
     own = word_count(F.col(text_col)) if size is None else size
     slim = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), own.alias("size")).withColumn("row", F.xxhash64("source", "size")))

@@ -336,7 +336,9 @@ def write_store(docs: DataFrame, tokenizer: str, *, end_id: int = 2, path: str |
 
     The tokenizer is a file of the tokenizers library with byte-level pre-
     tokenization and no prefix space; id_bytes is 2 if all ids are below 65,536,
-    else 4. Rows with equal or null doc_ids are documents of their own. An empty
+    else 4. Rows with equal or null doc_ids, repeated rows among them, are
+    documents of their own; null ids come last, and rows with one id keep an order
+    of their own. A very long text is encoded whole and cut into chunks. An empty
     table makes an empty store; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -446,7 +448,9 @@ def read_digests(spark: SparkSession, path: str, id_bytes: int = 2) -> DataFrame
     """From the files alone, a row for each document: doc_id, start (ids before
     it), n_tokens, ids_crc32 (of its ids as little-endian unsigned 32-bit
     integers). Each chunk is read and summed once; a document's sum is put
-    together from its chunks' sums and lengths."""
+    together from its chunks' sums and lengths, however long it is. Documents with
+    one id have a row each, in the order of the store; a store without documents
+    gives no row."""
     small_batches(spark)
     sums = read_chunks(spark, path).mapInArrow(_checked(id_bytes), "key binary, n long, crc long, ok boolean").where("ok").select("key", "n", "crc")
     recipes = read_recipes(spark, path)
