@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices, text
+from . import counts
 from .offers import PERF, _future, between, first_rows, lit_date, ranked
 
 KNOWN = "__unknown"
@@ -114,17 +115,23 @@ def show_filters(shows: DataFrame, offers: DataFrame, eff: DataFrame, as_of: dat
 
 
 def coverage(shows: DataFrame) -> DataFrame:
-    """How many shows have how many distinct sellers, with shares of all and of those with three or more."""
+    """How many shows have how many distinct sellers, with shares of all and of those with three or more.
+    The totals go over a row for each number of sellers, so the shows are read once."""
     rows = shows.groupBy(F.col("source_count").alias("sellers")).agg(F.count("*").alias("show_count"))
-    all_ = rows.agg(F.sum("show_count").alias("total"), F.coalesce(F.sum(F.when(F.col("sellers") >= 3, F.col("show_count"))), F.lit(0)).alias("well_covered"))
-    return rows.join(F.broadcast(all_)).select("sellers", "show_count", "total", "well_covered", prices.js_round(F.col("show_count") / F.col("total") * 100).alias("pct"))
+    every = Window.partitionBy()
+    rows = rows.withColumns({"total": F.sum("show_count").over(every), "well_covered": F.coalesce(F.sum(F.when(F.col("sellers") >= 3, F.col("show_count"))).over(every), F.lit(0))})
+    return rows.select("sellers", "show_count", "total", "well_covered", prices.js_round(F.col("show_count") / F.col("total") * 100).alias("pct"))
 
 
 def methodology(shows: DataFrame, offers: DataFrame) -> DataFrame:
-    """One row: shows, performances, offers, sellers, shows whose price isn't known."""
-    a = shows.agg(F.count("*").alias("show_count"), F.count_if(~prices.valid_price(F.col("min_price"))).alias("price_tbc_count"))
-    b = offers.agg(F.countDistinct("show_id", "date", "time").alias("perf_count"), F.count("*").alias("offer_count"), F.countDistinct("source").alias("seller_count"))
-    return a.join(F.broadcast(b))  # single rows
+    """One row: shows, performances, offers, sellers, shows whose price isn't known.
+    ``shows`` (show_id) tells which shows count as such; prices come from the offers, which are read once."""
+    facts = counts.show_facts(offers).join(shows.select("show_id").distinct().withColumn("listed", F.lit(1)), "show_id", "left")
+    listed = F.col("listed").isNotNull()
+    return facts.agg(
+        F.count_if(listed).alias("show_count"), F.count_if(listed & ~prices.valid_price(F.col("min_price"))).alias("price_tbc_count"),
+        F.coalesce(F.sum("perf_count"), F.lit(0)).alias("perf_count"), F.coalesce(F.sum("offer_count"), F.lit(0)).alias("offer_count"), F.coalesce(F.bit_count(F.bit_or("sellers")), F.lit(0)).cast("long").alias("seller_count"),
+    )
 
 
 def search(shows: DataFrame, filters: DataFrame, eff: DataFrame, as_of: datetime.date, words: str, mark: str | None = None, order: str = "price") -> DataFrame:

@@ -321,7 +321,7 @@ def coverage(spark, sf_dir):
     + f"SELECT (SELECT count(*) FROM shows) AS show_count, (SELECT count(*) FROM shows WHERE NOT coalesce(min_price > 0, false)) AS price_tbc_count, (SELECT count(*) FROM (SELECT DISTINCT show_id, date, time FROM offers)) AS perf_count, (SELECT count(*) FROM offers) AS offer_count, (SELECT count(DISTINCT source) FROM offers) AS seller_count"
 )
 def methodology(spark, sf_dir):
-    return S.methodology(A.shows(spark, sf_dir), A.offers(spark, sf_dir))
+    return S.methodology(A.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("show_id")), A.offers(spark, sf_dir))
 
 
 @query(
