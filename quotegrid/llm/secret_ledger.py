@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import shared_dir, spread_join, written
 
 
 def _either(word: str) -> str:
@@ -80,14 +80,27 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return blobs.select("blob", F.lit(rule_version(rules)).alias("rule_version"), spans.alias("found"))
 
 
+def _blob(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
 def update(docs: DataFrame, ledger: DataFrame | None = None, *, text_col: str = "text", rules=RULES) -> DataFrame:
     """The ledger's rows for blobs of ``docs`` that it hasn't under these rules.
-    Copies of a text meet as one row for each task at most."""
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    blobs = docs.select(blob.alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    Copies of a text meet as one row for each task at most. Against a ledger,
+    hashes alone are compared; texts move only if some blob is new."""
+    docs = docs.select(_blob(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    return scan(blobs.groupBy("blob").agg(F.first("text").alias("text")), rules)
+        known = ledger.where(F.col("rule_version") == rule_version(rules)).select("blob")
+        unseen = written(docs.select("blob").distinct().join(known, "blob", "left_anti"))
+        docs = spread_join(docs, unseen, ["blob"]) if unseen.take(1) else docs.where(F.lit(False))
+    return scan(docs.groupBy("blob").agg(F.first("text").alias("text")), rules)
+
+
+def _over_paths(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    paths = written(docs.select(F.col(id_col).alias("doc_id"), _blob(text_col).alias("blob")))
+    held = known.where(F.size("found") > 0).select("blob", "found")
+    none = F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)")
+    return spread_join(paths, held, ["blob"], "left").select("doc_id", "blob", F.coalesce("found", none).alias("found"))
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
@@ -104,10 +117,54 @@ def findings(docs: DataFrame, ledger: DataFrame | None = None, *, id_col: str =
     """
     new = written(update(docs, ledger, text_col=text_col, rules=rules))
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version(rules)).select(*new.columns))
-    paths = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob")))
-    held = known.where(F.size("found") > 0).select("blob", "found")
-    none = F.expr("cast(array() as array<struct<start: int, kind: int, stop: int>>)")
-    return spread_join(paths, held, ["blob"], "left").select("doc_id", "blob", F.coalesce("found", none).alias("found")), new
+    return _over_paths(docs, known, id_col, text_col), new
+
+
+LEDGER = "blob binary, rule_version string, found array<struct<start: int, kind: int, stop: int>>"
+
+
+def record(docs: DataFrame, path: str, *, text_col: str = "text", rules=RULES) -> int:
+    """A run over ``docs`` onto the ledger stored at ``path`` (a new one, if nothing
+    stands there): blobs that it lacks under these rules are scanned and added as
+    files of their own. How many they were. One run writes at a time; of a run
+    that broke off a part may stand there, and the next one scans the rest.
+
+    A null text is an empty one; copies and repeated rows are one blob; an empty
+    table adds nothing; other columns aren't read."""
+    spark = docs.sparkSession
+    before = stored(spark, path)
+    new = written(update(docs, before, text_col=text_col, rules=rules))
+    n = new.count()
+    if n or before is None:
+        new.write.mode("append").partitionBy("rule_version").parquet(path)
+    return n
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at ``path``; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def recorded(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of ``findings`` from the ledger at ``path``, which has to hold the
+    blobs of ``docs``: none is scanned, so what isn't there counts as clean."""
+    ledger = stored(docs.sparkSession, path)
+    known = ledger.where(F.col("rule_version") == rule_version(rules))
+    return _over_paths(docs, known, id_col, text_col)
+
+
+def scan_twice(docs: DataFrame) -> DataFrame:
+    """Findings of ``docs`` by a stored ledger: a first run fills it, and a second
+    run over the same table meets nothing unseen and reads all findings from it."""
+    path = shared_dir(docs.sparkSession)
+    record(docs, path)
+    again = record(docs, path)
+    if again:
+        raise RuntimeError(f"{again} blobs were scanned twice")
+    return recorded(docs, path)
 
 
 def digest(found: DataFrame, rules=RULES) -> DataFrame:

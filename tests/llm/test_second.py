@@ -168,6 +168,17 @@ def test_licenses(spark, sf_dir):
     assert out == {d: brute.license_base(t) for d, t in real(sf_dir)}
 
 
+def test_license_families(spark):
+    """Each template gives its own label, edited in the middle too, and not that of a license it resembles."""
+    cut = [(label, t.split()) for label, t in licenses.TEMPLATES]
+    edited = [(label, " ".join(w[: len(w) // 2] + ["edited"] + w[len(w) // 2 :])) for label, w in cut if len(w) >= 20]
+    texts = list(licenses.TEMPLATES) + edited
+    df = spark.createDataFrame([(i, "some words before. " + t + " and after") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert {i: x for i, x in got.items() if x != texts[i][0]} == {}
+    assert len({label for label, _ in licenses.TEMPLATES}) == 26
+
+
 # --- secrets
 
 SECRETS = [
@@ -352,3 +363,21 @@ def test_sql(spark, sf_dir, name):
     columns = [d[0] for d in want.description]
     got = QUERIES[name](spark, sf_dir).select(*columns).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, want.fetchall()))
+
+
+def test_secrets_by_a_stored_ledger(spark, tmp_path):
+    path, schema = str(tmp_path / "ledger"), "doc_id long, text string, found string"
+    first = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRETS)] * 2 + [(50, None, None)], schema)
+    more = first.union(spark.createDataFrame([(60 + i, f"password=abcdefgh{i % 3}", None) for i in range(3000)], schema))
+    assert secret_ledger.stored(spark, path) is None
+    assert secret_ledger.record(first, path) == len({t or "" for t in SECRETS} | {""})
+    assert secret_ledger.record(first, path) == 0
+    assert secret_ledger.record(more, path) == 3  # though each new blob has a thousand paths
+    ledger = secret_ledger.stored(spark, path)
+    assert ledger.count() == ledger.select("blob").distinct().count()
+    rows = lambda df: sorted(map(str, secret_ledger.digest(df).collect()))
+    assert rows(secret_ledger.recorded(more, path)) == rows(secret_ledger.findings(more)[0]) == rows(secret_ledger.scan_twice(more))
+    other = (*secret_ledger.RULES, ("year", "[0-9]{4}", 0, 4))
+    assert secret_ledger.record(first, path, rules=other) == len({t or "" for t in SECRETS} | {""})
+    assert rows(secret_ledger.recorded(more, path)) == rows(secret_ledger.findings(more)[0])  # findings under other rules stay apart
+    assert secret_ledger.scan_twice(first.limit(0)).collect() == []
