@@ -9,20 +9,29 @@ Texts end with two marks, so each place of a text begins a gram, and words of on
 or two letters are found by the grams that begin with them. Null and empty texts
 have no postings. Repeated rows are found as often as they stand there. Words that
 are blank find nothing.
+
+An index is kept up by runs beside it: ``add`` writes the postings of new and changed
+rows alone, and the keys whose earlier postings don't count any more. A search reads
+all runs, and since it checks the rows' own texts, postings of before cost time and
+never a result; ``compact`` writes the index whole again without them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import catalog
 from ..sources.session import stage
 from .spread import dealt_join
 
 c = F.col
 N, MARK = 3, "\x00\x00"
+#: The runs that hold a whole index, not only changes.
+WHOLE = "-whole"
 
 
 def _letters(text: Column) -> Column:
@@ -51,15 +60,74 @@ def asked(words: Column) -> Column:
     return F.lower(F.trim(F.coalesce(words, F.lit(""))))
 
 
-def build(rows: DataFrame, path: str, key: str, columns: Sequence[str], files: int | None = None) -> None:
-    """Writes the index of ``columns`` of ``rows``. A gram that most texts hold is
-    dealt over several files by key, since the ranges are of both. Without ``files``
-    Spark chooses how many there are."""
-    posted = rows.select(c(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(c(x)) for x in columns])))).alias("gram"))
+def _posted(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    return rows.select(c(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(c(x)) for x in columns])))).alias("gram")).distinct()
+
+
+def _write(posted: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
+    """Postings in ranges of gram and key, and how many each gram has."""
     ranges = ("gram", "key") if files is None else (files, "gram", "key")
-    posted.distinct().repartitionByRange(*ranges).sortWithinPartitions("gram", "key").write.parquet(f"{path}/postings")
-    spark = rows.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
+    posted.repartitionByRange(*ranges).sortWithinPartitions("gram", "key").write.mode(mode).parquet(f"{path}/postings")
+    counts = posted.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("gram").sortWithinPartitions("gram").write.mode(mode).parquet(f"{path}/grams")
+
+
+def build(rows: DataFrame, path: str, key: str, columns: Sequence[str], files: int | None = None) -> None:
+    """Writes the index of ``columns`` of ``rows`` into a new folder. A gram that most
+    texts hold is dealt over several files by key, since the ranges are of both.
+    Without ``files`` Spark chooses how many there are."""
+    _write(_posted(rows, key, columns), path, files, "error")
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The folders that make up the index, in order: the last whole one, if there is one, and the changes after it."""
+    runs = catalog.run_ids(spark, path)
+    whole = max((i for i, r in enumerate(runs) if r.endswith(WHOLE)), default=-1)
+    changes = [f"{path}/run_id={r}" for r in runs[max(whole, 0) :]]
+    return changes if whole >= 0 or not catalog.exists(spark, f"{path}/grams/_SUCCESS") else [path, *changes]
+
+
+def _read(spark: SparkSession, parts: Sequence[str], table: str) -> DataFrame:
+    return spark.read.parquet(*[f"{p}/{table}" for p in parts])
+
+
+def add(rows: DataFrame, path: str, key: str, columns: Sequence[str], removed: DataFrame | None = None, run: str | None = None) -> None:
+    """Adds new and changed ``rows`` to a stored index, and forgets keys that only
+    ``removed`` has. Nothing written before is written again.
+
+    All rows of a changed key must be given, since they replace what it had. A
+    ``run`` of a name that is there already replaces it, so a repeated attempt adds
+    nothing; by default runs are named by the time, and names give their order.
+    """
+    spark, run = rows.sparkSession, run or catalog.stamp()
+    staged = catalog.staging(path, run)
+    _write(_posted(rows, key, columns), staged)
+    keys = rows.select(c(key).alias("key"))
+    if removed is not None:
+        keys = keys.unionByName(removed.select(c(key).alias("key")))
+    keys.distinct().write.mode("overwrite").parquet(f"{staged}/keys")
+    catalog.publish(spark, path, run)
+
+
+def compact(spark: SparkSession, path: str, files: int | None = None) -> None:
+    """Writes an index that has changes whole again, without the postings that later
+    runs replaced. The parts it was made of stay for the searches that read them,
+    until the next compaction begins."""
+    parts = _parts(spark, path)
+    runs = catalog.run_ids(spark, path)
+    if parts[0] != path:
+        catalog.drop_runs(spark, path, [r for r in runs if f"{path}/run_id={r}" < parts[0]])
+        for table in ("postings", "grams"):
+            catalog.drop(spark, f"{path}/{table}")
+    if len(parts) == 1:
+        return
+    told = [_read(spark, [p], "keys").withColumn("since", F.lit(i)) for i, p in enumerate(parts) if i]
+    since = reduce(DataFrame.unionByName, told).groupBy("key").agg(F.max("since").alias("since"))
+    posted = reduce(DataFrame.unionByName, [_read(spark, [p], "postings").withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+    live = posted.join(since, "key", "left").where(c("part") >= F.coalesce("since", F.lit(0))).select("key", "gram").distinct()
+    whole = f"{runs[-1]}{WHOLE}"
+    _write(live, catalog.staging(path, whole), files)
+    catalog.publish(spark, path, whole)
 
 
 def _held(columns: Sequence[str], words: Column) -> Column:
@@ -73,11 +141,13 @@ def lookup(rows: DataFrame, path: str, key: str, columns: Sequence[str], words:
     w, pieces = spark.range(1).select(asked(F.lit(words)).alias("w"), word_grams(asked(F.lit(words))).alias("g")).first()
     if not pieces:
         return rows.where(F.lit(False))
-    posted = spark.read.parquet(f"{path}/postings")
+    parts = _parts(spark, path)
+    posted = _read(spark, parts, "postings")
     if len(w) < N:
         mine = posted.where(c("gram").startswith(w))
     else:
-        counts = {r.gram: r.n for r in spark.read.parquet(f"{path}/grams").where(c("gram").isin(pieces)).collect()}  # as many rows as the words have letters
+        found = _read(spark, parts, "grams").where(c("gram").isin(pieces)).groupBy("gram").agg(F.sum("n").alias("n"))
+        counts = {r.gram: r.n for r in found.collect()}  # as many rows as the words have letters
         mine = posted.where(c("gram") == min(pieces, key=lambda g: (counts.get(g, 0), g)))
     return rows.join(mine.select(c("key").alias(key)).distinct(), key, "left_semi").where(_held(columns, F.lit(w)))
 
@@ -89,7 +159,10 @@ def lookup_all(rows: DataFrame, path: str, key: str, columns: Sequence[str], sea
     and many texts hold is dealt over slots. Equal words are looked for once.
     """
     spark = rows.sparkSession
-    posted, counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/grams")
+    parts = _parts(spark, path)
+    posted, counts = _read(spark, parts, "postings"), _read(spark, parts, "grams")
+    if len(parts) > 1:
+        counts = stage(counts.groupBy("gram").agg(F.sum("n").alias("n")))
     told = searches.select("search_id", asked(c("words")).alias("_w")).where("_w <> ''")
     words = stage(told.select("_w").distinct())
     long_ = words.where(F.length("_w") >= N).select("_w", F.explode(word_grams(c("_w"))).alias("gram"))

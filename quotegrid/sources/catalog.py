@@ -24,7 +24,7 @@ c = F.col
 log = logging.getLogger(__name__)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
@@ -63,11 +63,11 @@ SOURCE_ROWS = 1_000_000_000
 def load_sources(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The payload of each known source from ``<source>.json`` in a folder or a
     zip, in the order of preference. Other files are passed over, missing ones left out; a path that isn't there is an error."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     if path.lower().endswith(".zip"):
         return _from_zip(spark, path)
-    return {s: spark.read.json(f"{path}/{s}.json", multiLine=True) for s in SOURCE_PRIORITY if _exists(spark, f"{path}/{s}.json")}
+    return {s: spark.read.json(f"{path}/{s}.json", multiLine=True) for s in SOURCE_PRIORITY if exists(spark, f"{path}/{s}.json")}
 
 
 def _from_zip(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -108,9 +108,9 @@ def load_shows(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The shows (pos, body) of each known source from ``<source>.json`` in a
     folder, in the order of preference; each document is cut by byte ranges, so it
     may be of any size. Other files are passed over, missing ones left out."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
-    return {s: read_members(spark, f"{path}/{s}.json") for s in SOURCE_PRIORITY if _exists(spark, f"{path}/{s}.json")}
+    return {s: read_members(spark, f"{path}/{s}.json") for s in SOURCE_PRIORITY if exists(spark, f"{path}/{s}.json")}
 
 
 def _at(field: str) -> str:
@@ -165,7 +165,7 @@ def extract_performances(payload: DataFrame, source: str, rank: int, fields=SHOW
 
 def load_overrides(spark: SparkSession, path: str | None) -> dict:
     """Manual rules from JSON or YAML; none without a file; a section that is null is empty."""
-    if not path or not _exists(spark, path):
+    if not path or not exists(spark, path):
         return {"force_split": [], "force_merge": []}
     body = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     if path.lower().endswith((".yaml", ".yml")):
@@ -232,10 +232,28 @@ def run_ids(spark: SparkSession, path: str) -> list[str]:
     return sorted(n.removeprefix("run_id=") for s in fs.listStatus(base) if (n := s.getPath().getName()).startswith("run_id="))
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if there is one."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def drop_runs(spark: SparkSession, path: str, runs: list[str]) -> None:
     for r in runs:
-        p, fs = _fs(spark, f"{path}/run_id={r}")
-        fs.delete(p, True)
+        drop(spark, f"{path}/run_id={r}")
+
+
+def staging(path: str, run_id: str) -> str:
+    """Where a run is written before it is published."""
+    return f"{path}/_staging-{run_id}"
+
+
+def publish(spark: SparkSession, path: str, run_id: str) -> None:
+    """Makes a staged run one of the folder's runs, in place of one of its name."""
+    src, fs = _fs(spark, staging(path, run_id))
+    to, _ = _fs(spark, f"{path}/run_id={run_id}")
+    fs.delete(to, True)
+    fs.rename(src, to)
 
 
 def write_run(df: DataFrame, path: str, run_id: str, keep: int | None = 5) -> list[str]:
@@ -243,12 +261,8 @@ def write_run(df: DataFrame, path: str, run_id: str, keep: int | None = 5) -> li
     folder, so that readers see whole runs only, and drops all but the last
     ``keep`` (none without it). Returns the runs that are left."""
     spark = df.sparkSession
-    staged = f"{path}/_staging-{run_id}"
-    df.write.mode("overwrite").parquet(staged)
-    src, fs = _fs(spark, staged)
-    to, _ = _fs(spark, f"{path}/run_id={run_id}")
-    fs.delete(to, True)
-    fs.rename(src, to)
+    df.write.mode("overwrite").parquet(staging(path, run_id))
+    publish(spark, path, run_id)
     runs = run_ids(spark, path)
     if keep is not None:
         drop_runs(spark, path, runs[:-keep])
@@ -271,7 +285,7 @@ def write_export(df: DataFrame, path: str) -> None:
 
 def read_export(spark: SparkSession, path: str, history: str | None = None) -> tuple[DataFrame, DataFrame | None]:
     """An export, and a history beside it if there is one; a history that is missing is no error."""
-    return spark.read.json(path), spark.read.json(history) if history and _exists(spark, history) else None
+    return spark.read.json(path), spark.read.json(history) if history and exists(spark, history) else None
 
 
 def save_cache(df: DataFrame, path: str) -> bool:
@@ -302,7 +316,7 @@ def load_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
 WHOLE_CACHE = "-whole"
 
 
-def _stamp() -> str:
+def stamp() -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
 
 
@@ -319,7 +333,7 @@ def save_changes(changed: DataFrame, path: str, removed: DataFrame | None = None
     rows = changed.withColumn("gone", F.lit(False))
     if removed is not None:
         rows = rows.unionByName(removed.select(key).distinct().withColumn("gone", F.lit(True)), allowMissingColumns=True)
-    return write_run(rows, path, _stamp(), keep=None)
+    return write_run(rows, path, stamp(), keep=None)
 
 
 def load_changes(spark: SparkSession, path: str, schema: str, key: str = "key") -> DataFrame:
@@ -341,7 +355,7 @@ def compact_changes(spark: SparkSession, path: str, schema: str, live=None, key:
     isn't ``live`` (a condition, such as an age) any more, and drops the runs before it. Readers see either."""
     before = run_ids(spark, path)
     rows = load_changes(spark, path, schema, key)
-    write_run((rows if live is None else rows.where(live)).withColumn("gone", F.lit(False)), path, _stamp() + WHOLE_CACHE, keep=None)
+    write_run((rows if live is None else rows.where(live)).withColumn("gone", F.lit(False)), path, stamp() + WHOLE_CACHE, keep=None)
     drop_runs(spark, path, before)
 
 

@@ -12,6 +12,7 @@ from quotegrid.operators import postings as P
 from quotegrid.operators import spread
 from quotegrid.plans import QUERIES
 from quotegrid.streaming import attempts as S
+from quotegrid.streaming import postings as S_P
 
 START = datetime.datetime(2024, 1, 1, 12)
 
@@ -116,6 +117,84 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert P.lookup_all(df, path, "id", ["title"], spark.createDataFrame([("x", "abc"), ("y", "a")], "search_id string, words string")).count() == 0
 
 
+def postings_of(spark, path):
+    rows = P._read(spark, P._parts(spark, path), "postings").select("key", "gram").collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def checked_searches(spark, rows, path):
+    asked = spark.createDataFrame([(w, w) for w in WORDS], "search_id string, words string")
+    many = P.lookup_all(rows, path, "id", ["title", "venue"], asked).collect()
+    assert sorted((r.search_id, r.id) for r in many) == sorted((w, i) for w in WORDS for i in found(rows, w))
+    for w in WORDS[:4]:
+        assert sorted(r.id for r in P.lookup(rows, path, "id", ["title", "venue"], w).collect()) == found(rows, w), w
+
+
+def test_an_index_is_kept_up_by_changes(spark, titles, tmp_path):
+    df, rows, path = titles
+    schema = df.schema
+    changed = [(0, "The Sting", None), (2, "lion's king", "Thé"), (100, "twice", "kin"), (100, "twice", None), (200, "new lion", ""), (None, "nobody", "lion")]
+    now = {r[0]: [r] for r in rows if r[0] not in (4, 100)}
+    for r in changed:
+        now[r[0]] = []
+    for r in changed:
+        now[r[0]].append(r)
+    current = spark.createDataFrame([r for k in now if k is not None for r in now[k]], schema)
+    before = postings_of(spark, path)
+    for _ in range(2):  # a repeated attempt replaces its run
+        P.add(spark.createDataFrame(changed, schema), path, "id", ["title", "venue"], removed=df.where("id = 4"), run="a")
+    assert set(before) <= set(postings_of(spark, path)) and len(P._parts(spark, path)) == 2
+    checked_searches(spark, current, path)
+    # what an add writes is its own rows' postings, and no file of before is written again
+    written = spark.read.parquet(f"{path}/run_id=a/postings")
+    assert {r.key for r in written.select("key").distinct().collect()} == {0, 2, 100, 200, None}
+    P.compact(spark, path)
+    fresh = str(tmp_path / "fresh")
+    P.build(current, fresh, "id", ["title", "venue"])
+    nobody = sorted({g for g in P._read(spark, P._parts(spark, path), "postings").where("key is null").select("gram").collect()})
+    assert nobody and sorted(x for x in postings_of(spark, path) if x[0] is not None) == postings_of(spark, fresh)
+    checked_searches(spark, current, path)
+    # the parts of before stay until the next compaction begins
+    assert spark.read.parquet(f"{path}/postings").count() == len(before)
+    P.add(current.where("id = 1").withColumn("title", F.lit("Kings")), path, "id", ["title", "venue"], run="b")
+    P.compact(spark, path)
+    assert P._parts(spark, path) == [f"{path}/run_id=b-whole"] and not P.catalog.exists(spark, f"{path}/postings")
+    assert not any(g == "ser" for k, g in postings_of(spark, path) if k == 1)
+    P.compact(spark, path)
+    assert P.catalog.run_ids(spark, path) == ["b-whole"]
+
+
+def test_adding_nothing(spark, titles):
+    df, _, path = titles
+    P.add(df.where("false"), path, "id", ["title", "venue"])
+    P.add(df.where("id = 3").limit(0), path, "id", ["title", "venue"], removed=df.where("false"))
+    checked_searches(spark, df, path)
+    P.compact(spark, path)
+    checked_searches(spark, df, path)
+
+
+def test_an_index_follows_a_stream(spark, tmp_path):
+    """Batches in order of their files; a key's last change of a batch counts, and compactions lie between."""
+    kinds = "id int, title string, venue string, seq long, gone boolean"
+    batches = [
+        [(1, "lion", None, 1, None), (1, "The Lion", "x", 2, False), (2, "king", "ki", 3, None)],
+        [(2, "king", None, 4, True), (3, "other", "e l", 5, None)],
+        [(2, "the k", "twice", 6, None), (3, None, None, 8, True), (3, "again", "th", 7, None)],
+    ]
+    state = {}
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        for r in sorted(rows, key=lambda r: r[3]):
+            state[r[0]] = r
+        stream = S_P.follow(spark.readStream.schema(kinds).json(str(tmp_path / "in")), str(tmp_path / "index"), "id", ["title", "venue"], str(tmp_path / "ck"), compact_every=1)
+        stream.processAllAvailable()
+        stream.stop()
+        live = spark.createDataFrame([r[:3] for r in state.values() if not r[4]], "id int, title string, venue string")
+        checked_searches(spark, live, str(tmp_path / "index"))
+    assert P.catalog.run_ids(spark, str(tmp_path / "index"))[-1] == "0000000002-whole"
+    assert {k for k, _ in postings_of(spark, str(tmp_path / "index"))} == {1, 2}
+
+
 def test_pieces_of_long_texts(spark):
     df = spark.range(1).select(F.repeat(F.lit("abcdefgh "), 30000).alias("t"))
     assert len(df.select(P.grams(F.col("t"))).first()[0]) == 11
