@@ -182,24 +182,61 @@ def _spark_hash(values, seed=42):
     return seed - 2**64 if seed >> 63 else seed
 
 
-def mix_taken(docs, quotas, block, seed):
-    """docs: (doc_id, source, size, shards of the source); quotas: (source, shard) -> (rounds, n, picked, turn).
-    The words that each document gives, by writing every shard's words one after another."""
-    rows = []
-    for doc, source, size, shards in docs:
-        row = _spark_hash([source, size])
-        shard = _spark_hash([doc, row, (seed,)]) % shards
-        rows.append(((source, shard), _spark_hash([doc, row, (seed + 1,)]), doc, row, size))
-    out = Counter()
-    for key in {r[0] for r in rows}:
-        rounds, n, picked, turn = quotas[key]
-        words = [(doc, size) for _, _, doc, _, size in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2] is not None, r[2] or 0, r[3], r[4])) for _ in range(size)]
-        for i, (doc, size) in enumerate(words):
-            j = i // block
-            out[doc, size] += rounds + (((j + 1) * picked + turn) // max(n, 1) > (j * picked + turn) // max(n, 1))
-        for _, _, doc, _, size in rows:
-            out[doc, size] += 0
-    return out
+def highest_quotients(votes, seats, most):
+    """Seats dealt one after another to the highest votes / (2 s + 1), ties to the first."""
+    got = [0] * len(votes)
+    for _ in range(seats):
+        open_ = [i for i in range(len(votes)) if got[i] < most[i] and votes[i] > 0]
+        if not open_:
+            break
+        got[max(open_, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+def mix_targets(sizes, weights, repeats):
+    """Each source's share of all sizes; what is above its bound is shared out again among the rest."""
+    target, rest = {}, dict(enumerate(sizes))
+    while rest:
+        unit = (sum(sizes) - sum(target.values())) / sum(weights[i % len(weights)] for i in rest)
+        over = [i for i in rest if unit * weights[i % len(weights)] > repeats * sizes[i]]
+        for i in over or list(rest):
+            target[i] = repeats * sizes[i] if over else unit * weights[i % len(weights)]
+            del rest[i]
+    return [float(target[i]) for i in range(len(sizes))]
+
+
+def mix_taken(docs, block, seed, shard_words, max_shards, repeats, weights=(1, 2, 3)):
+    """docs: (doc_id, source, size). The words that each document gives, by dealing
+    blocks one after another and writing every shard's words out; and each shard's (rounds, n, picked)."""
+    up = lambda a, b: -(-a // b)
+    sources = sorted({s for _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, s, n in docs if s == x) for x in sources]
+    targets = mix_targets(sizes, weights, repeats)
+    blocks = highest_quotients(targets, round(sum(targets) / block), [up(repeats * n, block) for n in sizes])
+    width = max(shard_words, up(sum(sizes), max_shards))
+    out, told = Counter(), {}
+    for k, source in enumerate(sources):
+        shards = {}
+        for doc, s, size in docs:
+            if s == source:
+                row = _spark_hash([source, size])
+                place = _spark_hash([doc, row, (seed,)]) % max(1, up(sizes[k], width))
+                shards.setdefault(place, []).append((_spark_hash([doc, row, (seed + 1,)]), doc is not None, doc or 0, row, size, doc))
+        order = sorted(shards)
+        held = [sum(r[4] for r in shards[i]) for i in order]
+        for shard, w, b in zip(order, held, highest_quotients(held, blocks[k], [up(repeats * w, block) for w in held])):
+            rounds, rest = divmod(min(b * block, repeats * w), w) if w else (0, 0)
+            n = up(w, block)
+            picked = min(n, round(rest / block))
+            turn = (seed * 2654435761 + (k * max_shards + shard) * 40503) % max(n, 1)
+            told[source, shard] = (rounds, n, picked)
+            at = 0
+            for *_, size, doc in sorted(shards[shard], key=lambda r: r[:5]):
+                out[doc, size] += 0
+                for j in (i // block for i in range(at, at + size)):
+                    out[doc, size] += rounds + (((j + 1) * picked + turn) // n > (j * picked + turn) // n)
+                at += size
+    return out, told, dict(zip(sources, targets))
 
 
 def quality_kept(stats, rules, rounds=2000):
@@ -243,7 +280,22 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def toxicity_score(text, model, edge, context, context_score):
+def hit_in_context(around, at, lists, edge):
+    """How much the hit at a place counts among its words; lists: (words of reporting, of address, quotation marks)."""
+    reporting, address, marks = lists
+    before, after = "".join(around[:at]), "".join(around[at + 1 :])
+    opened = len([x for x in before if x in marks]) % 2 == 1 and not marks.isdisjoint(after)
+    others = [w.lower().strip(edge) for w in [*around[:at], *around[at + 1 :]]]
+    parts = [0.3 if opened or around[at][0] in marks or around[at][-1] in marks else 1.0]
+    parts += [0.5] if any(w in reporting for w in others) else []
+    parts += [1.5] if any(w in address for w in others) else []
+    out = 1.0
+    for p in parts:
+        out *= p
+    return out
+
+
+def toxicity_score(text, model, edge, context, lists):
     """The score of a text by the distance of each word to each term."""
     import math
 
@@ -257,7 +309,7 @@ def toxicity_score(text, model, edge, context, context_score):
             continue
         edits, weight = min(fits)
         lo = max(0, i - context)
-        c = context_score(w[lo : i + context + 1], i - lo)
+        c = hit_in_context(w[lo : i + context + 1], i - lo, lists, edge)
         if edits:
             sums[2] += c
         else:

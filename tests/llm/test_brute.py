@@ -16,32 +16,33 @@ def docs(spark):
     return spark.createDataFrame(fixtures.rows(), fixtures.SCHEMA).repartition(3)
 
 
-def test_mix_taken(spark, docs, monkeypatch):
-    """Every document's words, by writing the shards' words out; the quotas are the ones that the driver hands out."""
-    seen = {}
-    real = mixing._stream
-
-    def stream(*args):
-        out = real(*args)
-        for r in out.select("source", "shard", "rounds", "n", "picked", "turn", "shards").distinct().collect():
-            seen[r.source, r.shard] = (r.shards, (r.rounds, r.n, r.picked, r.turn))
-        return out
-
-    monkeypatch.setattr(mixing, "_stream", stream)
+def test_mix_taken(spark, docs):
+    """Every document's words and target, by dealing blocks one after another and writing the shards' words out."""
+    rows = [(r[0], r[3], len(brute.words(r[1]))) for r in fixtures.rows()]
     for options in ({}, {"shard_words": 700, "max_shards": 40, "block": 7, "seed": 5}):
-        seen.clear()
         got = mixing.mix(docs, **options).collect()
-        shards = {s: n for (s, _), (n, _) in seen.items()}
-        rows = [(r[0], r[3], len(brute.words(r[1])), shards[r[3]]) for r in fixtures.rows()]
-        want = brute.mix_taken(rows, {k: q for k, (_, q) in seen.items()}, options.get("block", mixing.BLOCK_WORDS), options.get("seed", 17))
+        plain = {"block": mixing.BLOCK_WORDS, "seed": 17, "shard_words": mixing.SHARD_WORDS, "max_shards": mixing.MAX_SHARDS, **options}
+        want, shards, targets = brute.mix_taken(rows, repeats=mixing.MAX_REPEATS, **plain)
         taken = Counter()
         for r in got:
             taken[r.doc_id, r.size] += r.taken
         assert taken == want
-        for key, (_, (rounds, n, picked, _)) in seen.items():
+        assert {r.source: r.target for r in got} == pytest.approx(targets)
+        for key, (rounds, n, picked) in shards.items():
             assert 0 <= picked <= n and 0 <= rounds <= mixing.MAX_REPEATS, key
 
 
+def test_seats_are_the_highest_quotients():
+    """Against seats dealt one after another, with ties, zero votes and bounds."""
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        n = int(rng.integers(1, 9))
+        votes = [int(v) for v in rng.choice([0, 1, 2, 3, 3, 5, 40, 1000], n)]
+        seats = int(rng.integers(0, 60))
+        most = [int(m) for m in rng.integers(0, 30, n)]
+        assert mixing.sainte_lague(votes, seats, most) == brute.highest_quotients(votes, seats, most), (votes, seats, most)
+
+
 def test_shards_grow_with_the_words(spark):
     rows = [(i, "big" if i % 10 else "small", "w " * 50) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -82,7 +83,7 @@ def test_toxicity_scores(spark, docs):
     assert trained.terms
     for model, df in ((made, docs), (trained, docs), (trained, real.where("doc_id % 20 = 0"))):
         rows = df.select("doc_id", "text").collect()
-        want = Counter((r.doc_id, round(brute.toxicity_score(r.text, model, toxicity.EDGE, toxicity.CONTEXT, toxicity.context_score), 9)) for r in rows)
+        want = Counter((r.doc_id, round(brute.toxicity_score(r.text, model, toxicity.EDGE, toxicity.CONTEXT, (toxicity.REPORTING, toxicity.ADDRESS, toxicity.QUOTES)), 9)) for r in rows)
         assert Counter((r.doc_id, round(r.score, 9)) for r in toxicity.scores(df, model).collect()) == want
 
 
