@@ -392,3 +392,40 @@ def zipped_lists(spark, sf_dir):
     rows = A.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
     z = rows.select("conv_id", F.posexplode(M.zipped(c("r"), F.slice("r", F.lit(2), F.size("r")))).alias("p", "x"))
     return z.select("conv_id", (c("p") + 1).alias("i"), c("x.first").alias("role"), c("x.second").alias("next_role"))
+
+
+# --- widgets of pages as they are found
+
+#: Where the widgets of the test tables' pages are.
+FOUND = W.Spec(tags="a[href]", breadcrumb="nav", description="footer", description_mode="whole", group_info="div.ad")
+_BARE = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+_DECODED = ("'&copy;', '©'", "'&middot;', '·'", "'&quot;', '\"'", "'&amp;', '&'")
+
+
+def _plain(text: str) -> str:
+    """SQL: a piece of markup without tags as text; null if none is left."""
+    out = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for pair in _DECODED:
+        out = f"replace({out}, {pair})"
+    return f"nullif(trim(regexp_replace({out}, '\\s+', ' ', 'g')), '')"
+
+
+def _inside(start: str, tag: str) -> str:
+    return f"regexp_extract({_BARE}, '(?s)<{start}>(.*?)</{tag}>', 1)"
+
+
+_A = '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+@query(
+    f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(b, '{_A}', 1)) AS url, unnest(regexp_extract_all(b, '{_A}', 2)) AS name, generate_subscripts(regexp_extract_all(b, '{_A}', 1), 1) AS n FROM (SELECT page_id, {_BARE} AS b FROM pages)),
+g AS (SELECT page_id, string_agg(concat(coalesce({_plain("name")}, ''), '|', {_plain("url")}, '|', nullif(regexp_extract({_plain("url")}, '([^/]*)/*$', 1), '')), ';' ORDER BY n) AS links FROM l GROUP BY page_id),
+m AS (SELECT page_id, list_filter(list_transform(regexp_extract_all({_inside("nav", "nav")}, '{_A}', 2), lambda x: {_plain("x")}), lambda x: lower(x) NOT IN ('home', 'shows')) AS menu FROM pages)
+SELECT p.page_id AS page_id, {_plain(_inside("h1", "h1"))} AS title, menu[-1] AS category, coalesce(links, '') AS links, {_plain(_inside("footer", "footer"))} AS note, {_plain(_inside('div class="ad"', "div"))} AS ad
+FROM pages p JOIN m ON p.page_id = m.page_id LEFT JOIN g ON p.page_id = g.page_id"""
+)
+def found_widgets(spark, sf_dir):
+    """Heading, last menu entry, links, note and advertisement of every page of the table."""
+    pages = A.read(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    w = W.widgets(pages, "page_id", FOUND, only=("title", "category", "tags", "description", "group_info"))
+    return w.select("page_id", "title", "category", _pairs(c("tags"), "name", "url", "slug").alias("links"), c("description").alias("note"), c("group_info").alias("ad"))
