@@ -399,14 +399,14 @@ def zipped_lists(spark, sf_dir):
 #: Where the widgets of the test tables' pages are.
 FOUND = W.Spec(tags="a[href]", breadcrumb="nav", description="footer", description_mode="whole", group_info="div.ad")
 _BARE = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
-_DECODED = ("'&copy;', '©'", "'&middot;', '·'", "'&quot;', '\"'", "'&amp;', '&'")
+_DECODED = {"copy": "©", "middot": "·", "quot": '"', "amp": "&"}
 
 
 def _plain(text: str) -> str:
     """SQL: a piece of markup without tags as text; null if none is left."""
     out = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for pair in _DECODED:
-        out = f"replace({out}, {pair})"
+    for name, sign in _DECODED.items():
+        out = f"regexp_replace({out}, '&{name};?', '{sign}', 'g')"
     return f"nullif(trim(regexp_replace({out}, '\\s+', ' ', 'g')), '')"
 
 
