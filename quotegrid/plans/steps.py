@@ -437,6 +437,39 @@ def export_round_trip(spark, sf_dir):
     return C.read_export(spark, f"{folder}/out", f"{folder}/none")[0].select(c("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
 
 
+_SOURCES = "map<string, struct<price_from: double, price_to: double, currency: string, book_url: string, available: boolean>>"
+
+
+@query(
+    with_(OFFERS)
+    + "SELECT o.show_id AS show_id, c_name AS title, date::VARCHAR AS date, time, min(price_from) OVER w AS lowest, bool_or(available) OVER w AS any_available, source, price_from, price_to, book_url, available FROM offers o JOIN customer ON c_custkey = o.show_id WINDOW w AS (PARTITION BY o.show_id, date, time)"
+)
+def payload_round_trip(spark, sf_dir):
+    """The unified catalogue in its nested form, a line for each show, written and taken apart again."""
+    off = A.offers(spark, sf_dir).withColumns({"raw_ord": F.lit(0), "date": c("date").cast("string")})
+    shows = A.read(spark, sf_dir, "customer").select(c("c_custkey").alias("show_id"), c("c_name").alias("title"))
+    path = scratch(spark)
+    C.write_export(C.catalogue_payload(shows, M.unify(off), off), path)
+    perfs = C.read_export(spark, path)[0].select("show_id", "title", F.explode("performances").alias("p"))
+    offers = perfs.select("show_id", "title", "p.date", "p.time", c("p.min_price").alias("lowest"), "p.any_available", F.explode(F.from_json("p.sources", _SOURCES)).alias("source", "o"))
+    return offers.select("show_id", "title", "date", "time", "lowest", "any_available", "source", "o.price_from", "o.price_to", "o.book_url", "o.available")
+
+
+@query(
+    with_(OFFERS, "n AS (SELECT count(*) AS sources FROM offers GROUP BY show_id, date, time)")
+    + """SELECT 'performances by number of sellers' AS line UNION ALL SELECT concat('  ', sources, ' | ', count(*)) FROM n GROUP BY sources
+UNION ALL SELECT 'offers by seller' UNION ALL SELECT concat('  ', source, ' | ', count(*), ' | ', count(*) FILTER (available)) FROM offers GROUP BY source"""
+)
+def report_lines(spark, sf_dir):
+    """The plain text of a run: how many sellers performances have, and each seller's offers and those known to be available."""
+    off = A.offers(spark, sf_dir).withColumn("raw_ord", F.lit(0))
+    spread = M.unify(off).groupBy("source_count").agg(F.count("*").alias("n")).orderBy("source_count")
+    sellers = off.groupBy("source").agg(F.count("*").alias("n"), F.count_if("available").alias("open")).orderBy("source")
+    path = f"{scratch(spark)}/report.txt"
+    C.write_text(spark, path, C.report(spark, {"performances by number of sellers": spread, "offers by seller": sellers}))
+    return spark.read.text(path).select(c("value").alias("line"))
+
+
 @query("SELECT n_nationkey AS k, n_name AS v FROM nation")
 def cache_round_trip(spark, sf_dir):
     folder = scratch(spark)
