@@ -16,6 +16,8 @@ from ..sources import widgets as W
 from .base import query
 
 c = F.col
+#: Tasks for each core, so that one slow core holds up little.
+DEALT = 2
 
 #: What stands for the names in a template, in words of both engines.
 TOKENS = {
@@ -49,7 +51,9 @@ def said(template: str) -> str:
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.read(spark, sf_dir, "part")
+    """The parts, dealt over tasks: a file of a few MB is read by one task, and what
+    is made of each row costs far more than moving the few columns that it is made of."""
+    return A.read(spark, sf_dir, "part").repartition(DEALT * spark.sparkContext.defaultParallelism, "p_partkey")
 
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>x</title><script>var t = "<h1>no</h1>";</script></head><body>
@@ -86,10 +90,8 @@ SPEC = W.Spec(suffix=" as")
 
 
 def page_widgets(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """The widgets asked for of a page made for each part. Parsing costs far more
-    than moving the few columns that a page is made of, so these are dealt to all cores first."""
-    parts = _part(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "p_partkey")
-    return W.widgets(parts.select(c("p_partkey").alias("part_key"), made(PAGE).alias("html")), "part_key", SPEC, only=only)
+    """The widgets asked for of a page made for each part."""
+    return W.widgets(_part(spark, sf_dir).select(c("p_partkey").alias("part_key"), made(PAGE).alias("html")), "part_key", SPEC, only=only)
 
 
 def _pairs(rows: Column, *names: str) -> Column:
@@ -229,8 +231,8 @@ TOKENS |= {"seats": "p_partkey % 3"}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    show, showtimes = H.state_shows(H.next_data(made(_STATE)))
-    return _part(spark, sf_dir).select(c("p_partkey").alias("part_key"), show.alias("s"), showtimes.alias("t"))
+    show, showtimes = H.shows_of(c("props"))
+    return H.once(_part(spark, sf_dir), "props", H.state_props(H.next_data(made(_STATE)))).select(c("p_partkey").alias("part_key"), show.alias("s"), showtimes.alias("t"))
 
 
 @query(_expect(name="{name}", category="Plays", venue="{brand}", start_date="{day}", end_date="=NULL::VARCHAR", low_price="=(10 + p_partkey % 90)::DOUBLE", rating="=4.5::DOUBLE", rating_count="=p_partkey::BIGINT", has_promotion="=false"))

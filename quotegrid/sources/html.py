@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is made once for each row. Spark puts what a
+    column is made of into each place that names it, but not across a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
 
@@ -99,12 +105,23 @@ STATE = (
 )
 
 
+def state_props(blob: Column) -> Column:
+    """What the state text holds, parsed."""
+    return F.from_json(blob, STATE)["props"]["pageProps"]
+
+
 def state_shows(blob: Column) -> tuple[Column, Column]:
-    """A show and its showtimes from the state text: what the product lacks comes
-    from the search data, and a showtime's price is that of its cheapest open band (``verify.band_low_price``)."""
+    """A show and its showtimes from the state text (``shows_of``)."""
+    return shows_of(state_props(blob))
+
+
+def shows_of(props: Column) -> tuple[Column, Column]:
+    """A show and its showtimes from the parsed state: what the product lacks comes
+    from the search data, and a showtime's price is that of its cheapest open band
+    (``verify.band_low_price``). Each field names ``props`` anew, so ``props``
+    should be a column of the table (``once``) and no parsing of its own."""
     from ..operators.verify import band_low_price
 
-    props = F.from_json(blob, STATE)["props"]["pageProps"]
     p, search = props["product"], props["productElasticSearchData"]
     text = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs])
     review = F.coalesce(p["reviewSummary"], search["reviewSummary"])

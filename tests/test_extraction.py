@@ -41,3 +41,11 @@ def test_advertised_price_without_word_of_seats(spark):
     rows = [([(30.0, None)], 20.0, 0), ([(30.0, 2), (25.0, 0)], 20.0, 4), ([(30.0, 2)], 20.0, 0), ([(30.0, 0)], 20.0, 4), (None, 20.0, None), ([(30.0, 1), (9.0, None)], 20.0, None)]
     got = spark.createDataFrame(rows, f"b {band}, low double, seats int").select(band_low_price(F.col("b"), F.col("low"), F.col("seats")).alias("p")).collect()
     assert [r.p for r in got] == [20.0, 30.0, None, None, 20.0, 30.0]
+
+
+def test_state_is_parsed_once_by_all_cores(spark, sf_dir):
+    from quotegrid.plans import QUERIES
+
+    for name in ("state_shows", "state_showtimes"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and "RepartitionByExpression" in plan
