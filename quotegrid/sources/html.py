@@ -4,6 +4,7 @@ a tolerant parser of the standard library in Arrow batches where widgets nest.""
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -197,10 +198,13 @@ def nested_calendar(df: DataFrame, key: str, body: str, perf: str = "perf_id: st
 
 class _Page(HTMLParser):
     """Collects what pages and widgets need in one pass: first heading, language,
-    links with their texts, paragraphs, images, tables' rows, and linked data."""
+    links with their texts, paragraphs, images, tables' rows, and linked data. A page
+    given ``as_written`` has each ampersand coded once more, so that texts and
+    attributes come out as they stand in it; scripts are never decoded."""
 
-    def __init__(self):
+    def __init__(self, as_written: bool = False):
         super().__init__(convert_charrefs=True)
+        self.as_written = as_written
         self.lang = self.h1 = self.canonical = self.state = None
         self.links, self.paragraphs, self.images, self.rows, self.ld = [], [], [], [], []
         self.open: list[tuple[str, list[str]]] = []
@@ -232,7 +236,8 @@ class _Page(HTMLParser):
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
         if at is None:
             return
-        text = " ".join("".join(self.open[at][1]).split())
+        text = "".join(self.open[at][1])
+        text = re.sub(r"[ \t\n\f\r]+", " ", text).strip(" ") if self.as_written else " ".join(text.split())
         self.open = self.open[:at]
         if tag == "h1" and self.h1 is None:
             self.h1 = text or None
@@ -245,6 +250,8 @@ class _Page(HTMLParser):
             self.rows[-1].append(None if text in ("", "-") else text)
 
     def handle_data(self, data):
+        if self.script and self.as_written:
+            data = data.replace("&amp;", "&")
         if self.script == "ld":
             self.ld.append(data)
         elif self.script == "state":
@@ -257,10 +264,10 @@ class _Page(HTMLParser):
 PAGE_SCHEMA = "h1 string, lang string, canonical string, links array<struct<href: string, text: string>>, paragraphs array<string>, images array<string>, rows array<array<string>>, ld array<string>"
 
 
-def parse_page(html: str | None) -> dict:
-    p = _Page()
+def parse_page(html: str | None, as_written: bool = False) -> dict:
+    p = _Page(as_written)
     if html:
-        p.feed(html)
+        p.feed(html.replace("&", "&amp;") if as_written else html)
         p.close()
     ld = []
     for block in p.ld:
@@ -272,13 +279,14 @@ def parse_page(html: str | None) -> dict:
     return {"h1": p.h1, "lang": p.lang, "canonical": p.canonical, "links": [{"href": h, "text": t} for h, t in p.links], "paragraphs": p.paragraphs, "images": p.images, "rows": p.rows, "ld": ld}
 
 
-def parse_pages(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """Each page's facts under its key, by the parser; a null page has none."""
+def parse_pages(pages: DataFrame, key: str, html: str = "html", as_written: bool = False) -> DataFrame:
+    """Each page's facts under its key, by the parser; a null page has none.
+    Entities are decoded, or left ``as_written``."""
     kind = pages.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([parse_page(x if isinstance(x, str) else None) for x in batch[html]])
+            out = pd.DataFrame([parse_page(x if isinstance(x, str) else None, as_written) for x in batch[html]])
             out.insert(0, key, batch[key].to_numpy())
             yield out
 

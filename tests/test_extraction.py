@@ -49,3 +49,14 @@ def test_state_is_parsed_once_by_all_cores(spark, sf_dir):
     for name in ("state_shows", "state_showtimes"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1 and "RepartitionByExpression" in plan
+
+
+def test_headings_decode_ampersands_alone(spark, tmp_path):
+    from quotegrid.plans import QUERIES
+
+    pages = ['<h1>a &amp;&amp b\n <i>&quot;c&quot;</i></h1><p>x</p>', "<h1>&amp;quot; &copy</h1>", "<h1> </h1>"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = QUERIES["html_parsed"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r.h1 for r in rows] == ["a &&amp b &quot;c&quot;", "&quot; &copy", None]
+    assert html.parse_page(pages[0])["h1"] == 'a && b "c"'
+    assert html.parse_page('<script type="application/ld+json">{"a": "&amp;&"}</script>', True)["ld"] == ['{"a": "&amp;&"}']
