@@ -30,6 +30,8 @@ from .spread import dealt_join
 
 c = F.col
 N, MARK = 3, "\x00\x00"
+#: Letters, or postings, of a task: it sorts them, and keeps them to leave out repeated ones, in some 100 bytes each.
+TASK = 1_000_000
 #: The runs that hold a whole index, not only changes.
 WHOLE = "-whole"
 
@@ -60,12 +62,29 @@ def asked(words: Column) -> Column:
     return F.lower(F.trim(F.coalesce(words, F.lit(""))))
 
 
+def _tasks(spark: SparkSession, n: int | None) -> int | None:
+    """How many tasks so many letters or postings take; None where Spark's own number does."""
+    tasks = -(-(n or 0) // TASK)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _dealt(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``rows`` dealt by key over as many tasks as their letters take: texts of one
+    small file give far more postings than one task should hold. What follows by key
+    and gram needs no other shuffle."""
+    letters = reduce(Column.__add__, [F.coalesce(F.length(x), F.lit(0)) for x in columns])
+    n = rows.agg(F.sum(letters)).first()[0] or 0
+    return rows.select(key, *columns).repartition(max(-(-n // TASK), rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _posted(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    return rows.select(c(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(c(x)) for x in columns])))).alias("gram")).distinct()
+    return _dealt(rows, key, columns).select(c(key).alias("key"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(c(x)) for x in columns])))).alias("gram")).distinct()
 
 
 def _write(posted: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Postings in ranges of gram and key, and how many each gram has."""
+    posted = stage(posted)  # read for the ranges, and again to be dealt by them
+    files = files or _tasks(posted.sparkSession, posted.count())
     ranges = ("gram", "key") if files is None else (files, "gram", "key")
     posted.repartitionByRange(*ranges).sortWithinPartitions("gram", "key").write.mode(mode).parquet(f"{path}/postings")
     counts = posted.sparkSession.read.parquet(f"{path}/postings").groupBy("gram").agg(F.count("*").alias("n"))
@@ -124,6 +143,8 @@ def compact(spark: SparkSession, path: str, files: int | None = None) -> None:
     told = [_read(spark, [p], "keys").withColumn("since", F.lit(i)) for i, p in enumerate(parts) if i]
     since = reduce(DataFrame.unionByName, told).groupBy("key").agg(F.max("since").alias("since"))
     posted = reduce(DataFrame.unionByName, [_read(spark, [p], "postings").withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+    n = _read(spark, parts, "grams").agg(F.sum("n")).first()[0]
+    posted = posted.repartition(_tasks(spark, n) or int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
     live = posted.join(since, "key", "left").where(c("part") >= F.coalesce("since", F.lit(0))).select("key", "gram").distinct()
     whole = f"{runs[-1]}{WHOLE}"
     _write(live, catalog.staging(path, whole), files)

@@ -293,3 +293,17 @@ def test_settled(spark):
     assert (got["b"].poll, got["b"].stable, got["b"].low, got["b"].high, got["b"].n_prices) == (2, False, 10.0, 12.0, 2)
     assert (got["c"].poll, got["c"].stable, got["c"].low, got["c"].note) == (4, False, None, "no prices in plausible range; saw 1 raw")
     assert (got["e"].low, got["e"].n_prices) == (10.0, 1)
+
+
+def test_postings_of_a_small_file_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "TASK", 100)
+    rows = spark.range(200).selectExpr("id", "concat('title ', id) AS title").coalesce(1)
+    posted = P._posted(rows, "id", ["title"])
+    assert posted.rdd.getNumPartitions() == 17  # 1,690 letters
+    held = posted.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 500 and sum(r["count"] for r in held) == posted.distinct().count()
+    path = str(tmp_path / "index")
+    P.build(rows, path, "id", ["title"])
+    P.add(rows.where("id < 9").withColumn("title", F.lit("other")), path, "id", ["title"], run="a")
+    P.compact(spark, path)
+    assert [r.id for r in P.lookup(rows.where("id > 8"), path, "id", ["title"], "title 19").orderBy("id").collect()] == [19, *range(190, 200)]
