@@ -60,3 +60,20 @@ def test_headings_decode_ampersands_alone(spark, tmp_path):
     assert [r.h1 for r in rows] == ["a &&amp b &quot;c&quot;", "&quot; &copy", None]
     assert html.parse_page(pages[0])["h1"] == 'a && b "c"'
     assert html.parse_page('<script type="application/ld+json">{"a": "&amp;&"}</script>', True)["ld"] == ['{"a": "&amp;&"}']
+
+
+def test_plain_pages_read_like_any_other():
+    def parsed(page):
+        b = widgets._Builder()
+        b.feed(page)
+        b.close()
+        return b.root
+
+    told = lambda root: [(n.tag, n.attrs, [x if isinstance(x, str) else x.at for x in n.children]) for n in root.walk()]
+    plain = ['<!DOCTYPE html><p class="a b" id>x &amp; y<br><div data-x="&quot;1">z</p></i></div>', "<script>a < b<c></script><li>", "", '<a href="">&copy</a>']
+    other = ["<p>a < b</p>", "<A>x</A>", "<br/>", "<!-- x -->", "<i b='c'>", "<script><!-- x</script>"]
+    for page in plain + other:
+        assert told(widgets.tree(page)) == told(parsed(page)), page
+    assert all(widgets._plain_tree(x) for x in plain) and not any(widgets._plain_tree(x) for x in other)
+    root = widgets.tree('<div class="a"><p class="b">1</p><div class="a"><p>2</p></div></div><p class="b">3</p>')
+    assert [n.text() for n in root.all("p")] == ["1", "2", "3"] and [n.text() for n in root.within("div.a p")] == ["1", "2"] and root.one("p.b[id]") is None
