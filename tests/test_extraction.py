@@ -77,3 +77,10 @@ def test_plain_pages_read_like_any_other():
     assert all(widgets._plain_tree(x) for x in plain) and not any(widgets._plain_tree(x) for x in other)
     root = widgets.tree('<div class="a"><p class="b">1</p><div class="a"><p>2</p></div></div><p class="b">3</p>')
     assert [n.text() for n in root.all("p")] == ["1", "2", "3"] and [n.text() for n in root.within("div.a p")] == ["1", "2"] and root.one("p.b[id]") is None
+
+
+def test_calendar_links_are_read_once(spark, sf_dir):
+    from quotegrid.plans import QUERIES
+
+    plan = QUERIES["calendar_links"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4
