@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     (the smallest node of its component).
 
     Each round, a node takes the smallest label around it, and then the label of
-    its label, so that chains shorten by more than half. Labels meet by sums that
+    its label, or the smallest that any node of that label has found: so whole
+    trees are hooked at once, and the rounds grow with the logarithm of a chain's
+    length in whatever order its nodes are numbered. Labels meet by sums that
     start on the map side, and the edges of a node with very many (a star's
     centre) are dealt over slots, each with a copy of its label. Every round is
     written to the shared folder, and the round before it is deleted. Edges to
@@ -35,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(around, ["b"] if hot is None else ["b", "slot"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node", "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         up = labels.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("up"))  # a root leads nowhere: what most nodes share has no row here
+        up = up.union(hooked.where("label < was").select("was", "label")).groupBy("label").agg(F.min("up").alias("up"))
         new = written(hooked.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), f"{where}/{i}")
         delete(spark, f"{where}/{i - 1}")
         labels = new.select("node", "label")

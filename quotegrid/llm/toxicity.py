@@ -15,6 +15,7 @@ the terms' pieces (an edit leaves one of them in place) names those worth it.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -264,17 +265,8 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 5
     return b.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from ``sample_rows`` labelled rows at most. Only labels whose
-    crc32(id as text) mod 4 isn't 2 are used; the others are for tests. Rows
-    without an id, label or text are left out; of rows that share an id the one
-    with the smallest text hash is taken, so no more than ``sample_rows`` texts come
-    to the driver. Without labels of both kinds the model scores all texts alike."""
-    ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("y").alias("y"))
-    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = one.select("doc_id", "text", "y").toArrow()  # ``sample_rows`` labels, so as many documents
+def fitted(rows: pa.Table) -> Model:
+    """A model from labelled rows (doc_id, text, y)."""
     if not rows.num_rows:
         return Model()
     order = np.lexsort((np.asarray(pc.binary_length(rows.column("text"))), np.asarray(rows.column("doc_id"))))
@@ -291,6 +283,28 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(terms, stems, regression(np.concatenate(x), y))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(pa.Table.from_batches(held)))], pa.binary())], ["model"])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from ``sample_rows`` labelled rows at most. Only labels whose
+    crc32(id as text) mod 4 isn't 2 are used; the others are for tests. Rows
+    without an id, label or text are left out; of rows that share an id the one
+    with the smallest text hash is taken, so no more than ``sample_rows`` texts come
+    to the task that fits the model, and none to the driver, which gets the terms
+    and weights alone. Without labels of both kinds the model scores all texts alike."""
+    ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 4 <> 2").groupBy("doc_id").agg(F.max("y").alias("y"))
+    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    small_batches(docs.sparkSession)
+    found = one.select("doc_id", "text", "y").coalesce(1).mapInArrow(_fit, "model binary").first()  # ``sample_rows`` labels, so as many documents
+    return pickle.loads(found["model"]) if found else Model()
+
+
 def _scores(model: Model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.terms, model.stems)

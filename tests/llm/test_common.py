@@ -42,6 +42,12 @@ def test_components_of_a_star_and_a_chain(spark):
     assert {tuple(r) for r in got.groupBy("label").count().collect()} == {(0, 100_001), (10_000_000, 1001), (20, 2)}
 
 
+def test_components_of_a_chain_numbered_at_random(spark):
+    p = np.random.default_rng(1).permutation(600).tolist()
+    got = components(spark.createDataFrame(list(zip(p, p[1:])), "a long, b long"))
+    assert {tuple(r) for r in got.groupBy("label").count().collect()} == {(0, 600)}
+
+
 def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
     class Remote:
         class sparkContext:

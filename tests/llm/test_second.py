@@ -123,6 +123,13 @@ def test_toxicity(spark, docs, sf_dir):
     toxicity.train(docs, nulls)
 
 
+def test_toxicity_is_fitted_off_the_driver(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    known = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "learn_lexicon", None)
+    assert known.terms and toxicity.train(docs, labels) == known
+
+
 def test_toxicity_held_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf_dir}/labels.parquet").to_pylist()}
