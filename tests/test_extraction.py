@@ -84,3 +84,16 @@ def test_calendar_links_are_read_once(spark, sf_dir):
 
     plan = QUERIES["calendar_links"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 4
+
+
+def test_pages_leave_no_circles_of_nodes():
+    import gc
+
+    page = '<div class="description"><p>a</p><p>b</p></div><h1>x</h1>'
+    gc.collect()
+    gc.disable()
+    try:
+        assert widgets.page_widgets(page, only=("description", "title")) == {"title": "x", "description": "a\n\nb"}
+        assert not any(isinstance(x, widgets.Node) for x in gc.get_objects())
+    finally:
+        gc.enable()
